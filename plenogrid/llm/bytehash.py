@@ -83,12 +83,12 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def chunks(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of pieces of about ``size`` bytes; a text is never split."""
+def chunks(column: pa.Array, size: int = 1 << 20, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of pieces of about ``size`` bytes and at most ``rows`` texts; a text is never split."""
     buf, off = text_buffer(column)
     lo, n = 0, len(off) - 1
     while lo < n:
-        hi = min(n, max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1))
+        hi = min(n, max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1), lo + rows)
         yield lo, hi, buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
 
