@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from . import repeats
+from . import bpe, licences, mixture, neardup, quality, repeats, tokenfile
 
 QUERIES = {
+    "op3_mix_sources": mixture.query,
     "op4_suffix_array_dedup": repeats.query,
+    "op5_minhash_odd_sketches": neardup.query,
+    "op6_bpe_pair_index": bpe.query,
+    "op7_token_bit_planes": tokenfile.query,
+    "op8_licence_scan": licences.query,
+    "op9_quality_nbsvm": quality.query,
+}
+ORACLES = {
+    "op3_mix_sources": mixture.ORACLE,
+    "op8_licence_scan": licences.ORACLE,
 }
-ORACLES: dict[str, str] = {}

@@ -271,7 +271,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ke
     texts = spark.table(name)
 
     runs = texts.select("row_id", "text").mapInArrow(_runs(length, seed), "rank long, run_rank long, row_id long, start long, n_starts int")
-    again = runs.groupBy("rank").count().where("count > 1").select("rank")
+    again = materialize(runs.groupBy("rank").count().where("count > 1").select("rank"))
     runs = materialize(runs.join(again, "rank"))
     equal = runs.groupBy("rank", "run_rank").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("row_id", "start", "n_starts")])
     contents = equal.groupBy("rank").agg(F.count("*").alias("n_contents"))
@@ -300,6 +300,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ke
     return joined.mapInArrow(_removal(length, keep_text), schema).drop("row_id")
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated bytes cut from ``text``, and ``n_chars`` counted anew where there is such a column."""
+    out = remove_repeats(docs, keep_text=True)
+    new = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: the digest of remove_repeats over all documents."""
     from .common import table
