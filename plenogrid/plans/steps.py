@@ -1,0 +1,23 @@
+"""Tables between the steps of a loop."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a step to the folder that all executors share and read it back.
+
+    Iterations stay short plans, and a lost executor repeats one step at most.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/loop-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
