@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROOT3 = 1.7320508075688772
@@ -37,7 +37,7 @@ def child_box(min_x: Column, min_y: Column, max_x: Column, max_y: Column, quadra
 
 def half_away(c: Column) -> Column:
     """Rounding with halves away from zero."""
-    return F.sign(c) * F.floor(F.abs(c) + 0.5)
+    return F.round(c)
 
 
 def axial(dx: Column, dy: Column, baseline: float) -> tuple[Column, Column]:
@@ -58,9 +58,12 @@ def hex_distance(q: Column, r: Column) -> Column:
     return F.greatest(F.abs(q), F.abs(r), F.abs(q + r)).cast("long")
 
 
-def hex_steps(dx: Column, dy: Column, baseline: float) -> Column:
-    """ring number of a displacement."""
-    return hex_distance(*cube_round(*axial(dx, dy, baseline)))
+def with_hex_steps(df: DataFrame, dx: str, dy: str, baseline: float, name: str) -> DataFrame:
+    """the ring number of a displacement as a new column, in steps so that no expression is repeated."""
+    q, r = axial(F.col(dx), F.col(dy), baseline)
+    df = df.withColumns({"__q": q, "__r": r})
+    df = df.withColumns(dict(zip(("__a", "__b"), cube_round(F.col("__q"), F.col("__r")), strict=True)))
+    return df.withColumn(name, hex_distance(F.col("__a"), F.col("__b"))).drop("__q", "__r", "__a", "__b")
 
 
 def bits(mask: Column, most: int = 32, width: int = 32) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import hex_steps
+from ..functions.keys import with_hex_steps
 from ..functions.scalar import angle
 from ..schema import TILE
 
@@ -94,9 +94,10 @@ def projected_steps(lens: DataFrame, edges: DataFrame, baseline: float, reach: i
     """
     p = offsets(lens, reach, reach)
     dx, dy = F.round(F.col("ncx") - F.col("cx"), 6), F.round(F.col("ncy") - F.col("cy"), 6)
-    moves = p.groupBy(dx.alias("dx"), dy.alias("dy")).agg(F.count("*").alias("n")).withColumn("k", hex_steps(F.col("dx"), F.col("dy"), baseline))
+    moves = p.groupBy(dx.alias("dx"), dy.alias("dy")).agg(F.count("*").alias("n"))
+    moves = with_hex_steps(moves, "dx", "dy", baseline, "k")
     ways = edges.select(F.round(F.col("ux") * F.col("baseline"), 6).alias("bx"), F.round(F.col("uy") * F.col("baseline"), 6).alias("by")).distinct()
-    ways = ways.withColumn("k", hex_steps(F.col("bx"), F.col("by"), baseline))
+    ways = with_hex_steps(ways, "bx", "by", baseline, "k")
     j = ways.join(moves, "k").where(angle(F.col("dx"), F.col("dy"), F.col("bx"), F.col("by")) * 57.29578 <= degrees)
     j = j.withColumn("proj", F.round(F.abs(F.col("dx") * F.col("bx") + F.col("dy") * F.col("by")) / F.hypot("bx", "by"), 6))
     w = Window.partitionBy("bx", "by").orderBy("proj")

@@ -1,6 +1,6 @@
 """Queries over the given tables, each with its SQL counterpart."""
 
-from . import grids, stats
+from . import graphs, grids, stats
 from .catalog import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "grids", "stats"]
+__all__ = ["ORACLES", "QUERIES", "graphs", "grids", "stats"]
