@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, licences, mixture, neardup, quality, repeats, tokenfile
+from . import ann, bpe, licences, mixture, neardup, quality, repeats, tokenfile, vectordup, webtext
 
 QUERIES = {
+    "op1_collision_counting_ann": ann.query,
+    "op2_html_crf": webtext.query,
     "op3_mix_sources": mixture.query,
     "op4_suffix_array_dedup": repeats.query,
     "op5_minhash_odd_sketches": neardup.query,
@@ -12,6 +14,7 @@ QUERIES = {
     "op7_token_bit_planes": tokenfile.query,
     "op8_licence_scan": licences.query,
     "op9_quality_nbsvm": quality.query,
+    "op10_rotated_code_neardup": vectordup.query,
 }
 ORACLES = {
     "op3_mix_sources": mixture.ORACLE,
