@@ -23,7 +23,6 @@ import json
 import re
 import sys
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,20 +38,19 @@ PIECE_BYTES = 2 << 20
 
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _QUICK = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\w{_SPACE}]|_)+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_odd_pattern: list[re.Pattern] = []
+_ODD: set[str] = set()
 
 
-def _odd() -> re.Pattern:
-    """Numbers that are no decimal digits, and what only one of the two engines takes for a blank: such texts need Unicode classes."""
-    if not _odd_pattern:
-        chars = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")]
-        _odd_pattern.append(re.compile("[\x1c-\x1f" + re.escape("".join(chars)) + "]"))
-    return _odd_pattern[0]
+def _plain(text: str) -> bool:
+    """Whether the classes of ``re`` are right for a text: no number but decimal digits, no blank of one engine only."""
+    if not _ODD:
+        _ODD.update("\x1c\x1d\x1e\x1f", *(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")))
+    return _ODD.isdisjoint(text)
 
 
 def pieces(text: str) -> list[str]:
     """The pre-tokenizer's pieces of a text."""
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f") or not _odd().search(text):
+    if _plain(text):
         return _QUICK.findall(text)
     import regex
 
@@ -76,7 +74,7 @@ class Vocabulary:
         vocab: dict[str, int] = spec["model"]["vocab"]
         of = byte_symbols()
         back = {c: b for b, c in of.items()}
-        self.byte_id = [vocab[of[b]] for b in range(256)]
+        self.byte_ids = np.array([vocab[of[b]] for b in range(256)], np.int64)
         self.merge: dict[int, int] = {}  # left id << 32 | right id -> rank
         self.left, self.right, self.made = [], [], []
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -85,6 +83,8 @@ class Vocabulary:
             self.left.append(vocab[a])
             self.right.append(vocab[b])
             self.made.append(vocab[a + b])
+        self.pair_keys = np.array(sorted(self.merge), np.int64)
+        self.pair_ranks = np.array([self.merge[k] for k in self.pair_keys.tolist()], np.int64)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         size = 1 + max([*vocab.values(), *self.special.values()])
         self.token = [b""] * size
@@ -94,23 +94,28 @@ class Vocabulary:
             self.token[i] = s.encode()
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
-    def encode_pieces(self, words: list[str]) -> list[list[int]]:
-        """Ids of distinct pieces, merged together."""
-        symbol: list[int] = []
-        start = []
-        byte_id = self.byte_id
-        for w in words:
-            start.append(len(symbol))
-            symbol += [byte_id[b] for b in w.encode()]
-            symbol.append(-1)
-        n = len(symbol)
+    def encode_pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces end to end, and how many each has."""
+        raw = [w.encode() for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+        start = np.cumsum(size) - size
+        laid = np.full(int(size.sum()), -1, np.int64)
+        inside = np.ones(len(laid), bool)
+        inside[start + size - 1] = False
+        laid[inside] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        n = len(laid)
+        pair = laid[:-1] << 32 | laid[1:]
+        at = np.minimum(np.searchsorted(self.pair_keys, pair), len(self.pair_keys) - 1)
+        found = np.flatnonzero((self.pair_keys[at] == pair) & inside[:-1] & inside[1:])
+        rank = self.pair_ranks[at[found]]
+        order = np.argsort(rank, kind="stable")
+        rank, found = rank[order], found[order].tolist()
+        cut = [*np.flatnonzero(np.diff(rank, prepend=-1)).tolist(), len(rank)]
+        # The pair occurrence index: rank -> places.
+        places: dict[int, list[int]] = {int(rank[i]): found[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)}
+        symbol = laid.tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        places: dict[int, list[int]] = defaultdict(list)  # the pair occurrence index
         merge, left, right, made = self.merge.get, self.left, self.right, self.made
-        for i in range(n - 1):
-            rank = merge(symbol[i] << 32 | symbol[i + 1]) if symbol[i] >= 0 <= symbol[i + 1] else None
-            if rank is not None:
-                places[rank].append(i)
         active = list(places)
         heapq.heapify(active)
         while active:
@@ -132,27 +137,31 @@ class Vocabulary:
                 if x >= 0:
                     new = merge(c << 32 | x)
                     if new is not None:
-                        if new not in places:
+                        if new in places:
+                            places[new].append(i)
+                        else:
                             heapq.heappush(active, new)
-                        places[new].append(i)
+                            places[new] = [i]
                 h = before[i]
                 if h >= 0 and (x := symbol[h]) >= 0:
                     new = merge(x << 32 | c)
                     if new is not None:
-                        if new not in places:
+                        if new in places:
+                            places[new].append(h)
+                        else:
                             heapq.heappush(active, new)
-                        places[new].append(h)
-        out = []
-        for s, e in zip(start, [*start[1:], n], strict=True):
-            out.append([x for x in symbol[s : e - 1] if x >= 0])
-        return out
+                            places[new] = [h]
+        done = np.array(symbol, np.int64)
+        alive = done >= 0
+        count = np.add.reduceat(alive, start) if len(start) else np.zeros(0, np.int64)
+        return done[alive].astype(np.int32), count
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.token.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 class Memo:
-    """Ids of texts from the ids of their pieces; ``encode`` gives the ids of new pieces."""
+    """Ids of texts from the ids of their pieces; ``encode`` gives the ids of new pieces end to end and their numbers."""
 
     def __init__(self, encode, special: dict[str, int], cut: re.Pattern | None) -> None:
         self.encode, self.special, self.cut = encode, special, cut
@@ -161,17 +170,16 @@ class Memo:
     def clear(self) -> None:
         self.index: dict = {}
         self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self._add([(s,) for s in self.special], [[i] for i in self.special.values()])
+        self._add([(s,) for s in self.special], np.array(list(self.special.values()), np.int32), np.ones(len(self.special), np.int64))
 
-    def _add(self, keys: list, ids: list[list[int]]) -> None:
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+    def _add(self, keys: list, ids: np.ndarray, size: np.ndarray) -> None:
         self.index.update(zip(keys, range(len(self.size), len(self.size) + len(keys)), strict=True))
         self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
         self.size = np.append(self.size, size)
-        self.flat = np.append(self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(size.sum())))
+        self.flat = np.append(self.flat, ids.astype(np.int32))
 
     def _keys(self, text: str) -> list:
-        if self.cut is None or not self.cut.search(text):
+        if not any(s in text for s in self.special):
             return pieces(text)
         out, at = [], 0
         for m in self.cut.finditer(text):
@@ -191,7 +199,7 @@ class Memo:
             ends.append(len(keys))
         new = list(set(keys).difference(self.index))
         for k in range(0, len(new), 50_000):
-            self._add(new[k : k + 50_000], self.encode(new[k : k + 50_000]))
+            self._add(new[k : k + 50_000], *self.encode(new[k : k + 50_000]))
         at = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
         size = self.size[at]
         total = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])

@@ -77,9 +77,13 @@ def _encoder(data: str) -> Memo:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         vocabulary = Vocabulary(data)
-        _encoders[key] = Memo(
-            lambda words: [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)], vocabulary.special, vocabulary.cut
-        )
+
+        def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found = [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter((i for x in found for i in x), np.int32, int(size.sum())), size
+
+        _encoders[key] = Memo(encode, vocabulary.special, vocabulary.cut)
     return _encoders[key]
 
 
