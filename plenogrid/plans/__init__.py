@@ -1,6 +1,6 @@
 """Queries over the given tables, each with its SQL counterpart."""
 
-from . import graphs, grids, stats
+from . import depth, fuse, graphs, grids, reprojection, stats
 from .catalog import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graphs", "grids", "stats"]
+__all__ = ["ORACLES", "QUERIES", "depth", "fuse", "graphs", "grids", "reprojection", "stats"]
