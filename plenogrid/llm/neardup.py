@@ -14,12 +14,14 @@ A document's set holds the distinct five-word shingles of its text (words
 3. Each band bucket is a star around its smallest member.  Odd sketches and set
    sizes discard hopeless pairs, every member keeps its likeliest star, and
    these pairs are confirmed on the full sets.
-4. The confirmed links give components.  In buckets that still hold several
-   components, only members outside the bucket's largest one are compared, with
-   all members of other components; what the sketches let pass is confirmed.
-   Afterwards every pair that shares a bucket is linked, refused or already in
-   one component, so no link is lost to the stars and no group is expanded
-   into all its pairs.
+4. The confirmed links give components.  In buckets that still hold several,
+   the members outside the bucket's largest component are tried against one
+   member of it, another one in each bucket, then, where that did not connect
+   them, against all members of other components; only pairs that sizes and
+   sketches leave come out of these joins, and they are confirmed.  Afterwards
+   every pair that shares a bucket is linked, refused or already in one
+   component, so no link is lost to the stars, and no group is expanded into
+   all its pairs.
 
 Confirmation streams texts past the text of a star's centre; a large star is
 dealt to several tasks with a copy of its centre each.
@@ -44,8 +46,8 @@ from .common import components, materialize, shuffle_partitions
 
 WORDS, BANDS, ROWS, SKETCH_BITS = 5, 30, 4, 512
 SIMILAR = (75, 100)
-#: Pairs whose sketches say less are not confirmed; over five standard deviations below the threshold.
-SKETCH_FLOOR = 0.5
+#: Pairs whose sketches say less are not confirmed; 4.5 standard deviations below the threshold.
+SKETCH_FLOOR = 0.56
 #: Members of a star that share one copy of its centre.
 STAR = 500
 _U = np.uint64
@@ -101,6 +103,12 @@ def _estimate(a: str, b: str) -> Column:
     return 1.0 - flips / (2.0 * BANDS * ROWS)
 
 
+def _promising() -> Column:
+    """Whether sizes (na, nb) and sketches (sa, sb) leave a pair."""
+    num, den = SIMILAR
+    return (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (_estimate("sa", "sb") >= SKETCH_FLOOR)
+
+
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b, estimate) of the pairs that sizes and sketches leave."""
     side = classes.select("cid", "n_shingles", "sketch")
@@ -108,9 +116,7 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         pairs.join(side.select(F.col("cid").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a")
         .join(side.select(F.col("cid").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b")
     )
-    num, den = SIMILAR
-    both = both.where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
-    return both.select("a", "b", _estimate("sa", "sb").alias("estimate")).where(F.col("estimate") >= SKETCH_FLOOR)
+    return both.where(_promising()).select("a", "b", _estimate("sa", "sb").alias("estimate"))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,21 +180,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     links = materialize(confirm(tried, known).unionByName(twice))
     roots = components(links)
 
-    placed = buckets.select("bucket", "cid").join(roots, F.col("cid") == F.col("node"), "left").select("bucket", "cid", F.coalesce("root", "cid").alias("part"))
-    parts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("k")).where("k > 1").select("bucket", "largest")
-    placed = materialize(placed.join(largest, "bucket"))
-    outside = placed.where("part <> largest").select("bucket", F.col("cid").alias("a"), F.col("part").alias("part_a"))
-    rest = (
-        outside.join(placed.select("bucket", F.col("cid").alias("b"), F.col("part").alias("part_b"), "largest"), "bucket")
-        .where("part_a <> part_b and (part_b = largest or a < b)")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    rest = materialize(_likely(rest, classes).select("a", "b"))
-    if not rest.isEmpty():
-        more = confirm(rest, known)
-        roots = components(links.unionByName(more))
+    side = classes.select("cid", "n_shingles", "sketch")
+    for all_members in (False, True):
+        placed = buckets.select("bucket", "cid").join(roots, F.col("cid") == F.col("node"), "left").select("bucket", "cid", F.coalesce("root", "cid").alias("part"))
+        parts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+        largest = parts.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("k")).where("k > 1").select("bucket", "largest")
+        placed = materialize(placed.join(largest, "bucket").join(side, "cid"))
+        outside = placed.where("part <> largest").select("bucket", F.col("cid").alias("a"), F.col("part").alias("pa"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
+        inside = placed.select("bucket", "largest", F.col("cid").alias("b"), F.col("part").alias("pb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+        if not all_members:
+            inside = inside.where("pb = largest").groupBy("bucket").agg(F.min_by(F.struct("largest", "b", "pb", "nb", "sb"), F.xxhash64("b", "bucket")).alias("x")).select("bucket", "x.*")
+        near = outside.join(inside, "bucket").where((F.col("pa") != F.col("pb")) & ((F.col("pb") == F.col("largest")) | (F.col("a") < F.col("b"))) & _promising())
+        rest = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        rest = materialize(rest)
+        if rest.isEmpty():
+            continue
+        links = materialize(links.unionByName(confirm(rest, known)))
+        tried = tried.unionByName(rest)
+        roots = components(links)
 
     own = member.select("doc_id", "cid").distinct()
     own = own.join(roots, F.col("cid") == F.col("node"), "left").select("doc_id", F.coalesce("root", "cid").alias("found"))
