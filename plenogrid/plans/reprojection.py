@@ -72,18 +72,18 @@ def filter_counts(spark, sf):
     return R.filter_counts(R.filter_reasons(X.disparity(spark, sf), X.edges(spark, sf), B))
 
 
-@register("cycle_metrics", q(f"""WITH px AS (SELECT {S}, avg(error) AS e FROM err GROUP BY ALL) SELECT tile_x, tile_y, count(*) AS n, round(avg(e), 6) AS mean, round(sqrt(avg(e * e)), 6) AS rmse FROM px GROUP BY GROUPING SETS ((tile_x, tile_y), ())"""))
+@register("cycle_metrics", q(f"""WITH pe AS (SELECT {S}, avg(error) AS e FROM err GROUP BY ALL) SELECT tile_x, tile_y, count(*) AS n, round(avg(e), 6) AS mean, round(sqrt(avg(e * e)), 6) AS rmse FROM pe GROUP BY GROUPING SETS ((tile_x, tile_y), ())"""))
 def cycle_metrics(spark, sf):
     return rounded(R.cycle_metrics(errors(spark, sf)), "mean", "rmse")
 
 
-@register("completeness", q(f"""WITH px AS (SELECT {S}, count(*) AS views, count(*) FILTER (error <= 0.5) AS good FROM err GROUP BY ALL) SELECT tile_x, tile_y, round(count(*) FILTER (good >= 2) / count(*), 6) AS joint, round(count(*) FILTER (good >= 1) / count(*), 6) AS single,
-  round(count(*) FILTER (views >= 1) / count(*), 6) AS covered FROM disparity LEFT JOIN px USING ({S}) GROUP BY 1, 2"""))
+@register("completeness", q(f"""WITH pe AS (SELECT {S}, count(*) AS views, count(*) FILTER (error <= 0.5) AS good FROM err GROUP BY ALL) SELECT tile_x, tile_y, round(count(*) FILTER (good >= 2) / count(*), 6) AS joint, round(count(*) FILTER (good >= 1) / count(*), 6) AS single,
+  round(count(*) FILTER (views >= 1) / count(*), 6) AS covered FROM disparity LEFT JOIN pe USING ({S}) GROUP BY 1, 2"""))
 def completeness(spark, sf):
     return rounded(R.completeness(errors(spark, sf), X.disparity(spark, sf)), "joint", "single", "covered")
 
 
-@register("error_map", q(f"""WITH px AS (SELECT {S}, median(error) AS e FROM err GROUP BY ALL HAVING count(*) >= 2) SELECT tile_x, tile_y, count(*) AS n, round(avg(e), 6) AS mean, round(sqrt(avg(e * e)), 6) AS rmse, round(quantile_cont(e, 0.9), 6) AS p90, count(*) FILTER (e <= 0.5) AS within_ FROM px WHERE e <= 3 GROUP BY 1, 2"""))
+@register("error_map", q(f"""WITH pe AS (SELECT {S}, median(error) AS e FROM err GROUP BY ALL HAVING count(*) >= 2) SELECT tile_x, tile_y, count(*) AS n, round(avg(e), 6) AS mean, round(sqrt(avg(e * e)), 6) AS rmse, round(quantile_cont(e, 0.9), 6) AS p90, count(*) FILTER (e <= 0.5) AS within_ FROM pe WHERE e <= 3 GROUP BY 1, 2"""))
 def error_map(spark, sf):
     return rounded(R.error_map(errors(spark, sf)), "mean", "rmse", "p90").withColumnRenamed("within", "within_")
 
@@ -101,7 +101,7 @@ def photo_residual(spark, sf):
     return rounded(R.photo_residual(X.disparity(spark, sf), X.pixel(spark, sf), X.edges(spark, sf), B), "residual", places=5)
 
 
-@register("gradient_buckets", q(f"""WITH px AS (SELECT {S}, avg(error) AS e FROM err GROUP BY ALL), {MIRROR}, {SOBEL} SELECT CAST(least(50, floor(sobel / 10)) AS BIGINT) AS bucket, count(*) AS n, round(avg(e), 6) AS mean FROM px JOIN sobel USING ({S}) GROUP BY 1"""))
+@register("gradient_buckets", q(f"""WITH pe AS (SELECT {S}, avg(error) AS e FROM err GROUP BY ALL), {MIRROR}, {SOBEL} SELECT CAST(least(50, floor(sobel / 10)) AS BIGINT) AS bucket, count(*) AS n, round(avg(e), 6) AS mean FROM pe JOIN sobel USING ({S}) GROUP BY 1"""))
 def gradient_buckets(spark, sf):
     return rounded(R.gradient_buckets(errors(spark, sf), G.sobel(X.pixel(spark, sf))), "mean")
 
