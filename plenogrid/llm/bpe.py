@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Distinct pieces whose ids a task keeps; it starts anew beyond.
-KEPT_PIECES = 250_000
+KEPT_PIECES = 600_000
 #: Bytes of text that are encoded together.
 PIECE_BYTES = 2 << 20
 

@@ -87,7 +87,7 @@ def _encoder(data: str) -> Memo:
     return _encoders[key]
 
 
-def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, layout: str = "byte", level: int = 3) -> None:
+def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, layout: str = "byte", level: int = 1) -> None:
     """Encode all texts and write them to ``path`` in ascending order of doc_id."""
     if layout not in ("byte", "bit"):
         raise ValueError("layout is byte or bit")
