@@ -1,6 +1,6 @@
 """Queries over the given tables, each with its SQL counterpart."""
 
-from . import depth, fuse, graphs, grids, reprojection, stats
+from . import depth, fuse, graphs, grids, reprojection, stats, textures
 from .catalog import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "depth", "fuse", "graphs", "grids", "reprojection", "stats"]
+__all__ = ["ORACLES", "QUERIES", "depth", "fuse", "graphs", "grids", "reprojection", "stats", "textures"]
