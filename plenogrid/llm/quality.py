@@ -1,8 +1,9 @@
 """A quality classifier: naive Bayes support vectors.
 
 Features are indicators of n-grams of bytes: of three bytes of the lower-cased
-text, and of one to four bytes of its *shape*, in which letters, digits and
-blanks are folded into one byte a run.  They are hashed to 65,536 columns.
+text, of one to four bytes of its *shape*, in which letters, digits and blanks
+are folded into one byte a run, and of one to four marks of whether a word
+repeats the one before it.  They are hashed to 65,536 columns.
 Each indicator is scaled by its class log-count ratio, documents are scaled to
 length one, and a linear hinge-loss model is fitted by dual coordinate descent
 (Wang and Manning 2012; Hsieh et al. 2008).
@@ -67,6 +68,20 @@ def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         code = (code[: len(shape) - k] << _U(8)) | shape[k:]
         same = row[k:] == row[: len(row) - k]
         seen[(row[k:] * COLUMNS + _columns(code, k))[same]] = True
+    # Whether each word repeats the one before it, as one to four such marks in a row.
+    _, s, e, first = H.words(buf, off)
+    if len(s):
+        word = H.spans(H.prefix(H._LOWER[buf]), s, e)
+        row = np.repeat(np.arange(n), np.diff(first))
+        mark = np.ones(len(word), _U)
+        mark[1:] += (word[1:] == word[:-1]) & (row[1:] == row[:-1])
+        code = np.zeros(len(mark), _U)
+        for k in range(4):
+            if len(mark) <= k:
+                break
+            code = (code[: len(mark) - k] << _U(2)) | mark[k:]
+            same = row[k:] == row[: len(row) - k]
+            seen[(row[k:] * COLUMNS + _columns(code, 20 + k))[same]] = True
     return np.flatnonzero(seen)
 
 
@@ -91,7 +106,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(norm, 1e-12) + self.intercept, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, rounds: int = 20, smooth: float = 1.0) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 2.0, rounds: int = 20, smooth: float = 1.0) -> Model:
     """NB-SVM by dual coordinate descent on documents given as arrays of columns."""
     y = np.where(labels > 0, 1.0, -1.0)
     if not len(y) or abs(y.sum()) == len(y):
@@ -101,7 +116,6 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, rounds: i
         counts[int(positive)][r] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     unit = [ratio[r] / max(1e-12, np.sqrt(np.square(ratio[r]).sum())) for r in rows]
-    most = cost * len(y) / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))  # both classes weigh the same
     w, b, alpha = np.zeros(COLUMNS), 0.0, np.zeros(len(y))
     square = np.array([u @ u for u in unit]) + 1.0
     order = np.random.default_rng(7)
@@ -109,7 +123,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, rounds: i
         largest = 0.0
         for i in order.permutation(len(y)):
             gradient = y[i] * (w[rows[i]] @ unit[i] + b) - 1.0
-            new = min(max(alpha[i] - gradient / square[i], 0.0), most[i])
+            new = min(max(alpha[i] - gradient / square[i], 0.0), cost)
             change = (new - alpha[i]) * y[i]
             if change:
                 alpha[i] = new
