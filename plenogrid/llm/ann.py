@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from . import vectors as V
 
-PROJECTIONS, COLLISIONS, VERIFIED = 96, 0.7, 0.15
+PROJECTIONS, COLLISIONS = 96, 0.7
+#: Share of a block that is verified for each query, and at least ten times k.
+VERIFIED = 0.15
 #: First half-width of a window in standard deviations of a projection, and the factor between two widths.
 FIRST, WIDEN = 0.6, 1.12
 BLOCK, QUERIES = 8192, 4096
@@ -51,7 +53,7 @@ class Index:
         """For each query the rows that collided often enough."""
         n = len(self.x)
         own = q @ self.directions[:, :-1].T
-        need = min(n, k + int(np.ceil(VERIFIED * n)))
+        need = min(n, max(10 * k, int(np.ceil(VERIFIED * n))))
         often = max(1, int(COLLISIONS * PROJECTIONS))
         widths = [FIRST * self.spread]
         edges: list[tuple[np.ndarray, np.ndarray]] = []

@@ -127,7 +127,6 @@ def _shared(key: np.ndarray) -> np.ndarray:
 def _double(rank: np.ndarray, length: int, seed: int, row: np.ndarray, place: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions (as indices) that keep a shared rank up to ``length`` bytes, and their ranks, by doubling from ``seed``."""
     keep, size = np.arange(len(row)), seed
-    at = {0: h[place]}  # rank of size bytes at each offset that a later step needs
     offsets = {0}
     plan = []
     while size < length:
@@ -136,7 +135,7 @@ def _double(rank: np.ndarray, length: int, seed: int, row: np.ndarray, place: np
         size += step
     for step in reversed(plan):
         offsets |= {o + step for o in offsets}
-    at = {o: h[place + o] for o in offsets}
+    at = {o: h[place + o] for o in offsets}  # ranks of ``size`` bytes at each offset that a later step needs
     for step in plan:
         at = {o: H.mix(at[o] + H.mix(at[o + step] ^ np.uint64(step))) for o in at if o + step in at}
         live = _shared(H.mix(at[0]) ^ rank[row[keep]])
@@ -193,11 +192,10 @@ def _window_ranks(length: int, seed: int):
             for k in range(0, batch.num_rows, 2000):
                 t = batch.slice(k, 2000)
                 row, offset, place, h = _positions(t.column("bytes"), length, seed)
-                p, size, ranks = place, seed, None
                 offs = list(range(0, length - seed, seed)) + [length - seed]
-                ranks = np.zeros(len(p), np.uint64)
+                ranks = np.zeros(len(place), np.uint64)
                 for o in offs:
-                    ranks = H.mix(ranks + h[p + o])
+                    ranks = H.mix(ranks + h[place + o])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(t.column("rank").to_numpy()[row]),

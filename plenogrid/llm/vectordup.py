@@ -17,8 +17,9 @@ nothing is capped.
 
 Defined results: vectors that are null, zero or of another length than most, or
 hold null or non-finite components, and rows without an id, link with nothing
-and are kept; repeated rows count as vectors of their own; extra columns are
-ignored; an empty table gives an empty result.
+and are kept; repeated rows count as vectors of their own, rows that repeat an
+id with another vector share its component; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -156,7 +157,6 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, vec_id: str =
     dim = V.common_length(rows, "vector")
     good = rows.where(F.col("vec_id").isNotNull() & V.usable(F.col("vector"), dim))
     classes = materialize(good.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")))
-    # Two classes of one id can only come from rows that repeat it; they are told apart by their own number, the smaller id leads.
     found = materialize(links(classes, dim, threshold))
     roots = components(found)
     size = classes.groupBy("rep").agg(F.max("size").alias("size"))

@@ -151,9 +151,7 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
         stack.append((tag, tuple(features)))
     if at < len(page):
         text.append(page[at:])
-    stack_end = stack
     flush()
-    del stack_end
     for _, f in out:
         if semantic:
             f.append("in:article" if "t:article" in f or "t:main" in f else "out:article")
