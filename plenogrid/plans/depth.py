@@ -77,12 +77,12 @@ def robust_segment_fit(spark, sf):
 
 @register("error_report", sql("""WITH p AS (SELECT CAST(floor((vd - 3.9) / 0.2) AS INT) AS s, gt, (1500 * vd + 2000) / (1 - CAST(0.05 AS DOUBLE) * vd) AS pred FROM depth_pair), q AS (SELECT CASE WHEN s < 6 THEN s END AS seg_id, gt, CASE WHEN s < 6 THEN pred END AS pred FROM p),
   g AS (SELECT seg_id, count(gt - pred) AS n, avg(pow(gt - pred, 2)) AS mse, avg(abs(gt - pred)) AS mae, median(abs(gt - pred)) AS median, count(*) FILTER (pred IS NULL) AS outside, CAST(grouping(seg_id) AS INT) AS total FROM q GROUP BY ROLLUP (seg_id))
-  SELECT seg_id, n, round(mse, 4) AS mse, round(sqrt(mse), 4) AS rmse, round(mae, 4) AS mae, round(median, 4) AS median, outside, total FROM g WHERE total = 1 OR seg_id IS NOT NULL""", "depth_pair"))
+  SELECT coalesce(seg_id, -1) AS seg_id, n, round(mse, 4) AS mse, round(sqrt(mse), 4) AS rmse, round(mae, 4) AS mae, round(median, 4) AS median, outside, total FROM g WHERE total = 1 OR seg_id IS NOT NULL""", "depth_pair"))
 def error_report(spark, sf):
     d = X.depth_pair(spark, sf)
     s = F.floor((F.col("vd") - 3.9) / 0.2).cast("int")
     d = d.withColumn("seg_id", F.when(s < 6, s)).withColumn("pred", F.when(s < 6, (1500 * F.col("vd") + 2000) / (1 - 0.05 * F.col("vd"))))
-    return rounded(D.error_report(d), "mse", "rmse", "mae", "median", places=4)
+    return rounded(D.error_report(d).fillna(-1, ["seg_id"]), "mse", "rmse", "mae", "median", places=4)
 
 
 @register("unimodal_gate", sql("""WITH b AS (SELECT CAST(k % 50 AS BIGINT) AS g, floor(gt / 2500) AS bin, count(*) AS c FROM depth_pair WHERE vd < 4.3 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY c DESC, bin) AS k FROM b),

@@ -72,9 +72,9 @@ def filter_counts(spark, sf):
     return R.filter_counts(R.filter_reasons(X.disparity(spark, sf), X.edges(spark, sf), B))
 
 
-@register("cycle_metrics", q(f"""WITH pe AS (SELECT {S}, avg(error) AS e FROM err GROUP BY ALL) SELECT tile_x, tile_y, count(*) AS n, round(avg(e), 6) AS mean, round(sqrt(avg(e * e)), 6) AS rmse FROM pe GROUP BY GROUPING SETS ((tile_x, tile_y), ())"""))
+@register("cycle_metrics", q(f"""WITH pe AS (SELECT {S}, avg(error) AS e FROM err GROUP BY ALL) SELECT coalesce(tile_x, -1) AS tile_x, coalesce(tile_y, -1) AS tile_y, count(*) AS n, round(avg(e), 6) AS mean, round(sqrt(avg(e * e)), 6) AS rmse FROM pe GROUP BY GROUPING SETS ((tile_x, tile_y), ())"""))
 def cycle_metrics(spark, sf):
-    return rounded(R.cycle_metrics(errors(spark, sf)), "mean", "rmse")
+    return rounded(R.cycle_metrics(errors(spark, sf)).fillna(-1, ["tile_x", "tile_y"]), "mean", "rmse")
 
 
 @register("completeness", q(f"""WITH pe AS (SELECT {S}, count(*) AS views, count(*) FILTER (error <= 0.5) AS good FROM err GROUP BY ALL) SELECT tile_x, tile_y, round(count(*) FILTER (good >= 2) / count(*), 6) AS joint, round(count(*) FILTER (good >= 1) / count(*), 6) AS single,
