@@ -41,10 +41,6 @@ def at_centre(c: Column) -> Column:
     return F.max(F.when((F.col("dx") == 0) & (F.col("dy") == 0), c))
 
 
-def around(cond: Column, c: Column) -> Column:
-    return F.when(cond, c)
-
-
 def reflect(c: Column, side: int = SIDE) -> Column:
     """Coordinates beyond the border, mirrored at the border pixel."""
     c = F.abs(c)
@@ -149,7 +145,7 @@ def spikes(df: DataFrame, value: str = "d", tolerance: float = 1.0, least: int =
     return g.select(*key, "x", "y", F.col("c").alias(value), F.size("ring").alias("n"), (F.coalesce(F.abs(F.col("c") - m) > tolerance, F.lit(False)) & (F.size("ring") >= least)).cast("int").alias("spike"))
 
 
-#: The samples of the checkerboard filter.
+# The samples of the checkerboard filter.
 DIAMOND = [(0, 0), (0, -1), (0, -3), (0, -5), (0, 1), (0, 3), (0, 5), (-1, 0), (-3, 0), (-5, 0), (1, 0), (3, 0), (5, 0), (-1, -2), (1, -2), (-1, 2), (1, 2), (-2, -1), (-2, 1), (2, -1), (2, 1)]
 
 

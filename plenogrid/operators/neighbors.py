@@ -50,7 +50,7 @@ def rings(edges: DataFrame, most: int = 5) -> DataFrame:
     return found
 
 
-#: Upper bounds of rings 1 to 4 in baselines; nearer than the first is no neighbour.
+# Fixed values.  J03: upper bounds of rings 1 to 4 in baselines; nearer than the first is no neighbour.
 WINDOW_RINGS = (0.9, 1.1, 2.1, 3.1, 4.1)
 
 

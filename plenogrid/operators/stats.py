@@ -81,9 +81,9 @@ def streaming_quantile(df: DataFrame, by: Sequence[str], value: str, p: float, a
     return clean(df, by, value).groupBy(*by).agg(F.percentile_approx("v", F.lit(p), F.lit(accuracy)).alias("q"))
 
 
-def histogram_plan(df: DataFrame, by: Sequence[str], value: str, least: int = 64, most: int = 65536) -> DataFrame:
+def histogram_plan(df: DataFrame, by: Sequence[str], value: str, least: int = 64, most: int = 65536, r: DataFrame | None = None) -> DataFrame:
     """(by, n, lo, hi, bins, width) of the Freedman-Diaconis rule, Scott's where the quartiles coincide, then the range."""
-    r = ranked(df, by, value)
+    r = ranked(df, by, value) if r is None else r
     q = at_places(r, by, {"q1": RULES["nearest"](F.col("n"), 0.25), "q3": RULES["nearest"](F.col("n"), 0.75)})
     m = clean(df, by, value).groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("sd"))
     g = q.join(m, list(by)) if by else q.crossJoin(m)
@@ -137,13 +137,13 @@ def hdi_histogram(h: DataFrame, by: Sequence[str], share: float) -> DataFrame:
     return best.select(*by, (F.col("x.lo") + F.col("x.b") * F.col("x.width")).alias("hdi_lo"), (F.col("x.lo") + (F.col("x.e") + 1) * F.col("x.width")).alias("hdi_hi"))
 
 
-def hdi_exact(df: DataFrame, by: Sequence[str], value: str, share: float) -> DataFrame:
+def hdi_exact(df: DataFrame, by: Sequence[str], value: str, share: float, r: DataFrame | None = None) -> DataFrame:
     """The shortest interval of sample values that holds ceil(share n) of them, the first of equals.
 
     Values are numbered by ``ranked`` and joined with the value need - 1 places
     on: an equi-join on the place, so no group is sorted as a whole.
     """
-    r = ranked(df, by, value)
+    r = ranked(df, by, value) if r is None else r
     each = r.select(*by, "v", "n", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("copies") - 1)).alias("i"))
     need = F.ceil(F.col("n") * share)
     ends = each.select(*by, F.col("v").alias("v2"), (F.col("i") - need + 1).alias("i"))
@@ -152,15 +152,21 @@ def hdi_exact(df: DataFrame, by: Sequence[str], value: str, share: float) -> Dat
 
 
 def report(df: DataFrame, by: Sequence[str], value: str, share: float = 0.5) -> DataFrame:
-    """Moments, quartiles, histogram mode, density intervals and fences in one row per group."""
-    r = ranked(df, by, value)
+    """Moments, quartiles, histogram mode, density intervals and fences in one row per group.
+
+    The ranked values, the bins and the few rows that describe them are written
+    once, since several parts read them.
+    """
+    from ..plans.steps import written
+
+    r = written(ranked(df, by, value))
     n = F.col("n")
     q = at_places(r, by, {k: RULES["nearest"](n, p) for k, p in (("q05", 0.05), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q95", 0.95))}).drop("n")
-    plan = histogram_plan(df, by, value)
-    h = histogram(df, by, value, plan)
+    plan = written(histogram_plan(df, by, value, r=r))
+    h = written(histogram(df, by, value, plan))
     parts = [
         moments(df, by, value), q, plan.select(*by, "bins", "width"), histogram_mode(h, by).select(*by, "mode"),
-        hdi_histogram(h, by, share).select(*by, F.col("hdi_lo").alias("hdi_bin_lo"), F.col("hdi_hi").alias("hdi_bin_hi")), hdi_exact(df, by, value, share),
+        hdi_histogram(h, by, share).select(*by, F.col("hdi_lo").alias("hdi_bin_lo"), F.col("hdi_hi").alias("hdi_bin_hi")), hdi_exact(df, by, value, share, r),
     ]
     out = parts[0]
     for p in parts[1:]:

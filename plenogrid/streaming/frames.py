@@ -1,7 +1,7 @@
 """Frames as they arrive: the batch operators on a file stream.
 
-The reference of these operators is a loop over frames that frees each frame;
-a stream of frame files with one batch at a time has the same memory bound.
+A stream of frame files with one batch at a time holds no more than one batch,
+like a loop over frames that frees each one.
 """
 
 from __future__ import annotations
