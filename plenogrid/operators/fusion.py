@@ -179,3 +179,10 @@ def relaxed(disparity: DataFrame, edges: DataFrame, pixel: DataFrame, unit: floa
             priced = F.transform("tried", lambda d, i: F.struct(F.round(cost(d), 9).alias("c"), i.alias("i"), d.alias("d")))
             now = written(j.select(*SITE, F.array_min(priced)["d"].alias("d")))
     return now
+
+
+def two_levels(disparity: DataFrame, edges: DataFrame, pixel: DataFrame, unit: float, rounds: int = 1) -> DataFrame:
+    """Disparities of the coarser level, halved and copied back, seed the holes of the finer one, which is then relaxed."""
+    seeds = coarse_seeds(disparity, halved(disparity)).withColumnRenamed("d", "seed")
+    seeded = disparity.select(*SITE, "d").join(seeds, SITE, "left").select(*SITE, F.coalesce("d", "seed").alias("d"))
+    return relaxed(seeded, edges, pixel, unit, rounds)

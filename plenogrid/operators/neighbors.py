@@ -238,3 +238,28 @@ def similarity_measures(pixel: DataFrame, edges: DataFrame) -> DataFrame:
     c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
     ssim = (2 * F.col("ma") * F.col("mb") + c1) * (2 * F.col("cov") + c2) / ((F.col("ma") ** 2 + F.col("mb") ** 2 + c1) * (F.col("va") + F.col("vb") + c2))
     return g.select(*PAIR, "euclid", ssim.alias("ssim"))
+
+
+def adaptive_rows(lens: DataFrame, baseline: float) -> DataFrame:
+    """(tile, row, col): a centre belongs to the current row while it lies within half a baseline of the row's mean y so far.
+
+    The fold runs over distinct y values on a grid of a thousandth, whose number the height of the image
+    bounds, and not over lenses; columns follow x.
+    """
+    ys = lens.groupBy(F.round("cy", 3).alias("y")).agg(F.count("*").alias("c"))
+    order = F.array_sort(F.collect_list(F.struct("y", "c")))
+    zero = F.expr("cast(array() as array<struct<s:double,n:bigint,lo:double,hi:double>>)")
+
+    def step(acc: Column, v: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        new = F.coalesce(v["y"] - last["s"] / last["n"] >= baseline / 2, F.lit(True))
+        weight = v["y"] * v["c"]
+        first = F.struct(weight.alias("s"), v["c"].alias("n"), v["y"].alias("lo"), v["y"].alias("hi"))
+        more = F.struct((last["s"] + weight).alias("s"), (last["n"] + v["c"]).alias("n"), last["lo"].alias("lo"), v["y"].alias("hi"))
+        head = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+        return F.when(new, F.concat(acc, F.array(first))).otherwise(F.concat(head, F.array(more)))
+
+    rows = ys.agg(F.aggregate(order, zero, step).alias("r")).select(F.posexplode("r").alias("row", "r")).select(F.col("row").cast("long").alias("row"), "r.lo", "r.hi")
+    own = ys.select("y").join(rows, (F.col("y") >= F.col("lo")) & (F.col("y") <= F.col("hi"))).select("y", "row")
+    j = lens.withColumn("y", F.round("cy", 3)).join(own, "y")
+    return j.select(*TILE, "row", (F.row_number().over(Window.partitionBy("row").orderBy("cx")) - 1).alias("col"))

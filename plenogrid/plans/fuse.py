@@ -165,3 +165,9 @@ def crop_pixels(spark, sf):
     steps = F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))
     sites = lens.select(*TILE, "cx", "cy", F.explode(steps).alias("ox")).select("*", F.explode(steps).alias("oy")).select(*TILE, "ox", "oy", (gx + F.col("ox")).alias("gx"), (gy + F.col("oy")).alias("gy"))
     return sites.join(frame, [*TILE, "gx", "gy"]).select(*TILE, "ox", "oy", "gx", "gy", "v")
+
+
+@register("two_level_relaxation")
+def two_level_relaxation(spark, sf):
+    """No SQL form; a test holds it against its invariants."""
+    return rounded(U.two_levels(X.disparity(spark, sf), X.edges(spark, sf), X.pixel(spark, sf), B), "d")

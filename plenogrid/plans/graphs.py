@@ -193,3 +193,10 @@ def baseline_normal(spark, sf):
     """A31."""
     w = Window.partitionBy(*TILE)
     return X.edges(spark, sf).select(*N.PAIR, F.round(F.exp(-F.col("baseline") / F.greatest(F.lit(1.0), F.max("baseline").over(w))), 6).alias("weight"))
+
+
+@register("adaptive_rows", sql("""WITH RECURSIVE y AS (SELECT y, c, row_number() OVER (ORDER BY y) AS i FROM (SELECT round(cy, 3) AS y, count(*) AS c FROM lens GROUP BY 1)),
+  w AS (SELECT i, y, CAST(0 AS BIGINT) AS row, y * c AS s, c AS n FROM y WHERE i = 1 UNION ALL SELECT y.i, y.y, CASE WHEN y.y - s / n >= 6 THEN row + 1 ELSE row END, CASE WHEN y.y - s / n >= 6 THEN y.y * y.c ELSE s + y.y * y.c END, CASE WHEN y.y - s / n >= 6 THEN y.c ELSE n + y.c END FROM w JOIN y ON y.i = w.i + 1)
+  SELECT tile_x, tile_y, row, CAST(row_number() OVER (PARTITION BY row ORDER BY cx) - 1 AS INT) AS col FROM lens JOIN w ON w.y = round(cy, 3)""".replace("WITH RECURSIVE", "WITH", 1), "lens").replace("WITH ", "WITH RECURSIVE ", 1))
+def adaptive_rows(spark, sf):
+    return N.adaptive_rows(X.lens(spark, sf), B)

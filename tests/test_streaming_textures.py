@@ -50,3 +50,9 @@ def test_relaxation_keeps_sites_and_costs_nothing_more(spark, sf):
     d, p = fixtures.disparity(spark, sf), fixtures.pixel(spark, sf)
     out = fusion.relaxed(d.where("tile_y < 3"), fixtures.edges(spark, sf), p, fixtures.BASELINE, rounds=1)
     assert out.count() == d.where("tile_y < 3 and d > 0").count() and out.where("d is null").count() == 0
+
+
+def test_two_levels_fill_the_holes(spark, sf):
+    d = fixtures.disparity(spark, sf).where("tile_y < 2")
+    out = fusion.two_levels(d, fixtures.edges(spark, sf), fixtures.pixel(spark, sf), fixtures.BASELINE)
+    assert out.where("d is null").count() == 0 and d.where("d > 0").count() < out.count() <= d.count()
