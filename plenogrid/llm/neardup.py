@@ -188,17 +188,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     links = materialize(confirm(tried, known).unionByName(twice))
     roots = components(links)
 
-    side = classes.select("cid", "n_shingles", "sketch")
+    side = classes.select("cid", "n_shingles", "sketch", "bands")
     for all_members in (False, True):
         placed = buckets.select("bucket", "cid").join(roots, F.col("cid") == F.col("node"), "left").select("bucket", "cid", F.coalesce("root", "cid").alias("part"))
         parts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
         largest = parts.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("k")).where("k > 1").select("bucket", "largest")
         placed = materialize(placed.join(largest, "bucket").join(side, "cid"))
-        outside = placed.where("part <> largest").select("bucket", F.col("cid").alias("a"), F.col("part").alias("pa"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-        inside = placed.select("bucket", "largest", F.col("cid").alias("b"), F.col("part").alias("pb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+        outside = placed.where("part <> largest").select("bucket", F.col("cid").alias("a"), F.col("part").alias("pa"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col("bands").alias("ba"))
+        inside = placed.select("bucket", "largest", F.col("cid").alias("b"), F.col("part").alias("pb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"))
+        once = F.lit(True)
         if not all_members:
             inside = inside.where("pb = largest").groupBy("bucket").agg(F.min_by(F.struct("largest", "b", "pb", "nb", "sb"), F.xxhash64("b", "bucket")).alias("x")).select("bucket", "x.*")
-        near = outside.join(inside, "bucket").where((F.col("pa") != F.col("pb")) & ((F.col("pb") == F.col("largest")) | (F.col("a") < F.col("b"))) & _promising())
+        else:  # a pair comes out of the least bucket that it shares
+            once = F.col("bucket") == F.array_min(F.array_intersect("ba", "bb"))
+        near = outside.join(inside, "bucket").where((F.col("pa") != F.col("pb")) & ((F.col("pb") == F.col("largest")) | (F.col("a") < F.col("b"))) & _promising() & once)
         rest = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         rest = materialize(rest)
         if rest.isEmpty():
