@@ -1,14 +1,19 @@
 """Nearest neighbours by largest inner product, with collision-counting hashing.
 
-Each vector gets one further component that brings all to the largest length in
-the table, queries get a zero there; then the nearest by distance are those of
-the largest inner product.  Vectors are dealt to blocks.  A block's index is,
+Vectors are dealt to blocks.  Each vector gets one further component that brings
+all to the largest length in its block; queries get a zero there and are scaled
+to that length, which leaves their order of rows as it is; then the nearest by
+distance are those of the largest inner product.  A block's index is,
 for each of ``PROJECTIONS`` random directions, the array of its vectors'
 projections in sorted order.  A query lays a window around its own projection
 in every array; a vector *collides* where it lies in the window.  Windows widen
 by virtual rehashing, the wider window adding only its two new rims, until
 enough vectors have collided ``COLLISIONS`` times; these are verified with their
-exact inner products, and the best of a block go on to the merge.
+exact inner products.  A block's first directions are orthonormal, so the
+projections on them, with the lengths of what they leave out, bound every inner
+product from above; rows whose bound reaches the k-th exact score are verified
+too.  What stays unverified can't be among the k nearest, whatever the lengths.
+The best of a block go on to the merge.
 
 Every vector is indexed in full.  Queries, a stated set, meet all blocks in
 groups; a task holds one block and one group of queries, both of bounded size.
@@ -40,11 +45,15 @@ BLOCK, QUERIES = 8192, 4096
 class Index:
     """Sorted projections of a block of vectors."""
 
-    def __init__(self, x: np.ndarray, longest: float, seed: int = 11) -> None:
+    def __init__(self, x: np.ndarray, seed: int = 11) -> None:
         self.x = x
+        square = np.square(x).sum(1)
+        self.longest = float(np.sqrt(square.max())) * (1 + 1e-9)
         self.directions = V.rotations(PROJECTIONS, x.shape[1] + 1, seed)
-        rest = np.sqrt(np.maximum(longest**2 - np.square(x).sum(1), 0))
+        rest = np.sqrt(np.maximum(self.longest**2 - square, 0))
         p = (np.column_stack([x, rest]) @ self.directions.T).T
+        self.head = p[: x.shape[1] + 1]
+        self.left_out = np.sqrt(np.maximum(self.longest**2 - np.square(self.head).sum(0), 0))
         self.order = np.argsort(p, axis=1, kind="stable")
         self.sorted = np.take_along_axis(p, self.order, 1)
         self.spread = float(np.median(p.std(axis=1))) or 1.0
@@ -52,7 +61,7 @@ class Index:
     def candidates(self, q: np.ndarray, k: int):
         """For each query the rows that collided often enough."""
         n = len(self.x)
-        own = q @ self.directions[:, :-1].T
+        own = (q * (self.longest / np.sqrt(np.square(q).sum(1, keepdims=True)))) @ self.directions[:, :-1].T
         need = min(n, max(10 * k, int(np.ceil(VERIFIED * n))))
         often = max(1, int(COLLISIONS * PROJECTIONS))
         widths = [FIRST * self.spread]
@@ -84,19 +93,26 @@ class Index:
                 lo0, hi0 = lo, hi
             yield found
 
+    def bounds(self, q: np.ndarray, piece: int = 256):
+        """For each query what the inner product with each row can be at most."""
+        for k in range(0, len(q), piece):
+            some = q[k : k + piece]
+            own = some @ self.directions[: len(self.head), :-1].T
+            square = np.square(some).sum(1)
+            left_out = np.sqrt(np.maximum(square - np.square(own).sum(1), 0))
+            yield from own @ self.head + left_out[:, None] * self.left_out + 1e-9 * self.longest * np.sqrt(square)[:, None]
+
 
 def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query row its k nearest other rows found."""
+    """(query_id, rank, vec_id, score): for each query row its k nearest other rows."""
     spark = rows.sparkSession
     rows = rows.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     dim = V.common_length(rows, "vector")
     rows = rows.where(F.col("vec_id").isNotNull() & V.usable(F.col("vector"), dim))
-    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    n, nq, longest = rows.agg(F.count("*"), F.count_if("asks"), F.max(square)).first()
+    n, nq = rows.agg(F.count("*"), F.count_if("asks")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not n or not nq:
         return spark.createDataFrame([], schema)
-    longest = float(np.sqrt(longest)) * (1 + 1e-9)
     blocks, groups = -(-n // BLOCK), -(-nq // QUERIES)
     left = rows.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
     right = rows.where("asks").select("vec_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("part"))
@@ -106,10 +122,16 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id
         if vectors.num_rows and queries.num_rows:
             ids, x = vectors.column("vec_id").to_numpy(), V.matrix(vectors.column("vector"), dim)
             asked, q = queries.column("vec_id").to_numpy(), V.matrix(queries.column("vector"), dim)
-            index = Index(x, longest)
-            for i, found in enumerate(index.candidates(q, k + 1)):
+            index = Index(x)
+            for i, (found, bound) in enumerate(zip(index.candidates(q, k + 1), index.bounds(q), strict=True)):
                 found = found[ids[found] != asked[i]]
                 score = (x[found] * q[i]).sum(axis=1)
+                open_ = ids != asked[i]
+                open_[found] = False
+                if len(found) >= k:
+                    open_ &= bound >= -np.partition(-score, k - 1)[k - 1]
+                more = np.flatnonzero(open_)
+                found, score = np.concatenate([found, more]), np.concatenate([score, (x[more] * q[i]).sum(axis=1)])
                 if len(found) > k:
                     least = -np.partition(-score, k - 1)[k - 1]
                     keep = score >= least

@@ -325,6 +325,25 @@ def test_nearest_neighbours(spark):
     assert hit >= 0.9 * 20 * len(got)
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.5, 1.0, None])
+def test_nearest_neighbours_of_unequal_length(spark, spread):
+    """Lengths times lognormal(spread), or a single row that is three times longer: the k nearest are found whole."""
+    r = np.random.default_rng(3)
+    x = r.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if spread is None:
+        x[7] *= 3
+    else:
+        x *= r.lognormal(0, spread, (len(x), 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for row in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect():
+        found[row["query_id"]].append(row["vec_id"])
+    for q in range(0, len(x), 20):
+        s = (x * x[q]).sum(1)
+        assert found[q] == [i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:20]
+
+
 def test_nearest_neighbours_few_rows(spark):
     _, df = vectors(spark)
     few = df.where("vec_id in (0, 1, 2, 1000)")
