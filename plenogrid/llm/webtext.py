@@ -38,16 +38,22 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr br".split()
 )
-RAW = "script|style|noscript|template|svg|iframe|object|select|textarea|title|canvas|audio|video"
+#: Elements whose content is no text of the page: to the first end tag, or to the end tag that balances the start.
+RAW_FIRST = frozenset("script style iframe textarea title".split())
+RAW_NESTED = frozenset("noscript template svg object select canvas audio video".split())
 #: Start tags that end an open element of the same group.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PLAIN = frozenset(["html", "body", "div", "span", "tbody"])
 
 _MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"""|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^"'>])*|[^>]*)>|<(?=[a-z/!?])[^>]*\Z""",
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^"'>])*|[^>]*)>|<(?=[a-z/!?])[^>]*\Z""",
     re.S | re.I,
 )
+_SKIPPED = r"<!--.*?(?:-->|\Z)|<(?P<skip>script|style)(?=[\s/>]).*?(?:</(?P=skip)(?=[\s/>])|\Z)"
+_RAW_TAG = {
+    tag: re.compile(rf"""{_SKIPPED}|<(?P<end>/?){tag}(?=[\s/>])(?:(?:"[^"]*"|'[^']*'|[^"'>])*|[^>]*)>""", re.S | re.I) for tag in RAW_NESTED
+}
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW_FIRST}
 _NAMES = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -64,6 +70,38 @@ def _names(rest: str) -> list[str]:
     return out
 
 
+def _raw_ends(page: str):
+    """A function (tag, start, end of the start tag) -> where the raw element ends; each tag's ends are looked for once.
+
+    Where the end tag is missing, script and style take the rest of the page;
+    the others are empty.
+    """
+    nested: dict[str, dict[int, int]] = {}
+    missing: set[str] = set()
+
+    def ends(tag: str, start: int, end: int) -> int:
+        if tag in RAW_FIRST:
+            m = None if tag in missing else _RAW_END[tag].search(page, end)
+            if m:
+                return m.end()
+            missing.add(tag)
+            return len(page) if tag in ("script", "style") else end
+        if tag not in nested:
+            pairs, open_ = {}, []
+            for m in _RAW_TAG[tag].finditer(page):
+                if m["end"] is None:  # a comment or script
+                    continue
+                if not m["end"]:
+                    if tag != "svg" or page[m.end() - 2] != "/":
+                        open_.append(m.start())
+                elif open_:
+                    pairs[open_.pop()] = m.end()
+            nested[tag] = pairs
+        return nested[tag].get(start, end)
+
+    return ends
+
+
 def blocks(page: str) -> list[tuple[str, list[str]]]:
     """(text, features) of the leaf blocks in page order."""
     out: list[tuple[str, list[str]]] = []
@@ -71,6 +109,7 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
     text: list[str] = []
     linked = link_depth = at = 0
     semantic = False
+    raw_ends = _raw_ends(page)
 
     def flush() -> None:
         nonlocal linked
@@ -96,7 +135,7 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
                 out.append((own, features))
         linked = 0
 
-    for m in _MARKUP.finditer(page):
+    while m := _MARKUP.search(page, at):
         a = m.start()
         if a > at:
             piece = page[at:a]
@@ -108,6 +147,9 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if not m["end"] and (tag in RAW_FIRST or tag in RAW_NESTED):
+            at = raw_ends(tag, a, at)
+            continue
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")

@@ -415,6 +415,23 @@ def test_page_cases(spark):
     assert webtext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "markup",
+    [
+        "<video-js id=x></video-js>", "<audio-player src=x></audio-player>", "<svg-icon></svg-icon>", "<object-view></object-view>", "<svg class=i/>", "<svg class='i' />",
+        "<svg><path d=x>", "<object data=x>", "<iframe src=x>", "<svg/><svg><text>no</text></svg>", "<svg><svg><text>no</text></svg><text>no</text></svg>", "<script>'<p>no</p>'</script>",
+        "<STYLE>p > a {}</STYLE >", "<svg><!-- <svg> --><text>no</text></svg>", "<script>'<svg>'</script><svg>no</svg>", "<noscript><p>no</p></noscript>", "<object><object><p>no</p></object><p>no</p></object>", "<video controls><p>no</p></video>",
+    ],
+)
+def test_page_keeps_what_follows_raw_elements(markup):
+    assert [t for t, _ in webtext.blocks(f"<article><p>A</p>{markup}<p>B</p></article><svg></svg>")] == ["A", "B"]
+
+
+def test_page_raw_elements_cut_off():
+    assert [t for t, _ in webtext.blocks("<title-bar>T</title-bar><p>B</p><script>x = '<p>no</p>'")] == ["T", "B"]
+    assert [t for t, _ in webtext.blocks("<p>A</p>" + "<object><iframe>" * 20000 + "<p>B</p>")] == ["A", "B"]
+
+
 def test_viterbi_is_the_best_path():
     r = random.Random(9)
     for _ in range(50):
