@@ -16,6 +16,12 @@ the template's distinct words.  The join is exact and filters before it counts:
 What is left is counted on the words themselves.  Templates are a parameter of
 fixed size; texts are streamed, without a shuffle of them.
 
+``scan(docs, notices=NOTICES)`` joins with whole licence notices instead.  Its
+blocks are all windows of words a quarter longer than a notice, so that line
+ends, comment signs and full stops don't split one, and a window only gets a
+label if the notice's distinguishing phrases (name, variant, version) stand in
+it too.  The registered query keeps the short templates, as its SQL does.
+
 Defined results: a null or empty text has no words, empty labels and score 0;
 repeated rows get equal results; a null id is passed through; extra columns are
 ignored; an empty table gives an empty result.
@@ -46,6 +52,47 @@ TEMPLATES = [
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
 ]
 THRESHOLD = 0.8
+#: Whole notices: label, text and the phrases that tell the licence from its relatives.
+NOTICES = [
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished "
+        "to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        ("permission is hereby granted free of charge", "rights to use copy modify merge publish distribute sublicense and or sell"),
+    ),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        ("apache license version 2 0",),
+    ),
+    (
+        "cc-by-nc",
+        "this work is licensed under the creative commons attribution noncommercial 4 0 international license to view a copy of this license visit http creativecommons org licenses by nc 4 0",
+        ("attribution noncommercial 4 0 international",),
+    ),
+    (
+        "gpl-3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even "
+        "the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        ("gnu general public license", "version 3 of the license"),
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce "
+        "the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        ("redistribution and use in source and binary forms", "redistributions of source code must retain the above copyright notice"),
+    ),
+    (
+        "mpl-2",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+        ("mozilla public license v 2 0",),
+    ),
+]
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -91,14 +138,41 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {w: found.get(w, 0) for w in vocabulary}
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD, spans: bool = False) -> DataFrame:
+def _window(own: list[str], words: list[str], need: int, width: int, phrases: tuple[str, ...]) -> tuple[int, int, int] | None:
+    """(shared, first, last) of the fullest window that holds ``need`` of the words and all phrases."""
+    stands: list[list[tuple[int, int]]] = []
+    for p in (p.split() for p in phrases):
+        stands.append([(i, i + len(p) - 1) for i in range(len(own) - len(p) + 1) if own[i] == p[0] and own[i : i + len(p)] == p])
+    if not all(stands):
+        return None
+    wanted, inside, best = set(words), {}, None
+    at = [i for i, w in enumerate(own) if w in wanted]
+    lo = 0
+    for j in at:
+        inside[own[j]] = inside.get(own[j], 0) + 1
+        while at[lo] <= j - width:
+            w = own[at[lo]]
+            inside[w] -= 1
+            if not inside[w]:
+                del inside[w]
+            lo += 1
+        if len(inside) >= need and (best is None or len(inside) > best[0]) and all(any(at[lo] <= a and b <= j for a, b in s) for s in stands):
+            best = len(inside), at[lo], j
+    return best
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD, spans: bool = False, notices: list[tuple[str, str, tuple[str, ...]]] | None = None) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and, asked for, matches.
 
     ``matches`` lists (label, first word, last word, containment) of all
-    matching blocks.  ``score`` is the largest containment, 1 where a phrase
+    matching blocks, with ``notices`` (which replace the templates) of the fullest
+    window of each stretch of text.  ``score`` is the largest containment, 1 where a phrase
     stands, else 0.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if notices:
+        templates = [(label, text) for label, text, _ in notices]
+    widths = [5 * len(text.split()) // 4 for _, text in templates]
     sets = [(label, sorted(set(text.split()))) for label, text in templates]
     often = frequencies(docs, sorted({w for _, ws in sets for w in ws}))
     ordered = [(label, sorted(ws, key=lambda w: (often[w], w))) for label, ws in sets]
@@ -109,6 +183,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
             leads.setdefault(w, []).append(t)
     lead_words = sorted(leads)
     lead_hash = np.sort(np.array([_hash(w) for w in lead_words], np.uint64))
+    notice_hash = [np.array([_hash(w) for w in ws], np.uint64) for _, ws in ordered]
     words_of = [(p.split(), np.array([_hash(w) for w in p.split()], np.uint64), label) for p, label in phrases.items()]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +215,29 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
                         b[r] = i if b[r] is None else max(b[r], i)
                         base[r].add(label)
                         best[r] = 1.0
-                if len(word):
+                if notices and len(word):
+                    at = np.minimum(np.searchsorted(lead_hash, word), len(lead_hash) - 1)
+                    stretches: dict[tuple[int, int], list[list[int]]] = {}
+                    for x in np.flatnonzero(lead_hash[at] == word).tolist():
+                        r = int(np.searchsorted(first, x, "right")) - 1
+                        for t in leads.get(spelled(x), ()):
+                            i, j = max(int(first[r]), x - widths[t] + 1), min(int(first[r + 1]), x + widths[t])
+                            known = stretches.setdefault((r, t), [])
+                            if known and i <= known[-1][1]:
+                                known[-1][1] = j
+                            else:
+                                known.append([i, j])
+                    for (r, t), known in stretches.items():
+                        label, ws = ordered[t]
+                        for i, j in known:
+                            if j - i < needed[t] or len(np.intersect1d(word[i:j], notice_hash[t])) < needed[t]:
+                                continue
+                            hit = _window([spelled(x) for x in range(i, j)], ws, needed[t], widths[t], notices[t][2])
+                            if hit:
+                                more[r].add(label)
+                                best[r] = max(best[r], hit[0] / len(ws))
+                                found[r].append({"label": label, "first": i + hit[1] - int(first[r]), "last": i + hit[2] - int(first[r]), "containment": hit[0] / len(ws)})
+                elif len(word):
                     at = np.minimum(np.searchsorted(lead_hash, word), len(lead_hash) - 1)
                     for k in np.unique(block[lead_hash[at] == word]).tolist():
                         i, j = (int(x) for x in np.searchsorted(block, [k, k + 1]))

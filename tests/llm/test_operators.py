@@ -273,6 +273,28 @@ def test_licences_cases(spark):
     assert got[7]["labels"] == "mit"  # a block with four of the five words of a template
 
 
+def test_whole_notices(spark):
+    whole = {label: text for label, text, _ in licences.NOTICES}
+
+    def wrapped(text, n=9, sign="\n * "):
+        w = text.split()
+        return "/*" + sign.join(" ".join(w[i : i + n]) for i in range(0, len(w), n)) + ". */ More. Text."
+
+    clean = [
+        "Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International License", "Released under the Apache License.", "licence text the under mit license",
+        "This work is licensed under the GNU General Public License, version 2",
+        wrapped(whole["gpl-3"].replace("version 3", "version 2")), wrapped(whole["gpl-3"].replace("gnu general", "gnu lesser general")),
+        wrapped(whole["cc-by-nc"].replace("noncommercial", "noncommercial sharealike")), wrapped(whole["cc-by-nc"].replace("noncommercial 4 0", "4 0")),
+        wrapped(whole["mpl-2"].replace("v 2 0", "v 1 1")), " filler text here ".join(sorted(set(whole["mit"].split()))),
+    ]
+    real = [(label, "x " * 300 + text + " y" * 300) for label, text in whole.items()]
+    data = [(i, t) for i, t in enumerate([*clean, *(t for _, t in real)])]
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(data, "doc_id long, text string"), notices=licences.NOTICES, spans=True).collect()}
+    assert [got[i]["labels"] for i in range(len(clean))] == [""] * len(clean)
+    assert [got[len(clean) + i]["labels"] for i in range(len(real))] == [label for label, _ in real]
+    assert all(got[len(clean) + i]["matches"][0]["first"] == 300 for i in range(len(whole)))
+
+
 def test_licences_edge_rows(odd):
     assert licences.scan(odd).count() == len(ODD) and licences.scan(odd.where("false")).count() == 0
 
