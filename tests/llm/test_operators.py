@@ -287,7 +287,11 @@ def test_whole_notices(spark):
         wrapped(whole["cc-by-nc"].replace("noncommercial", "noncommercial sharealike")), wrapped(whole["cc-by-nc"].replace("noncommercial 4 0", "4 0")),
         wrapped(whole["mpl-2"].replace("v 2 0", "v 1 1")), " filler text here ".join(sorted(set(whole["mit"].split()))),
     ]
-    real = [(label, "x " * 300 + text + " y" * 300) for label, text in whole.items()]
+    real = [(label, "x " * 300 + wrapped(text) + " y" * 300) for label, text in whole.items()]
+    real += [
+        ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."),
+        ("bsd", wrapped(whole["bsd"].replace("redistributions of", "1. Redistributions of").replace("redistributions in", "\n\n2. Redistributions in"))), ("apache-2", "Licensed under the Apache\nLicense, Version 2.0"),
+    ]
     data = [(i, t) for i, t in enumerate([*clean, *(t for _, t in real)])]
     got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(data, "doc_id long, text string"), notices=licences.NOTICES, spans=True).collect()}
     assert [got[i]["labels"] for i in range(len(clean))] == [""] * len(clean)
