@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,16 +82,23 @@ def planar_prior(disparity: DataFrame, block: int = 4) -> DataFrame:
     return j.select(*SITE, (F.col("c.d") + a * ud + b2 * vd).alias("prior")).where("prior is not null")
 
 
-def grown(df: DataFrame, seeds: DataFrame, gate: float = 0.3, rounds: int = 4) -> DataFrame:
-    """(site, step) of pixels reached from the seeds over neighbours that differ by at most the gate."""
+def grown(df: DataFrame, seeds: DataFrame, gate: float = 0.3, rounds: int | None = None) -> DataFrame:
+    """(site, step) of pixels reached from the seeds over neighbours that differ by at most the gate.
+
+    Grows until a round adds no pixel, or for ``rounds`` rounds where that is
+    given.  Regions stay in their tile, whose pixels all lie within the radius
+    of 18 that the method allows.
+    """
     from ..plans.steps import written
 
     valid = df.where("d is not null").select(*SITE, "d")
     found = written(seeds.select(*SITE, "d", F.lit(0).alias("step")))
-    for r in range(1, rounds + 1):
+    for r in count(1) if rounds is None else range(1, rounds + 1):
         seen = scatter(found.where(F.col("step") == r - 1).select(*SITE, F.col("d").alias("from")), [(-1, 0), (1, 0), (0, -1), (0, 1)]).select(*SITE, "from")
         j = valid.join(seen, SITE).where(F.abs(F.col("d") - F.col("from")) <= gate).select(*SITE, "d").distinct()
         found = written(found.unionByName(j.join(found, SITE, "left_anti").withColumn("step", F.lit(r))))
+        if found.where(F.col("step") == r).isEmpty():
+            break
     return found.select(*SITE, F.col("step").cast("long").alias("step"))
 
 

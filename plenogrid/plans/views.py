@@ -53,9 +53,10 @@ def planar_prior(spark, sf):
   UNION SELECT b.tile_x, b.tile_y, b.x, b.y, b.d, g.step + 1 FROM g JOIN v b ON b.tile_x = g.tile_x AND b.tile_y = g.tile_y AND abs(b.x - g.x) + abs(b.y - g.y) = 1 AND abs(b.d - g.d) <= 0.05 WHERE g.step < 4)
   SELECT tile_x, tile_y, x, y, CAST(min(step) AS BIGINT) AS step FROM g GROUP BY ALL""", "disparity").replace("WITH ", "WITH RECURSIVE ", 1))
 def region_growing(spark, sf):
+    """I12 for the four steps of the SQL; ``grown`` without ``rounds`` fills the regions."""
     d = X.disparity(spark, sf)
     seeds = d.where("d is not null and cost < 1 and (x + 3 * y) % 13 = 0")
-    return M.grown(d, seeds, gate=0.05)
+    return M.grown(d, seeds, gate=0.05, rounds=4)
 
 
 @register("all_in_focus", sql("WITH " + SPLAT + """, s AS (SELECT s.*, p.v FROM splat s JOIN pixel p USING (tile_x, tile_y, x, y)), m AS (SELECT vx, vy, median(vd) AS m FROM s GROUP BY 1, 2),

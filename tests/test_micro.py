@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plenogrid.functions import keys, scalar
-from plenogrid.operators import depthmodel, grid, neighbors, reproject, stats
+from plenogrid.operators import depthmodel, grid, mvs, neighbors, reproject, stats
 
 
 @pytest.fixture(scope="module")
@@ -89,3 +89,14 @@ def test_empty_grid(spark):
     e = spark.createDataFrame([], "tile_x bigint, tile_y bigint, ntile_x bigint, ntile_y bigint, baseline double, ux double, uy double")
     assert reproject.filter_reasons(df, e, 12.0).count() == 0
     assert neighbors.rings(e, 2).count() == 0
+
+
+def test_region_growing_fills_the_region(spark):
+    """A path of 34 steps through a tile, its walls far off in disparity."""
+    path = [(x, y) for y in range(0, 8, 2) for x in (range(8) if y % 4 == 0 else range(7, -1, -1))]
+    path += [(7, 1), (0, 3), (7, 5)]
+    rows = [(0, 0, x, y, 1.0 if (x, y) in path else 5.0) for x in range(8) for y in range(8)]
+    df = spark.createDataFrame(rows, "tile_x long, tile_y long, x long, y long, d double")
+    got = {(r["x"], r["y"]): r["step"] for r in mvs.grown(df, df.where("x = 0 and y = 0")).collect()}
+    assert set(got) == set(path) and max(got.values()) == len(path) - 1
+    assert mvs.grown(df, df.where("x = 0 and y = 0"), rounds=4).count() == 5
