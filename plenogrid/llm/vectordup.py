@@ -11,7 +11,7 @@ threshold are dropped, all others are recomputed from the vectors themselves in
 double precision, so that no link below the threshold is reported.
 
 Candidates share a band, ``BITS`` sign bits of the codes; at a cosine of 0.9 a
-pair misses all ``BANDS`` bands with a probability of 0.0011, above that with
+pair misses all ``BANDS`` bands with a probability of 9e-8, above that with
 less.  A bucket of many classes is dealt as pairs of parts to several tasks;
 nothing is capped.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import vectors as V
 from .common import components, materialize, shuffle_partitions
 
-THRESHOLD, BANDS, BITS, BOUND = 0.9, 40, 12, 5.0
+THRESHOLD, BANDS, BITS, BOUND = 0.9, 96, 12, 5.0
 #: Classes of one bucket that a task compares at once.
 PART = 2048
 

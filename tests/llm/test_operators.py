@@ -397,6 +397,17 @@ def test_vector_near_duplicates(spark, monkeypatch, part):
     assert vectordup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_links_just_above_the_threshold_are_found(spark):
+    """5,000 pairs at a cosine of 0.9001; with 40 bands one of 900 missed every band."""
+    r = np.random.default_rng(1)
+    x, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in r.standard_normal((2, 5000, 64)))
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.9001 * x + np.sqrt(1 - 0.9001**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    classes = spark.createDataFrame([(2 * i + k, v.tolist()) for i, p in enumerate(zip(x, y, strict=True)) for k, v in enumerate(p)], "rep long, vector array<double>")
+    got = {(p["a"], p["b"]) for p in vectordup.links(classes, 64).collect()}
+    assert {(2 * i, 2 * i + 1) for i in range(5000)} <= got
+
+
 def test_embeddings_have_their_recall(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
     x, ids = np.stack(e.embedding).astype(float), e.vec_id.to_numpy()
