@@ -35,7 +35,10 @@ def white_image(spark: SparkSession, folder: str, name: str = "mask") -> DataFra
 
 
 def bitmaps(spark: SparkSession, folder: str) -> DataFrame:
-    """(frame, x, y, r, g, b) of uncompressed 24-bit bitmaps; other formats need a decoder that is not built in."""
+    """(frame, x, y, r, g, b) of the frames; all must be uncompressed 24-bit bitmaps.
+
+    A frame of another format raises an error, as no decoder for it is built in.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,8 +54,8 @@ def bitmaps(spark: SparkSession, folder: str) -> DataFrame:
                 y, x = np.mgrid[0 : abs(h), 0:w]
                 yield pa.RecordBatch.from_arrays([pa.array([frame] * x.size), *(pa.array(a.ravel().astype(np.int32)) for a in (x, y, px[..., 2], px[..., 1], px[..., 0]))], ["frame", "x", "y", "r", "g", "b"])
 
-    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.bmp").load(folder)
-    return f.select(stem().alias("frame"), "content").mapInArrow(decode, "frame string, x int, y int, r int, g int, b int")
+    f = spark.read.format("binaryFile").load(folder)
+    return f.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*IMAGES)).select(stem().alias("frame"), "content").mapInArrow(decode, "frame string, x int, y int, r int, g int, b int")
 
 
 def intrinsics(spark: SparkSession, path: str) -> DataFrame:

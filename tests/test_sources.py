@@ -3,6 +3,7 @@
 import struct
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plenogrid.sources import files as S
@@ -21,6 +22,15 @@ def test_frames_and_bitmaps(spark, tmp_path):
     assert len(got) == 6 and got[0, 1] == (0, 1, 2) and got[2, 0] == (15, 16, 17)
 
 
+def test_bitmaps_pass_no_frame_over(spark, tmp_path):
+    head = b"BM" + struct.pack("<IHHI", 58, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0)
+    (tmp_path / "f1.BMP").write_bytes(head + b"\1\2\3\0")
+    assert [tuple(r) for r in S.bitmaps(spark, str(tmp_path)).collect()] == [("f1", 0, 0, 3, 2, 1)]
+    (tmp_path / "f2.png").write_bytes(b"\x89PNG\r\n\x1a\n")
+    with pytest.raises(Exception, match="f2: no bitmap"):
+        S.bitmaps(spark, str(tmp_path)).collect()
+
+
 def test_lens_table(spark, tmp_path):
     df = spark.createDataFrame([(1, 2, 10.5, 20.25, 60.0, False), (3, 4, 1.0, 2.0, 61.0, True)], "tile_x long, tile_y long, cx double, cy double, area double, abandoned boolean")
     S.write_lens_table(df, str(tmp_path / "x"))
