@@ -16,12 +16,19 @@ A document's set holds the distinct five-word shingles of its text (words
    these pairs are confirmed on the full sets.
 4. The confirmed links give components.  In buckets that still hold several,
    the members outside the bucket's largest component are tried against one
-   member of it, another one in each bucket, then, where that did not connect
-   them, against all members of other components; only pairs that sizes and
-   sketches leave come out of these joins, and they are confirmed.  Afterwards
-   every pair that shares a bucket is linked, refused or already in one
-   component, so no link is lost to the stars, and no group is expanded into
-   all its pairs.
+   member of it, the likeliest over all buckets.
+5. Buckets that hold several components even then are compared inside tasks:
+   the members outside the largest component, in parts of ``PART``, meet all
+   members, in parts too.  A first pass over sizes and sketches names the
+   members that have a likely partner in such a cell; a second one streams
+   their texts past the outsiders of the cell, counts shared shingles through
+   an inverted list and emits a link only where it joins two components that
+   the cell had not joined yet.  No row is made for a pair: both passes put out
+   at most one row per member of a cell.
+
+Afterwards every pair that shares a bucket is linked, refused or already in one
+component, so no link is lost to the stars.  Equality of two sets is judged by
+128 bits of hash sums over them, shingles by 64 bits.
 
 Confirmation streams texts past the text of a star's centre; a large star is
 dealt to several tasks with a copy of its centre each.
@@ -51,7 +58,9 @@ SIMILAR = (75, 100)
 #: Pairs whose sketches say less are not confirmed; four standard deviations below the threshold.
 SKETCH_FLOOR = 0.66
 #: Members of a star that share one copy of its centre.
-STAR = 500
+STAR = 64
+#: Classes of a bucket that make one part of it.
+PART = 256
 _U = np.uint64
 _A = H.mix(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0x9E6C63D0876A9A47)) | _U(1)
 _C = H.mix(_A + _U(12345))
@@ -117,14 +126,15 @@ def _promising() -> Column:
     return (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (_estimate("sa", "sb") >= SKETCH_FLOOR)
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, estimate) of the pairs that sizes and sketches leave."""
+def _likeliest(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) that sizes and sketches leave, the likeliest one of each b."""
     side = classes.select("cid", "n_shingles", "sketch")
     both = (
         pairs.join(side.select(F.col("cid").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a")
         .join(side.select(F.col("cid").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b")
     )
-    return both.where(_promising()).select("a", "b", _estimate("sa", "sb").alias("estimate"))
+    likely = both.where(_promising()).select("a", "b", _estimate("sa", "sb").alias("estimate"))
+    return materialize(likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b"))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +174,146 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_confirm, "a long, b long").distinct()
 
 
+def _cells(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int, int], int, int]]:
+    """((bucket, i, j), first row, end row) of the stretches of a sorted batch that lie in one cell."""
+    key = [batch.column(k).to_numpy() for k in ("bucket", "i", "j")]
+    cut = np.flatnonzero(np.any([np.diff(k) != 0 for k in key], axis=0)) + 1
+    ends = [0, *cut.tolist(), batch.num_rows]
+    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+        if hi > lo:
+            yield tuple(int(k[lo]) for k in key), lo, hi
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def _likely_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell, a cell's outsiders (side 0) first: those that sizes and sketches leave with a partner in their cell."""
+    num, den = SIMILAR
+    most = SKETCH_BITS * (1 - np.exp(-(1 - SKETCH_FLOOR) * 2 * SAMPLES * 2 / SKETCH_BITS)) / 2  # differing bits at SKETCH_FLOOR
+    now, held = None, []
+    for batch in batches:
+        side, cid, part, size = (batch.column(k).to_numpy() for k in ("side", "cid", "part", "n_shingles"))
+        central = batch.column("central").to_numpy(zero_copy_only=False)
+        sketch, bands = _matrix(batch.column("sketch")).view(np.uint64), _matrix(batch.column("bands"))
+        out: list[list] = [[] for _ in range(6)]
+
+        def put(cell: tuple[int, int, int], which: int, ids: np.ndarray, parts: np.ndarray) -> None:
+            for k, v in enumerate((*cell, which)):
+                out[k].append(np.full(len(ids), v, np.int64))  # noqa: B023
+            out[4].append(ids)  # noqa: B023
+            out[5].append(parts)  # noqa: B023
+
+        for cell, lo, hi in _cells(batch):
+            if cell != now:
+                now, held = cell, []
+            m = lo + int(np.searchsorted(side[lo:hi], 1))
+            if m > lo:
+                held.append([x[lo:m].copy() for x in (cid, part, size, sketch, bands)] + [np.zeros(m - lo, bool)])
+            if m == hi or not held:
+                continue
+            if len(held) > 1:
+                held = [[np.concatenate(x) for x in zip(*held, strict=True)]]
+            a_id, a_part, a_size, a_sketch, a_bands, told = held[0]
+            for k in range(m, hi, PART):
+                s = slice(k, min(k + PART, hi))
+                differ = np.zeros((len(a_id), s.stop - k), np.int64)
+                for w in range(sketch.shape[1]):
+                    differ += np.bitwise_count(a_sketch[:, w][:, None] ^ sketch[s, w][None, :])
+                fit = (differ <= most) & (a_part[:, None] != part[s][None, :]) & (central[s][None, :] | (a_id[:, None] < cid[s][None, :]))
+                fit &= den * np.minimum(a_size[:, None], size[s][None, :]) >= num * np.maximum(a_size[:, None], size[s][None, :])
+                x, y = np.nonzero(fit)
+                if len(x):  # a pair is compared in the least bucket that it shares
+                    first = np.where(a_bands[x] == bands[s][y], a_bands[x], np.iinfo(np.int64).max).min(axis=1) == cell[0]
+                    x, y = np.unique(x[first]), np.unique(y[first])
+                    x = x[~told[x]]
+                    told[x] = True
+                    put(cell, 0, a_id[x], a_part[x])
+                    put(cell, 1, cid[s][y], part[s][y])
+        columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns[0]), *(pa.array(c.astype(np.int32)) for c in columns[1:4]), pa.array(columns[4]), pa.array(columns[5])], ["bucket", "i", "j", "side", "cid", "part"]
+        )
+
+
+class _Joined:
+    """Which components a cell's links have joined."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by cell, a cell's outsiders first: a forest of the links between components of the cell."""
+    num, den = SIMILAR
+    now, held, index, joined = None, [], None, _Joined()
+    for batch in batches:
+        side, cid, part = (batch.column(k).to_numpy() for k in ("side", "cid", "part"))
+        cells = list(_cells(batch))
+        starts = {lo: cell for cell, lo, _ in cells}
+        left, right = [], []
+        for lo, hi, sets in _sets(batch.column("text")):
+            for r in range(lo, hi):
+                own = sets[r - lo]
+                if r in starts and starts[r] != now:
+                    now, held, index, joined = starts[r], [], None, _Joined()
+                if side[r] == 0:
+                    held.append((int(cid[r]), int(part[r]), own))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    hashes, owner = np.concatenate([h for _, _, h in held]), np.repeat(np.arange(len(held)), [len(h) for _, _, h in held])
+                    order = np.argsort(hashes, kind="stable")
+                    index = hashes[order], owner[order], np.array([len(h) for _, _, h in held])
+                hashes, owner, sizes = index
+                a, b = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+                length = b - a
+                at = np.repeat(a - np.cumsum(length) + length, length) + np.arange(length.sum())
+                same = np.bincount(owner[at], minlength=len(held))
+                for k in np.flatnonzero(den * same >= num * (sizes + len(own) - same)).tolist():
+                    if joined.join(held[k][1], int(part[r])):
+                        left.append(held[k][0])
+                        right.append(int(cid[r]))
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+
+def _placed(buckets: DataFrame, roots: DataFrame, side: DataFrame) -> DataFrame:
+    """The buckets that hold several components: bucket, cid, part, largest, n_all, n_out and the class's columns."""
+    placed = buckets.select("bucket", "cid").join(roots, F.col("cid") == F.col("node"), "left").select("bucket", "cid", F.coalesce("root", "cid").alias("part"))
+    parts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+    several = parts.groupBy("bucket").agg(
+        F.max_by("part", F.struct("n", "part")).alias("largest"), F.sum("n").alias("n_all"), (F.sum("n") - F.max("n")).alias("n_out")
+    ).where("n_out > 0")
+    return materialize(placed.join(several, "bucket").join(side, "cid"))
+
+
+def _links_in_cells(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of each bucket as far as its full sets do."""
+    n = shuffle_partitions(placed.sparkSession)
+    counted = placed.withColumn("central", F.col("part") == F.col("largest"))
+    counted = counted.withColumns({"outer": F.ceil(F.col("n_out") / PART).cast("int"), "all": F.ceil(F.col("n_all") / PART).cast("int")})
+    columns = ["bucket", "i", "j", "side", "cid", "part", "central", "n_shingles", "sketch", "bands"]
+    outside = counted.where("not central").withColumns({"i": F.pmod(F.xxhash64("cid"), F.col("outer")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("all") - 1)), "side": F.lit(0)})
+    inside = counted.withColumns({"j": F.pmod(F.xxhash64("cid", "bucket"), F.col("all")).cast("int"), "i": F.explode(F.sequence(F.lit(0), F.col("outer") - 1)), "side": F.lit(1)})
+    cells = outside.select(columns).unionByName(inside.select(columns)).repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    likely = materialize(cells.mapInArrow(_likely_members, "bucket long, i int, j int, side int, cid long, part long").distinct())
+    routed = texts.join(likely.hint("shuffle_hash"), texts.doc_id == likely.cid).select("bucket", "i", "j", "side", "cid", "part", "text")
+    return routed.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side").mapInArrow(_cell_links, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id and kept."""
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -180,34 +330,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     banded = classes.select("cid", F.explode("bands").alias("bucket"))
     stars = banded.groupBy("bucket").agg(F.min("cid").alias("star"), F.count("*").alias("n")).where("n > 1")
     buckets = materialize(banded.join(stars.select("bucket", "star"), "bucket"))
+    # The texts that may have to be compared; the corpus is not shuffled again.
+    texts = materialize(known.join(buckets.select(F.col("cid").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi"))
     pairs = buckets.where("cid <> star").select(F.col("star").alias("a"), F.col("cid").alias("b")).distinct()
-    best = _likely(pairs, classes).groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b")
-    tried = materialize(best)
     twice = member.groupBy("doc_id").agg(F.min("cid").alias("a"), F.collect_set("cid").alias("b")).where(F.size("b") > 1)
     twice = twice.select("a", F.explode("b").alias("b")).where("a <> b")  # an id with several texts ties their classes
-    links = materialize(confirm(tried, known).unionByName(twice))
+    links = materialize(confirm(_likeliest(pairs, classes), texts).unionByName(twice))
     roots = components(links)
 
     side = classes.select("cid", "n_shingles", "sketch", "bands")
-    for all_members in (False, True):
-        placed = buckets.select("bucket", "cid").join(roots, F.col("cid") == F.col("node"), "left").select("bucket", "cid", F.coalesce("root", "cid").alias("part"))
-        parts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-        largest = parts.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("k")).where("k > 1").select("bucket", "largest")
-        placed = materialize(placed.join(largest, "bucket").join(side, "cid"))
-        outside = placed.where("part <> largest").select("bucket", F.col("cid").alias("a"), F.col("part").alias("pa"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col("bands").alias("ba"))
-        inside = placed.select("bucket", "largest", F.col("cid").alias("b"), F.col("part").alias("pb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"))
-        once = F.lit(True)
-        if not all_members:
-            inside = inside.where("pb = largest").groupBy("bucket").agg(F.min_by(F.struct("largest", "b", "pb", "nb", "sb"), F.xxhash64("b", "bucket")).alias("x")).select("bucket", "x.*")
-        else:  # a pair comes out of the least bucket that it shares
-            once = F.col("bucket") == F.array_min(F.array_intersect("ba", "bb"))
-        near = outside.join(inside, "bucket").where((F.col("pa") != F.col("pb")) & ((F.col("pb") == F.col("largest")) | (F.col("a") < F.col("b"))) & _promising() & once)
-        rest = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        rest = materialize(rest)
-        if rest.isEmpty():
-            continue
-        links = materialize(links.unionByName(confirm(rest, known)))
-        tried = tried.unionByName(rest)
+    placed = _placed(buckets, roots, side)
+    if not placed.isEmpty():
+        one = placed.where("part = largest").groupBy("bucket").agg(F.min_by("cid", F.xxhash64("cid", "bucket")).alias("a"))
+        pairs = placed.where("part <> largest").select("bucket", F.col("cid").alias("b")).join(one, "bucket").select("a", "b").distinct()
+        links = materialize(links.unionByName(confirm(_likeliest(pairs, classes), texts)))
+        roots = components(links)
+        placed = _placed(buckets, roots, side)
+        links = materialize(links.unionByName(_links_in_cells(placed, texts)))
         roots = components(links)
 
     own = member.select("doc_id", "cid").distinct()
