@@ -86,6 +86,9 @@ class Index:
                 lo, hi = (e[i].tolist() for e in edge(t))
                 if lo0 is None:
                     rims = [o[a:b] for o, a, b in zip(self.order, lo, hi, strict=True)]
+                    if 2 * (sum(hi) - sum(lo)) > self.order.size:  # fewer lie outside
+                        rims = [x for o, a, b in zip(self.order, lo, hi, strict=True) for x in (o[:a], o[b:])]
+                        count, rims = PROJECTIONS - np.bincount(np.concatenate(rims), minlength=n), []
                 else:
                     rims = [o[a:b] for o, a, b in zip(self.order, lo, lo0, strict=True) if a < b]
                     rims += [o[a:b] for o, a, b in zip(self.order, hi0, hi, strict=True) if a < b]
