@@ -27,6 +27,13 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def unit(column: pa.Array, dim: int) -> np.ndarray:
+    """A list column of equally long lists as rows of length one."""
+    x = matrix(column, dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.square(x).sum(axis=1, keepdims=True))
+
+
 def rotations(n: int, dim: int, seed: int) -> np.ndarray:
     """n directions of unit length, orthogonal within each group of ``dim``."""
     rng = np.random.default_rng(seed)
