@@ -102,10 +102,44 @@ def _raw_ends(page: str):
     return ends
 
 
-def blocks(page: str) -> list[tuple[str, list[str]]]:
-    """(text, features) of the leaf blocks in page order."""
-    out: list[tuple[str, list[str]]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []  # block-level and inline elements that are open, with their features
+class _Level:
+    """An open block-level element: what its chain of ancestors weighs, and the inline elements open within it."""
+
+    __slots__ = ("tag", "base", "inline", "total", "article")
+
+    def __init__(self, tag: str, base, article: bool, zero) -> None:
+        self.tag, self.base, self.article = tag, base, article
+        self.inline: dict[str, list] = {}
+        self.total = zero
+
+
+def blocks(page: str, weights: dict[str, float] | None = None) -> list[tuple[str, list[str] | float]]:
+    """(text, features) of the leaf blocks in page order; with ``weights`` (text, sum of the features' weights).
+
+    An open element keeps the features, or their summed weights, of all its
+    ancestors, so that a block costs the same at any depth.
+    """
+    if weights is None:
+        zero, fold = [], list
+
+        def less(total: list[str], value: list[str]) -> list[str]:
+            rest = list(total)
+            for f in value:
+                rest.remove(f)
+            return rest
+
+    else:
+        zero, get = 0.0, weights.get
+
+        def fold(features: list[str]) -> float:
+            return sum([get(f, 0.0) for f in features])
+
+        def less(total: float, value: float) -> float:
+            return total - value
+
+    out: list[tuple] = []  # text, what the ancestors weigh, own features, feature of the size, within an article
+    levels = [_Level("body", zero, False, zero)]
+    known: dict[str, int] = {}  # how many elements of a tag are open
     text: list[str] = []
     linked = link_depth = at = 0
     semantic = False
@@ -117,24 +151,21 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
             own = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if own:
-                features: list[str] = []
-                parent = "body"
-                for tag, f in stack:
-                    features += f
-                    if tag not in INLINE:
-                        parent = tag
-                features.append(f"p:{parent}")
-                n = own.count(" ") + 1
-                features.append(f"n:{min(9, n.bit_length())}")
-                features.append(f"l:{min(4, int(5 * linked / max(1, len(own))))}")
-                features.append("end:stop" if own[-1] in ".!?…\"”»" else "end:bare")
+                level = levels[-1]
+                size = f"n:{min(9, (own.count(' ') + 1).bit_length())}"
+                features = [f"p:{level.tag}", size, f"l:{min(4, int(5 * linked / max(1, len(own))))}", "end:stop" if own[-1] in ".!?…\"”»" else "end:bare"]
                 if "©" in own:
                     features.append("has:copyright")
                 if " | " in own or "»" in own or "·" in own:
                     features.append("has:bar")
-                out.append((own, features))
+                out.append((own, level.base + level.total, features, size, level.article))
         linked = 0
 
+    def close(k: int) -> None:
+        for level in levels[k:]:
+            known[level.tag] -= 1
+        del levels[k:]
+
     while m := _MARKUP.search(page, at):
         a = m.start()
         if a > at:
@@ -151,57 +182,52 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
             at = raw_ends(tag, a, at)
             continue
         if tag in INLINE:
+            level = levels[-1]
             if tag == "br":
                 text.append(" ")
             elif tag == "a":
                 link_depth = 0 if m["end"] else 1
             elif tag not in VOID:
-                if m["end"]:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == tag:
-                            del stack[k]
-                            break
-                        if stack[k][0] not in INLINE:
-                            break
-                elif m["rest"]:
-                    stack.append((tag, tuple(_names(m["rest"]))))
-                else:
-                    stack.append((tag, ()))
+                if not m["end"]:
+                    value = fold(_names(m["rest"])) if m["rest"] else zero
+                    level.inline.setdefault(tag, []).append(value)
+                    level.total = level.total + value
+                elif level.inline.get(tag):
+                    level.total = less(level.total, level.inline[tag].pop())
             continue
         flush()
         link_depth = 0
         if tag in VOID:
             continue
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if known.get(tag):
+                close(next(k for k in range(len(levels) - 1, 0, -1) if levels[k].tag == tag))
             continue
         over = ENDS.get(tag, ("p", "h1", "h2", "h3", "h4", "h5", "h6") if tag != "p" else ("p",))
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in over:
-                del stack[k:]
+        for k in range(len(levels) - 1, 0, -1):
+            if levels[k].tag in over:
+                close(k)
                 break
-            if stack[k][0] not in INLINE and stack[k][0] != "p":
+            if levels[k].tag != "p":
                 break
         features = [] if tag in PLAIN else [f"t:{tag}"]
-        if tag in ("article", "main"):
-            semantic = True
+        semantic = semantic or tag in ("article", "main")
         if m["rest"]:
             features += _names(m["rest"])
-        stack.append((tag, tuple(features)))
+        above = levels[-1]
+        levels.append(_Level(tag, above.base + above.total + fold(features), above.article or tag in ("article", "main"), zero))
+        known[tag] = known.get(tag, 0) + 1
     if at < len(page):
         text.append(page[at:])
     flush()
-    for _, f in out:
+    found = []
+    for k, (own, base, features, _, article) in enumerate(out):
         if semantic:
-            f.append("in:article" if "t:article" in f or "t:main" in f else "out:article")
-    sizes = [f[next(i for i, x in enumerate(f) if x[:2] == "n:")] for _, f in out]
-    for k, (_, f) in enumerate(out):
-        f.append(f"prev:{sizes[k - 1]}" if k else "prev:none")
-        f.append(f"next:{sizes[k + 1]}" if k + 1 < len(out) else "next:none")
-    return out
+            features.append("in:article" if article else "out:article")
+        features.append(f"prev:{out[k - 1][3]}" if k else "prev:none")
+        features.append(f"next:{out[k + 1][3]}" if k + 1 < len(out) else "next:none")
+        found.append((own, base + fold(features)))
+    return found
 
 
 def viterbi(scores: list[float], change: tuple[float, float, float, float]) -> list[int]:
@@ -390,9 +416,8 @@ def train(pages: int = 700, rounds: int = 6, seed: int = 5) -> tuple[dict[str, f
 
 
 def main_text(page: str | None, weights: dict[str, float], change: tuple[float, float, float, float]) -> str:
-    found = blocks(page or "")
-    get = weights.get
-    labels = viterbi([sum(get(x, 0.0) for x in f) for _, f in found], change)
+    found = blocks(page or "", weights)
+    labels = viterbi([score for _, score in found], change)
     return "\n\n".join(t for (t, _), y in zip(found, labels, strict=True) if y)
 
 
