@@ -71,6 +71,22 @@ def plane_at(nx: Column, ny: Column, nz: Column, d: Column, x: Column, y: Column
     return d - (nx * dx + ny * dy) / safe(nz)
 
 
+def geometric_map(cx: Column, cy: Column, ncx: Column, ncy: Column, x: Column, y: Column, d: Column, unit: float) -> dict[str, Column]:
+    """where pixel (x, y) of a lens at (cx, cy) lies in the one at (ncx, ncy) for a disparity d, and what that implies.
+
+    ``qx``, ``qy`` the place, ``d_real`` the root of the baseline's product with
+    the way back (null where that is negative), ``baseline`` and the virtual depth
+    ``vd`` = baseline / d_real.
+    """
+    bx, by = cx - ncx, cy - ncy
+    baseline = F.hypot(bx, by)
+    step = F.try_divide(d * (baseline / unit), baseline)
+    qx, qy = x + bx * step, y + by * step
+    product = bx * (x - qx) + by * (y - qy)
+    d_real = F.when(product >= 0, F.sqrt(product))
+    return {"qx": qx, "qy": qy, "d_real": d_real, "baseline": baseline, "vd": baseline / (d_real + 1e-7)}
+
+
 def plane_through(p: list[list[Column]]) -> list[Column]:
     """unit normal and offset (a, b, c, d) with a x + b y + c z + d = 0 of three points, c not negative."""
     u, v = ([p[k][i] - p[0][i] for i in range(3)] for k in (1, 2))

@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..steps import written
+from .stats import between_places, placed, ranked
+
 #: Width of the grid on which virtual depths are segmented; it bounds the length of the fold.
 GRID = 1e-3
 
@@ -76,25 +79,25 @@ def stitched(segs: DataFrame, least: float = 1e-4) -> DataFrame:
 def located(df: DataFrame, segs: DataFrame) -> DataFrame:
     """The segment [lo, hi) of each sample, the last one closed; null outside.
 
-    Segments are collected into one sorted array, of a length that the grid
-    bounds, and a sample picks its own.
+    A segment stands in every cell of the grid that it touches, and a sample
+    meets the one or two segments of its own cell in an equi-join.
     """
-    table = segs.agg(F.array_sort(F.collect_list(F.struct("seg_id", "lo", "hi"))).alias("segs"))
-    j = df.crossJoin(F.broadcast(table))  # one row
-
-    def holds(s: Column) -> Column:
-        return (F.col("vd") >= s["lo"]) & ((F.col("vd") < s["hi"]) | ((F.col("vd") <= s["hi"]) & (s["seg_id"] == F.element_at("segs", -1)["seg_id"])))
-
-    return j.withColumn("seg_id", F.try_element_at(F.filter("segs", holds), F.lit(1))["seg_id"]).drop("segs")
+    last = F.max("seg_id").over(Window.partitionBy())  # over segments, whose number the grid bounds
+    cells = segs.select("seg_id", "lo", "hi", (F.col("seg_id") == last).alias("closed"), F.explode(F.sequence(F.floor(F.col("lo") / GRID), F.floor(F.col("hi") / GRID))).alias("cell"))
+    cells = written(cells)
+    holds = (F.floor(df["vd"] / GRID) == cells["cell"]) & (df["vd"] >= cells["lo"]) & ((df["vd"] < cells["hi"]) | (cells["closed"] & (df["vd"] <= cells["hi"])))
+    return df.join(cells, holds, "left").drop("lo", "hi", "closed", "cell")
 
 
 def robust_fit(df: DataFrame, by: Sequence[str], floor: float = 800.0, least: int = 3) -> DataFrame:
     """Fit, drop residuals beyond max(floor, 3 max(MAD, 1)), fit again; the first fit stays where fewer than ``least`` are left."""
-    first = fit(df, by)
-    j = df.join(F.broadcast(first.drop("n")), list(by))  # one row a segment
+    df = written(df.select(*by, "vd", "gt"))
+    first = written(fit(df, by))
+    j = df.join(first.drop("n"), list(by))
     j = j.withColumn("r", F.abs(F.col("gt") - predicted(F.col("vd"), F.col("c0"), F.col("c1"), F.col("c2"))))
-    gate = j.groupBy(*by).agg(F.greatest(F.lit(floor), 3 * F.greatest(F.median("r"), F.lit(1.0))).alias("gate"))
-    kept = j.join(F.broadcast(gate), list(by)).where("r <= gate").select(*by, "vd", "gt")  # one row a segment
+    j = written(j.select(*by, "vd", "gt", "r"))
+    gate = between_places(ranked(j, by, "r"), by, {"median": 0.5}).select(*by, F.greatest(F.lit(floor), 3 * F.greatest(F.col("median"), F.lit(1.0))).alias("gate"))
+    kept = j.join(written(gate), list(by)).where("r <= gate").select(*by, "vd", "gt")
     again = fit(kept, by)
     out = first.join(again.select(*by, F.col("n").alias("n2"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("c2").alias("d2")), list(by), "left")
     ok = F.coalesce((F.col("n2") >= least) & F.col("d0").isNotNull(), F.lit(False))
@@ -119,8 +122,14 @@ def error_report(df: DataFrame) -> DataFrame:
     e = F.col("gt") - F.col("pred")
     t = df.select("seg_id", e.alias("e"))
     g = t.rollup("seg_id").agg(
-        F.count("e").alias("n"), F.avg(F.col("e") * F.col("e")).alias("mse"), F.avg(F.abs("e")).alias("mae"), F.median(F.abs("e")).alias("median"), F.count_if(F.col("e").isNull()).alias("outside"), F.grouping("seg_id").alias("total")
+        F.count("e").alias("n"), F.avg(F.col("e") * F.col("e")).alias("mse"), F.avg(F.abs("e")).alias("mae"), F.count_if(F.col("e").isNull()).alias("outside"), F.grouping("seg_id").alias("total")
     )
+    # The total is a group as well; its median is that of the segments' counted values.
+    far = written(t.where("e is not null").groupBy("seg_id", F.abs("e").alias("v")).agg(F.count("*").alias("copies")))
+    both = far.where("seg_id is not null").withColumn("total", F.lit(0)).unionByName(far.groupBy("v").agg(F.sum("copies").alias("copies")).withColumns({"seg_id": F.lit(None).cast(df.schema["seg_id"].dataType), "total": F.lit(1)}))
+    key = F.struct("total", F.coalesce("seg_id", F.lit(-1)).alias("seg_id"))
+    median = between_places(placed(both.select(key.alias("key"), "v", "copies"), ["key"]), ["key"], {"median": 0.5}).drop("n")
+    g = g.withColumn("key", F.struct(F.col("total").cast("int").alias("total"), F.coalesce("seg_id", F.lit(-1)).alias("seg_id"))).join(median, "key", "left")
     return g.where("total = 1 or seg_id is not null").select("seg_id", "n", "mse", F.sqrt("mse").alias("rmse"), "mae", "median", "outside", F.col("total").cast("int").alias("total"))
 
 

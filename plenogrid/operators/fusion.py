@@ -148,7 +148,7 @@ def relaxed(disparity: DataFrame, edges: DataFrame, pixel: DataFrame, unit: floa
     over the views stays, the own one of equals.  Every phase reads the whole
     previous state and writes the next.
     """
-    from ..plans.steps import written
+    from ..steps import written
     from .reproject import tiles
 
     v = tiles(pixel.select(*SITE, "v"), "v")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import SITE, TILE
+from ..steps import written
 
 SIDE = 8
 
@@ -197,18 +198,17 @@ def locally_consistent(df: DataFrame, value: str = "d", tolerance: float = 0.3)
     return g.select(*SITE, "n", ok.cast("int").alias("consistent"))
 
 
-def fill_holes(df: DataFrame, value: str = "d", share: float = 0.98, rounds: int = 8) -> DataFrame:
-    """Copy the first valid of the left, right, upper and lower neighbour into a hole, until ``share`` is filled."""
-    from ..plans.steps import written
-
+def fill_holes(df: DataFrame, value: str = "d", share: float = 0.98) -> DataFrame:
+    """Copy the first valid of the left, right, upper and lower neighbour into a hole, until ``share`` is filled or a round fills none."""
     now = df.select(*SITE, value)
     steps = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)]
     order = F.array_position(F.array(*[F.lit(f"{a},{b}") for a, b in steps]), F.concat_ws(",", "dx", "dy"))
-    for _ in range(rounds):
+    before = -1
+    while True:
         filled, total = now.agg(F.count(value), F.count("*")).first()
-        if not total or filled >= share * total or not filled:
-            break
+        if filled >= share * total or filled <= max(before, 0):
+            return now
+        before = filled
         s = scatter(now, steps).where(inside())
         g = s.groupBy(*SITE).agg(F.min_by(value, F.when(F.col(value).isNotNull(), order)).alias(value), F.max(((F.col("dx") == 0) & (F.col("dy") == 0)).cast("int")).alias("site"))
         now = written(g.where("site = 1").select(*SITE, value))
-    return now

@@ -9,44 +9,38 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import project, unproject
 from ..schema import SITE, TILE
+from ..steps import written
 from .grid import at_centre, inside, median_of, scatter, square
 
-EYE = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
-
-
-def fuse_views(depths: DataFrame, pairs: DataFrame, k: list[float], shift: float, pixels: float = 2.0, share: float = 0.01, least: int = 2) -> DataFrame:
+def fuse_views(depths: DataFrame, pairs: DataFrame, cameras: DataFrame, pixels: float = 2.0, share: float = 0.01, angle: float = 0.174533, least: int = 2) -> DataFrame:
     """Points of reference pixels that at least ``least`` source views confirm.
 
-    ``depths`` is (image, x, y, depth), ``pairs`` (ref, src); cameras share
-    ``k`` and stand ``shift`` apart along x.  The place in the source view is a
-    computed key, so each view is an equi-join.  The mean is over the
-    confirming views' points and the reference's own.  All pixels are judged on
-    the input, none is marked as used.
+    ``depths`` is (image, x, y, depth, nx, ny, nz, v), ``pairs`` (ref, src) and
+    ``cameras`` (image, k, r, t) with arrays of 9, 9 and 3 numbers.  The place in
+    the source view is a computed key, so each view is an equi-join.  A view
+    confirms where the way back ends within ``pixels``, the depth differs by less
+    than ``share`` and the normals by less than ``angle``.  Point, normal and value
+    are means over the confirming views and the reference.  All pixels are judged
+    on the input, none is marked as used.
     """
-    d = depths.where("depth > 0")
-    r = d.join(F.broadcast(pairs), d.image == pairs.ref)  # the view pairs, bounded by the images of a scene
-
-    def world(x: Column, y: Column, depth: Column, image: Column) -> list[Column]:
-        p = unproject(x, y, depth, k, EYE, [0.0, 0.0, 0.0])
-        return [p[0] + shift * image, p[1], p[2]]
-
-    def seen(p: list[Column], image: Column) -> tuple[Column, Column, Column]:
-        return project([p[0] - shift * image, p[1], p[2]], k, EYE, [0.0, 0.0, 0.0])
-
-    w = world(F.col("x"), F.col("y"), F.col("depth"), F.col("ref"))
-    r = r.select("ref", "src", "x", "y", "depth", *[c.alias(f"w{i}") for i, c in enumerate(w)])
-    u, v, _ = seen([F.col("w0"), F.col("w1"), F.col("w2")], F.col("src"))
+    d = depths.where("depth > 0").join(cameras, "image")
+    K, R, T = F.col("k"), F.col("r"), F.col("t")
+    there = cameras.select(F.col("image").alias("src"), F.col("k").alias("sk"), F.col("r").alias("sr"), F.col("t").alias("st"))
+    w = unproject(F.col("x"), F.col("y"), F.col("depth"), K, R, T)
+    ref = d.withColumns({f"w{i}": c for i, c in enumerate(w)})
+    r = ref.withColumnRenamed("image", "ref").join(pairs, "ref").join(there, "src")
+    u, v, _ = project([F.col(f"w{i}") for i in range(3)], F.col("sk"), F.col("sr"), F.col("st"))
     r = r.withColumn("sx", F.floor(u + 0.5)).withColumn("sy", F.floor(v + 0.5))
-    there = d.select(F.col("image").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("depth").alias("sd"))
-    j = r.join(there, ["src", "sx", "sy"])
-    q = world(F.col("sx"), F.col("sy"), F.col("sd"), F.col("src"))
-    j = j.withColumns({f"q{i}": c for i, c in enumerate(q)})
-    bu, bv, bz = seen([F.col("q0"), F.col("q1"), F.col("q2")], F.col("ref"))
-    j = j.withColumns({"bu": bu, "bv": bv, "bz": bz})
-    ok = (F.hypot(F.col("bu") - F.col("x"), F.col("bv") - F.col("y")) < pixels) & (F.abs(F.col("bz") - F.col("depth")) / F.col("depth") < share)
-    g = j.where(ok).groupBy("ref", "x", "y", "w0", "w1", "w2").agg(F.count("*").alias("n"), *[F.sum(f"q{i}").alias(f"s{i}") for i in range(3)])
-    g = g.where(F.col("n") >= least)
-    return g.select("ref", "x", "y", "n", *[((F.col(f"s{i}") + F.col(f"w{i}")) / (F.col("n") + 1)).alias(a) for i, a in enumerate(("px", "py", "pz"))])
+    seen = ref.select(F.col("image").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"), *[F.col(f"w{i}").alias(f"q{i}") for i in range(3)], *[F.col(c).alias(f"s{c}") for c in ("nx", "ny", "nz", "v")])
+    j = r.drop("sk", "sr", "st").join(seen, ["src", "sx", "sy"])
+    bu, bv, bz = project([F.col(f"q{i}") for i in range(3)], K, R, T)
+    j = j.withColumns({"bu": bu, "bv": bv, "bz": bz, "turn": F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sum((F.col(f"n{a}") * F.col(f"sn{a}") for a in "xyz"), F.lit(0.0)))))})
+    ok = (F.hypot(F.col("bu") - F.col("x"), F.col("bv") - F.col("y")) < pixels) & (F.abs(F.col("bz") - F.col("depth")) / F.col("depth") < share) & (F.col("turn") < angle)
+    own = {"px": "w0", "py": "w1", "pz": "w2", "nx": "nx", "ny": "ny", "nz": "nz", "v": "v"}
+    other = {"px": "q0", "py": "q1", "pz": "q2", "nx": "snx", "ny": "sny", "nz": "snz", "v": "sv"}
+    # Within a pixel's rows its own columns are all the same.
+    g = j.where(ok).groupBy("ref", "x", "y").agg(F.count("*").alias("n"), *[((F.sum(other[k]) + F.first(own[k])) / (F.count("*") + 1)).alias(k) for k in own])
+    return g.where(F.col("n") >= least)
 
 
 def proposals(reprojected: DataFrame, disparity: DataFrame) -> DataFrame:
@@ -85,12 +79,9 @@ def planar_prior(disparity: DataFrame, block: int = 4) -> DataFrame:
 def grown(df: DataFrame, seeds: DataFrame, gate: float = 0.3, rounds: int | None = None) -> DataFrame:
     """(site, step) of pixels reached from the seeds over neighbours that differ by at most the gate.
 
-    Grows until a round adds no pixel, or for ``rounds`` rounds where that is
-    given.  Regions stay in their tile, whose pixels all lie within the radius
+    Grows until a round adds no pixel, or for ``rounds`` rounds where that is given.  Regions stay in their tile, whose pixels all lie within the radius
     of 18 that the method allows.
     """
-    from ..plans.steps import written
-
     valid = df.where("d is not null").select(*SITE, "d")
     found = written(seeds.select(*SITE, "d", F.lit(0).alias("step")))
     for r in count(1) if rounds is None else range(1, rounds + 1):

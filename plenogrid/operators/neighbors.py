@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import with_hex_steps
 from ..functions.scalar import angle
 from ..schema import TILE
+from ..steps import written
 
 PAIR = [*TILE, "ntile_x", "ntile_y"]
 
@@ -37,8 +38,6 @@ def adjacent(lens: DataFrame, baseline: float, band: float = 0.15) -> DataFrame:
 
 def rings(edges: DataFrame, most: int = 5) -> DataFrame:
     """(tile, ntile, ring) by expanding the frontier ring by ring past what was visited."""
-    from ..plans.steps import written
-
     step = edges.select(F.col("ntile_x").alias("mx"), F.col("ntile_y").alias("my"), F.col("tile_x").alias("fx"), F.col("tile_y").alias("fy"))
     frontier = edges.select(*PAIR, F.lit(1).alias("ring"))
     found = written(frontier)
@@ -157,10 +156,10 @@ def ring_fit(n: DataFrame, baseline: float) -> DataFrame:
 
 
 def ring_outliers(n: DataFrame, fit: DataFrame, baseline: float) -> DataFrame:
-    """Beyond 1.05 baselines and more than 10 % from the line."""
+    """Beyond 1.05 baselines and more than 10 % from the line; the share is rounded, so that one at the limit is no outlier."""
     j = n.join(fit, TILE, "left")
     error = F.try_divide(F.abs(F.col("similarity") - (F.col("slope") * F.col("baseline") + F.col("intercept"))), F.col("similarity"))
-    return j.withColumn("outlier", F.coalesce((F.col("baseline") > 1.05 * baseline) & (error > 0.1), F.lit(False)).cast("int")).drop("slope", "intercept")
+    return j.withColumn("outlier", F.coalesce((F.col("baseline") > 1.05 * baseline) & (F.round(error, 9) > 0.1), F.lit(False)).cast("int")).drop("slope", "intercept")
 
 
 def ring_stop(n: DataFrame, baseline: float, least: int = 2) -> DataFrame:
@@ -195,19 +194,56 @@ def ranked(n: DataFrame) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(w) - 1)
 
 
-def ncc(pixel: DataFrame, edges: DataFrame) -> DataFrame:
-    """Absolute correlation of the two tiles' pixels."""
-    a = edges.select(*PAIR).join(pixel.select(*TILE, "x", "y", "v"), TILE)
-    b = pixel.select(F.col("tile_x").alias("ntile_x"), F.col("tile_y").alias("ntile_y"), "x", "y", F.col("v").alias("nv"))
-    return a.join(b, ["ntile_x", "ntile_y", "x", "y"]).groupBy(*PAIR).agg(F.abs(F.corr("v", "nv")).alias("ncc"))
+def ncc(pixel: DataFrame, matches: DataFrame, side: int = SIDE, most: int = 5) -> DataFrame:
+    """Absolute correlation of the patches about matched places p and q of two tiles; 0 for flat patches.
 
+    ``matches`` is (tile, ntile, px, py, qx, qy), whole numbers.  A patch has up to
+    11 x 11 pixels and is cut to the half-width that fits about both places.  Its
+    pixels are looked up in the tiles' arrays, so a patch is one row of sums.
+    """
+    from .reproject import tiles
 
-def ncc_top(scores: DataFrame, keep: int = 3) -> DataFrame:
-    """Z-scores of the correlation within the tile, by population deviation; the best ``keep``."""
-    w = Window.partitionBy(*TILE)
-    z = F.try_divide(F.col("ncc") - F.avg("ncc").over(w), F.stddev_pop("ncc").over(w))
-    s = scores.withColumn("z", F.coalesce(z, F.lit(0.0)))
-    order = Window.partitionBy(*TILE).orderBy(F.desc(F.round("z", 9)), "ntile_y", "ntile_x")
+    t = tiles(pixel.select(*TILE, "x", "y", "v"), "v", side=side).select(*TILE, F.transform("px", lambda e: e["v"]).alias("vs"))
+    j = matches.join(t, TILE).join(t.select(F.col("tile_x").alias("ntile_x"), F.col("tile_y").alias("ntile_y"), F.col("vs").alias("us")), ["ntile_x", "ntile_y"])
+    places = [F.col(c) for c in ("px", "py", "qx", "qy")]
+    j = j.withColumn("half", F.least(F.lit(most), *places, *[side - 1 - c for c in places])).where("half >= 0")
+    steps = F.sequence(-F.col("half"), F.col("half"))
+    j = j.withColumn("at", F.flatten(F.transform(steps, lambda dy: F.transform(steps, lambda dx: F.struct(dx.alias("dx"), dy.alias("dy"))))))
+
+    def patch(values: str, x: str, y: str) -> Column:
+        return F.transform("at", lambda e: F.get(F.col(values), ((F.col(y) + e["dy"]) * side + F.col(x) + e["dx"]).cast("int")))
+
+    j = j.select(*PAIR, "px", "py", "qx", "qy", patch("vs", "px", "py").alias("a"), patch("us", "qx", "qy").alias("b"))
+
+    def mean(c: str) -> Column:
+        return F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)
+
+    j = j.withColumns({"ma": mean("a"), "mb": mean("b")})
+    both = F.zip_with("a", "b", lambda v, u: F.struct((v - F.col("ma")).alias("v"), (u - F.col("mb")).alias("u")))
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("ab", "aa", "bb")])
+    sums = F.aggregate(both, zero, lambda s, e: F.struct((s["ab"] + e["v"] * e["u"]).alias("ab"), (s["aa"] + e["v"] * e["v"]).alias("aa"), (s["bb"] + e["u"] * e["u"]).alias("bb")))
+    j = j.withColumn("s", sums)
+    return j.select(*PAIR, "px", "py", "qx", "qy", F.coalesce(F.abs(F.try_divide(F.col("s.ab"), F.sqrt(F.col("s.aa") * F.col("s.bb")))), F.lit(0.0)).alias("ncc"))
+
+
+def ncc_top(scores: DataFrame, by: str = "ring", good: float = 0.8, keep: int = 3) -> DataFrame:
+    """Of each tile and ring the ``keep`` neighbours of the best score.
+
+    A neighbour has as many points as patches that correlate better than
+    ``good``; its score is half the z-score of that number and half that of their
+    mean correlation.  Means and deviations are over neighbours with such points;
+    one without has number and mean 0.
+    """
+    fine = F.when(F.round("ncc", 9) > good, F.col("ncc"))
+    g = scores.groupBy(*PAIR, by).agg(F.count(fine).alias("points"), F.coalesce(F.avg(fine), F.lit(0.0)).alias("mean"))
+    w = Window.partitionBy(*TILE, by)
+
+    def z(c: str) -> Column:
+        valid = F.when(F.col("points") > 0, F.col(c))
+        return F.coalesce(F.try_divide(F.col(c) - F.coalesce(F.avg(valid).over(w), F.lit(0.0)), F.stddev_pop(valid).over(w)), F.lit(0.0))
+
+    s = g.withColumn("score", 0.5 * z("points") + 0.5 * z("mean"))
+    order = Window.partitionBy(*TILE, by).orderBy(F.desc(F.round("score", 9)), "ntile_y", "ntile_x")
     return s.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep)
 
 

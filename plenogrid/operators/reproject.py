@@ -178,11 +178,10 @@ def softmin_view(costs: DataFrame, ld: float = 1.0, lc: float = 1.0) -> DataFram
 
 
 def best_virtual_depth(costs: DataFrame, unit: float, centre: float = 0.2, spread: float = 8.0) -> DataFrame:
-    """Virtual depth of the view with the largest (1 - cost) * exp(-(d - centre)^2 / spread)."""
+    """Virtual depth of the view with the largest (1 - cost) * exp(-(d - centre)^2 / spread), equals to nine places by key."""
     d = F.col("d") * F.col("scale")
-    s = F.round((1 - F.col("cost")) * F.exp(-(d - centre) * (d - centre) / spread), 9)
-    c = costs.withColumn("s", s)
-    best = c.groupBy(*SITE).agg(F.max_by(F.struct("d", "s"), F.struct("s", -F.col("ntile_y"), -F.col("ntile_x"))).alias("b"))
+    c = costs.withColumn("s", (1 - F.col("cost")) * F.exp(-(d - centre) * (d - centre) / spread))
+    best = c.groupBy(*SITE).agg(F.max_by(F.struct("d", "s"), F.struct(F.round("s", 9), -F.col("ntile_y"), -F.col("ntile_x"))).alias("b"))
     return best.select(*SITE, (unit / F.col("b.d")).alias("vd"), F.col("b.s").alias("score"))
 
 

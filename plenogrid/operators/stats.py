@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import finite
+from ..steps import written
 
 
 def clean(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -40,19 +41,37 @@ RULES = {
 }
 
 
+#: Cells of a group in which ``ranked`` numbers values, in two levels.
+COARSE, FINE = 32, 32
+
+
 def ranked(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """(by, v, i, n): values with their zero-based place in the group.
+    """(by, v, copies, i, n): distinct values with the zero-based place of their first copy in the group."""
+    return placed(clean(df, by, value).groupBy(*by, "v").agg(F.count("*").alias("copies")), by)
+
+
+def placed(counted: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, v, copies, i, n) of values that are counted already (by, v, copies).
 
-    A group is never sorted in one task: values are counted first, so only
-    distinct values are numbered, within buckets of a histogram whose running
-    totals give each bucket its first place.
+    A group is never sorted in one task: its values are dealt to cells between
+    quantiles of a sketch, so that a heavy tail fills no cell more than others,
+    numbered within the cell, and the cells' running totals give each its first
+    place.  The sketches, a row a group, are written once, since two parts of the
+    plan must see the same ones.
     """
-    c = clean(df, by, value).groupBy(*by, "v").agg(F.count("*").alias("copies"))
-    edge = c.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("copies").alias("n"))
-    c = c.join(edge, list(by)) if by else c.crossJoin(edge)
-    c = c.withColumn("cell", F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * 1023), F.lit(0)))
+    marks = [F.lit(k / (COARSE * FINE)) for k in range(1, COARSE * FINE)]
+    edge = counted.groupBy(*by).agg(F.sum("copies").alias("n"), F.percentile_approx("v", F.array(*marks), F.lit(10 * COARSE * FINE)).alias("edges"))
+    edge = edge.withColumn("coarse", F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda k: F.element_at("edges", (k * FINE).cast("int"))))
+    edge = F.broadcast(written(edge)) if not by else written(edge)  # one row
+    c = counted.join(edge, list(by)) if by else counted.crossJoin(edge)
+
+    def below(array: Column) -> Column:
+        return F.size(F.filter(array, lambda e: e < F.col("v")))
+
+    c = c.withColumn("top", below(F.col("coarse")))
+    c = c.select(*by, "v", "copies", "n", (F.col("top") * FINE + below(F.slice("edges", F.col("top") * FINE + 1, FINE))).alias("cell"))
     cells = c.groupBy(*by, "cell").agg(F.sum("copies").alias("here"))
-    start = F.sum("here").over(Window.partitionBy(*by).orderBy("cell")) - F.col("here")
+    start = F.sum("here").over(Window.partitionBy(*by).orderBy("cell")) - F.col("here")  # at most 1,024 cells a group
     cells = cells.select(*by, "cell", start.alias("start"))
     inner = F.sum("copies").over(Window.partitionBy(*by, "cell").orderBy("v")) - F.col("copies")
     c = c.withColumn("inner", inner).join(cells, [*by, "cell"])
@@ -65,6 +84,21 @@ def at_places(r: DataFrame, by: Sequence[str], places: dict[str, Column]) -> Dat
     return r.groupBy(*by).agg(F.first("n").alias("n"), *aggs)
 
 
+def between_places(r: DataFrame, by: Sequence[str], ps: dict[str, float]) -> DataFrame:
+    """(by, n, names): linear interpolation between the neighbours of (n - 1) p, from ``ranked``."""
+    at = {k: (F.col("n") - 1) * F.lit(float(p)) for k, p in ps.items()}
+    ends = at_places(r, by, {f"{k}_{e}": f(x) for k, x in at.items() for e, f in (("lo", F.floor), ("hi", F.ceil))})
+    return ends.select(*by, "n", *[(F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * (x - F.floor(x))).alias(k) for k, x in at.items()])
+
+
+def with_mad(r: DataFrame, by: Sequence[str], m: DataFrame) -> DataFrame:
+    """``m``, which has the groups' median, with the median distance from it as mad; from ``ranked``, without a group in one task."""
+    j = r.join(m.select(*by, "median"), list(by)) if by else r.crossJoin(m.select("median"))
+    far = j.groupBy(*by, F.abs(F.col("v") - F.col("median")).alias("v")).agg(F.sum("copies").alias("copies"))
+    mad = between_places(placed(far, by), by, {"mad": 0.5}).drop("n")
+    return m.join(mad, list(by)) if by else m.crossJoin(mad)
+
+
 def quantile(df: DataFrame, by: Sequence[str], value: str, p: float, rule: str = "nearest") -> DataFrame:
     """A sample value by the rule's index."""
     return at_places(ranked(df, by, value), by, {"q": RULES[rule](F.col("n"), p)}).select(*by, "q")
@@ -72,8 +106,7 @@ def quantile(df: DataFrame, by: Sequence[str], value: str, p: float, rule: str =
 
 def interpolated(df: DataFrame, by: Sequence[str], value: str, *ps: float) -> DataFrame:
     """Linear interpolation between neighbours at (n - 1) p."""
-    c = clean(df, by, value)
-    return c.groupBy(*by).agg(*[F.percentile("v", F.lit(p)).alias(f"q{round(p * 1000)}") for p in ps])
+    return between_places(ranked(df, by, value), by, {f"q{round(p * 1000)}": p for p in ps}).drop("n")
 
 
 def streaming_quantile(df: DataFrame, by: Sequence[str], value: str, p: float, accuracy: int = 1_000_000) -> DataFrame:
@@ -122,17 +155,18 @@ def hdi_histogram(h: DataFrame, by: Sequence[str], share: float) -> DataFrame:
     """A10: the fewest neighbouring bins that hold the share; of equals the one that ends first.
 
     For each bin that can begin an interval only its first sufficient end
-    matters, which is found on the running totals of the group's bins.
+    matters.  The totals that beginnings ask for and the running totals of the
+    ends are put in one falling order, in which the least end so far is the one
+    asked for.  A group has 65,536 bins at most.
     """
     w = Window.partitionBy(*by).orderBy("bin")
     h = h.withColumn("cum", F.sum("count").over(w)).withColumn("n", F.sum("count").over(Window.partitionBy(*by)))
-    totals = h.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("cum", "bin"))).alias("ends"))  # at most 65,536 bins a group
-    j = h.join(totals, list(by)) if by else h.crossJoin(totals)
-    need = F.ceil(F.col("n") * share)
-    target = F.col("cum") - F.col("count") + need
-    # First end whose running total reaches the target.
-    end = F.try_element_at(F.filter("ends", lambda e: e["cum"] >= target), F.lit(1))
-    j = j.withColumn("end", end["bin"]).where("end is not null")
+    target = F.col("cum") - F.col("count") + F.ceil(F.col("n") * share)
+    none = F.lit(None).cast("long")
+    ends = h.select(*by, F.col("cum").cast("long").alias("at"), F.lit(0).alias("asks"), F.col("bin").alias("to"), none.alias("bin"), "lo", "width")
+    asks = h.select(*by, target.cast("long").alias("at"), F.lit(1).alias("asks"), none.alias("to"), "bin", "lo", "width")
+    falling = Window.partitionBy(*by).orderBy(F.desc("at"), "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    j = ends.unionByName(asks).withColumn("end", F.min("to").over(falling)).where("asks = 1 and end is not null")
     best = j.groupBy(*by).agg(F.min(F.struct((F.col("end") - F.col("bin")).alias("w"), F.col("end").alias("e"), F.col("bin").alias("b"), "lo", "width")).alias("x"))
     return best.select(*by, (F.col("x.lo") + F.col("x.b") * F.col("x.width")).alias("hdi_lo"), (F.col("x.lo") + (F.col("x.e") + 1) * F.col("x.width")).alias("hdi_hi"))
 
@@ -140,14 +174,26 @@ def hdi_histogram(h: DataFrame, by: Sequence[str], share: float) -> DataFrame:
 def hdi_exact(df: DataFrame, by: Sequence[str], value: str, share: float, r: DataFrame | None = None) -> DataFrame:
     """The shortest interval of sample values that holds ceil(share n) of them, the first of equals.
 
-    Values are numbered by ``ranked`` and joined with the value need - 1 places
-    on: an equi-join on the place, so no group is sorted as a whole.
+    Values are numbered by ``ranked``; of equal ones only the first can begin the
+    shortest interval.  The places that beginnings ask for and the first places
+    of the values are merged in cells of places; what a cell's first rows ask for
+    comes from the last value of the cells before, so no group is in one task.
     """
     r = ranked(df, by, value) if r is None else r
-    each = r.select(*by, "v", "n", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("copies") - 1)).alias("i"))
-    need = F.ceil(F.col("n") * share)
-    ends = each.select(*by, F.col("v").alias("v2"), (F.col("i") - need + 1).alias("i"))
-    j = each.join(ends, [*by, "i"])
+    wide = F.greatest(F.lit(1), F.ceil(F.col("n") / 1024))
+    goal = F.col("i") + F.ceil(F.col("n") * share) - 1
+    none = F.lit(None).cast("double")
+    ends = r.select(*by, F.floor(F.col("i") / wide).alias("cell"), F.col("i").alias("at"), F.lit(0).alias("asks"), F.col("v").alias("v2"), none.alias("v"), "i")
+    asks = r.where(goal < F.col("n")).select(*by, F.floor(goal / wide).alias("cell"), goal.alias("at"), F.lit(1).alias("asks"), none.alias("v2"), "v", "i")
+    last = ends.groupBy(*by, "cell").agg(F.max("v2").alias("last"))
+    last = last.select(*by, F.col("cell").alias("before"), "last")
+    every = asks.select(*by, "cell").distinct()
+    # At most 1,024 cells a group.
+    carried = every.join(last, list(by)) if by else every.crossJoin(last)
+    carried = carried.where("before < cell").groupBy(*by, "cell").agg(F.max("last").alias("carried"))
+    merged = Window.partitionBy(*by, "cell").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    j = ends.unionByName(asks).withColumn("v2", F.max("v2").over(merged)).where("asks = 1").join(carried, [*by, "cell"], "left")
+    j = j.withColumn("v2", F.coalesce("v2", "carried"))
     return j.groupBy(*by).agg(F.min(F.struct((F.col("v2") - F.col("v")).alias("w"), F.col("i"), "v", "v2")).alias("x")).select(*by, F.col("x.v").alias("hdi_lo"), F.col("x.v2").alias("hdi_hi"))
 
 
@@ -157,8 +203,6 @@ def report(df: DataFrame, by: Sequence[str], value: str, share: float = 0.5) ->
     The ranked values, the bins and the few rows that describe them are written
     once, since several parts read them.
     """
-    from ..plans.steps import written
-
     r = written(ranked(df, by, value))
     n = F.col("n")
     q = at_places(r, by, {k: RULES["nearest"](n, p) for k, p in (("q05", 0.05), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q95", 0.95))}).drop("n")
@@ -185,11 +229,9 @@ def hdi_filtered(df: DataFrame, by: Sequence[str], value: str, share: float = 0.
 
 def mad_band(df: DataFrame, by: Sequence[str], value: str, k: float = 3.0, min_band: float = 1e-4) -> DataFrame:
     """Median +- k * 1.4826 * MAD; below 8 values the extremes; the band is at least ``min_band`` wide."""
-    c = clean(df, by, value)
-    m = c.groupBy(*by).agg(F.median("v").alias("median"), F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
-    j = c.join(m, list(by)) if by else c.crossJoin(m)
-    mad = j.groupBy(*by).agg(F.median(F.abs(F.col("v") - F.col("median"))).alias("mad"))
-    j = m.join(mad, list(by)) if by else m.crossJoin(mad)
+    r = written(ranked(df, by, value))
+    m = between_places(r, by, {"median": 0.5, "least": 0.0, "most": 1.0})
+    j = with_mad(r, by, m)
     half = k * 1.4826 * F.col("mad")
     j = j.withColumn("lo", F.when(F.col("n") < 8, F.col("least")).otherwise(F.col("median") - half)).withColumn("hi", F.when(F.col("n") < 8, F.col("most")).otherwise(F.col("median") + half))
     wide = F.greatest(F.lit(min_band), F.lit(1e-4))
@@ -259,7 +301,7 @@ def binned_quantiles(df: DataFrame, by: Sequence[str], value: str, *ps: float, w
 
 
 def patch_stats(df: DataFrame, by: Sequence[str], value: str, least: int = 8) -> DataFrame:
-    """Median, MAD and the span from the 10 % to the 90 % quantile of groups of at least ``least`` values."""
+    """Median, MAD and the span from the 10 % to the 90 % quantile of groups of at least ``least`` values; a group is a patch, of bounded size."""
     c = clean(df, by, value)
     m = c.groupBy(*by).agg(F.median("v").alias("median"), F.count("*").alias("n"), (F.percentile("v", F.lit(0.9)) - F.percentile("v", F.lit(0.1))).alias("span")).where(F.col("n") >= least)
     mad = c.join(m.select(*by, "median"), list(by)).groupBy(*by).agg(F.median(F.abs(F.col("v") - F.col("median"))).alias("mad"))
@@ -269,12 +311,10 @@ def patch_stats(df: DataFrame, by: Sequence[str], value: str, least: int = 8) ->
 def library(df: DataFrame, by: Sequence[str], value: str, other: str) -> DataFrame:
     """Covariance, correlation, X84 and quartile thresholds, signal-to-noise ratio."""
     c = df.select(*by, F.col(value).cast("double").alias("v"), F.col(other).cast("double").alias("u")).where(finite(F.col("v")) & finite(F.col("u")))
-    g = c.groupBy(*by).agg(
-        F.covar_pop("v", "u").alias("covariance"), F.corr("v", "u").alias("correlation"), F.median("v").alias("median"),
-        F.percentile("v", F.lit(0.25)).alias("q1"), F.percentile("v", F.lit(0.75)).alias("q3"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"),
-    )
-    mad = c.join(g.select(*by, "median"), list(by)).groupBy(*by).agg(F.median(F.abs(F.col("v") - F.col("median"))).alias("mad"))
-    return g.join(mad, list(by)).select(
+    g = c.groupBy(*by).agg(F.covar_pop("v", "u").alias("covariance"), F.corr("v", "u").alias("correlation"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
+    r = written(ranked(c, by, "v"))
+    q = with_mad(r, by, between_places(r, by, {"median": 0.5, "q1": 0.25, "q3": 0.75}).drop("n"))
+    return g.join(q, list(by)).select(
         *by, "covariance", "correlation", (F.col("median") + 5.2 * F.col("mad")).alias("x84"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("quartile_limit"),
         (20 * F.log10(F.try_divide(F.col("mean"), F.col("sd")))).alias("snr"),
     )

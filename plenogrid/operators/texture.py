@@ -1,4 +1,4 @@
-"""Texture measures that need a whole tile at once, and clustering of blur values.
+"""Texture measures that need a whole tile at once, as numbers or as maps, and clustering of blur values.
 
 Tiles have a fixed number of pixels, so a grouped function sees a small bounded
 array; groups are spread over the tasks by tile.
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..schema import TILE
 from .reproject import tiles
+from .stats import between_places, ranked
 
 SIDE = 8
 
@@ -31,6 +32,89 @@ def _per_tile(df: DataFrame, measures, names: Sequence[str], value: str = "v") -
     return img.mapInArrow(apply, "tile_x long, tile_y long, " + ", ".join(f"{n} double" for n in names))
 
 
+def _per_pixel(df: DataFrame, measure, name: str, side: int = SIDE, value: str = "v", together: int = 64) -> DataFrame:
+    """(site, name): a map of each tile's image of ``side`` x ``side`` pixels, computed for some tiles at a time."""
+
+    def apply(batches):
+        y, x = (w.ravel() for w in np.mgrid[:side, :side])
+        for batch in batches:
+            for k in range(0, batch.num_rows, together):
+                piece = batch.slice(k, together)
+                v = piece.column("img").flatten().to_numpy(zero_copy_only=False).reshape(-1, side, side)
+                tile = [np.repeat(piece.column(c).to_numpy(), side * side) for c in ("tile_x", "tile_y")]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, tile), pa.array(np.tile(x, len(v))), pa.array(np.tile(y, len(v))), pa.array(np.asarray(measure(v), np.float64).ravel())], ["tile_x", "tile_y", "x", "y", name])
+
+    img = tiles(df, value, side=side).select(*TILE, F.transform("px", lambda p: p[value]).alias("img")).where(F.size("img") == side * side)
+    return img.mapInArrow(apply, f"tile_x long, tile_y long, x long, y long, {name} double")
+
+
+def _sobel(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sobel differences along x and y over the last two axes; what lies outside is reflected about the border pixel."""
+    p = np.pad(v, [(0, 0)] * (v.ndim - 2) + [(1, 1), (1, 1)], mode="reflect")
+    down, right = p[..., :-2, :] + 2 * p[..., 1:-1, :] + p[..., 2:, :], p[..., :, :-2] + 2 * p[..., :, 1:-1] + p[..., :, 2:]
+    return down[..., 2:] - down[..., :-2], right[..., 2:, :] - right[..., :-2, :]
+
+
+def sobel_windows(df: DataFrame, window: int = 15, side: int = SIDE) -> DataFrame:
+    """Mean of |gx| + |gy| over the window about each pixel; the image is mirrored at its border, each window for itself again."""
+    r = window // 2
+
+    def measure(v):
+        padded = np.pad(v, ((0, 0), (r, r), (r, r)), mode="symmetric")
+        gx, gy = _sobel(np.lib.stride_tricks.sliding_window_view(padded, (window, window), axis=(1, 2)))
+        return (np.abs(gx) + np.abs(gy)).mean(axis=(3, 4))
+
+    return _per_pixel(df, measure, "richness", side, together=16)
+
+
+def gabor_windows(df: DataFrame, size: int = 21, sigma: float = 5.0, theta: float = 45.0, wavelength: float = 10.0, phase: float = 90.0, side: int = SIDE) -> DataFrame:
+    """Response of each pixel to one Gabor kernel.
+
+    Kernel places run from -1 to 1 without the last row and column, sigma is in
+    shares of the size, angles are in degrees; what lies outside is reflected
+    about the border pixel.
+    """
+    r, t = (size - 1) // 2, np.deg2rad(theta)
+    y, x = np.mgrid[-r : r + 1, -r : r + 1] / r
+    u, w = x * np.cos(t) + y * np.sin(t), -x * np.sin(t) + y * np.cos(t)
+    kernel = np.exp(-0.5 * (u * u + w * w) / (sigma / size) ** 2) * np.cos(2 * np.pi * u / wavelength + np.deg2rad(phase))
+    kernel[-1, :] = kernel[:, -1] = 0.0
+
+    def measure(v):
+        padded = np.pad(v, ((0, 0), (r, r), (r, r)), mode="reflect")
+        return np.einsum("nijab,ab->nij", np.lib.stride_tricks.sliding_window_view(padded, (size, size), axis=(1, 2)), kernel)
+
+    return _per_pixel(df, measure, "response", side)
+
+
+def circular_codes(df: DataFrame, radius: int = 2, points: int = 16, side: int = SIDE) -> DataFrame:
+    """The sum of 2^n over the points of a circle that are brighter than its centre, scaled to 255; pixels whose circle is cut keep their value.
+
+    Of the four pixels about a point the two mixed ones have each other's weight,
+    as the method defines it.
+    """
+
+    def measure(v):
+        out, inner = v.copy(), slice(radius, side - radius - 1)
+        c = v[:, inner, inner]
+        code = np.zeros_like(c)
+        for n in range(points):
+            dx, dy = radius * np.cos(2 * np.pi * n / points), -radius * np.sin(2 * np.pi * n / points)
+            dx, dy = (round(d) if abs(d - round(d)) < 1e-9 else d for d in (dx, dy))
+            x1, y1, x2, y2 = (int(f(d)) for f, d in ((np.floor, dx), (np.floor, dy), (np.ceil, dx), (np.ceil, dy)))
+            tx, ty = dx - x1, dy - y1
+
+            def at(a, b):
+                return v[:, radius + b : side - radius - 1 + b, radius + a : side - radius - 1 + a]
+
+            around = at(x1, y1) * (1 - tx) * (1 - ty) + at(x1, y2) * tx * (1 - ty) + at(x2, y1) * (1 - tx) * ty + at(x2, y2) * tx * ty
+            code += (around > c + 1e-9) * 2.0**n
+        out[:, inner, inner] = code / (2.0**points - 1) * 255
+        return out
+
+    return _per_pixel(df, measure, "code", side)
+
+
 def high_frequency(df: DataFrame, radius: float = 2.0) -> DataFrame:
     """Share of the spectrum's energy further than ``radius`` from its centre; the mean is left out."""
 
@@ -128,7 +212,7 @@ def tamura(df: DataFrame, bins: int = 16) -> DataFrame:
     return _per_tile(df, measures, ["contrast", "direction_variance"])
 
 
-def blur_levels(df: DataFrame, column: str, k: int = 8, rounds: int = 12) -> DataFrame:
+def blur_levels(df: DataFrame, column: str, k: int = 8) -> DataFrame:
     """One-dimensional k-means of normalised values, started at evenly spaced quantiles.
 
     Lloyd steps are aggregations of k sums; only k centres come to the driver.
@@ -138,12 +222,14 @@ def blur_levels(df: DataFrame, column: str, k: int = 8, rounds: int = 12) -> Dat
     if lo is None:
         return df.withColumn("level", F.lit(None).cast("int"))
     t = df.withColumn("__n", (c - lo) / ((hi - lo) or 1.0))
-    centres = sorted(set(t.agg(F.percentile("__n", F.array(*[F.lit((i + 0.5) / k) for i in range(k)]))).first()[0]))
+    marks = {f"m{i}": (i + 0.5) / k for i in range(k)}
+    first = between_places(ranked(t, [], "__n"), [], marks).first()  # one row
+    centres = sorted({first[m] for m in marks})
 
     def nearest(cs):
         return F.array_position(F.array(*[F.abs(F.col("__n") - x) for x in cs]), F.array_min(F.array(*[F.abs(F.col("__n") - x) for x in cs]))).cast("int") - 1
 
-    for _ in range(rounds):
+    while True:  # the sum of squares falls with every step, so it settles
         got = {r["i"]: r["m"] for r in t.groupBy(nearest(centres).alias("i")).agg(F.avg("__n").alias("m")).collect()}  # k rows
         new = [got.get(i, x) for i, x in enumerate(centres)]
         if max(abs(a - b) for a, b in zip(new, centres, strict=True)) < 1e-9:

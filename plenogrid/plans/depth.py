@@ -8,9 +8,9 @@ from .. import fixtures as X
 from ..fixtures import sql
 from ..functions import scalar as C
 from ..operators import depthmodel as D
+from ..steps import written
 from .catalog import register
 from .stats import rounded
-from .steps import written
 
 FIT = """(my - {c0} * ma - {c1} * mb)"""
 SUMS = """count(*) AS n, var_pop(gt * vd) AS saa, covar_pop(gt * vd, vd) AS sab, var_pop(vd) AS sbb, covar_pop(gt * vd, gt) AS say, covar_pop(vd, gt) AS sby, avg(gt * vd) AS ma, avg(vd) AS mb, avg(gt) AS my"""

@@ -8,6 +8,7 @@ from .. import fixtures as X
 from ..fixtures import sql
 from ..functions import keys as Q
 from ..operators import fusion as U
+from ..operators import matching as P
 from ..schema import SITE, TILE
 from .catalog import register
 from .grids import K, NEAR
@@ -116,6 +117,22 @@ def relaxation(spark, sf):
     return rounded(U.relaxed(X.disparity(spark, sf), X.edges(spark, sf), X.pixel(spark, sf), B, rounds=1), "d")
 
 
+def _shown(state):
+    return rounded(P.sites(state, 8), "d", "cost")
+
+
+@register("plane_relaxation")
+def plane_relaxation(spark, sf):
+    """I01 to I03 with planes, weighted correlation, drawn views and five perturbed candidates; tests hold it against scalar code and a known scene."""
+    return _shown(P.relax(X.pixel(spark, sf), X.edges(spark, sf), P.Settings(unit=B), rounds=2))
+
+
+@register("plane_two_levels")
+def plane_two_levels(spark, sf):
+    """The coarser level's planes as seeds of the finer one."""
+    return _shown(P.two_levels(X.pixel(spark, sf), X.edges(spark, sf), P.Settings(unit=B), rounds=(1, 1)))
+
+
 @register("quad_keys", """SELECT vec_id, 5 AS child_lod, (vec_id % 25) * 2 + vec_id % 2 AS child_x, (vec_id // 25) * 2 + (vec_id // 2) % 2 AS child_y, (vec_id % 25) // 2 AS parent_x, (vec_id // 25) // 2 AS parent_y, (vec_id % 25) % 2 + 2 * ((vec_id // 25) % 2) AS quadrant,
   '4_' || (vec_id % 25) || '_' || (vec_id // 25) AS name, CASE WHEN vec_id % 2 = 1 THEN 5.0 ELSE 0.0 END AS box_x, CASE WHEN (vec_id // 2) % 2 = 1 THEN 5.0 ELSE 0.0 END AS box_y FROM embeddings""")
 def quad_keys(spark, sf):

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from ..fixtures import sql
 from ..operators import neighbors as N
+from ..operators import reproject as R
 from ..schema import TILE
 from .catalog import register
+from .reprojection import REPRO
+from .reprojection import T as REPRO_TABLES
 from .stats import rounded
 
 B = X.BASELINE
@@ -85,7 +88,7 @@ FULL = RINGS.format(most=3) + """, far AS (SELECT r.*, sqrt(pow(a.cx - b.cx, 2)
   FROM rings r JOIN lens a ON a.tile_x = r.tile_x AND a.tile_y = r.tile_y JOIN lens b ON b.tile_x = r.ntile_x AND b.tile_y = r.ntile_y)""" + SIMILAR.format(edges="far") + """,
 nb AS (SELECT f.tile_x, f.tile_y, f.ntile_x, f.ntile_y, f.ring, f.baseline, s.similarity FROM far f JOIN sim s USING (tile_x, tile_y, ntile_x, ntile_y)),
 fit AS (SELECT tile_x, tile_y, regr_slope(similarity, baseline) AS slope, regr_intercept(similarity, baseline) AS intercept FROM nb WHERE baseline < 25.2 GROUP BY 1, 2),
-outl AS (SELECT n.*, CAST(coalesce(baseline > 12.6 AND abs(similarity - (slope * baseline + intercept)) / nullif(similarity, 0) > 0.1, false) AS INT) AS outlier FROM nb n LEFT JOIN fit f USING (tile_x, tile_y))"""
+outl AS (SELECT n.*, CAST(coalesce(baseline > 12.6 AND round(abs(similarity - (slope * baseline + intercept)) / nullif(similarity, 0), 9) > 0.1, false) AS INT) AS outlier FROM nb n LEFT JOIN fit f USING (tile_x, tile_y))"""
 
 
 @register("ring_fit", recursive(FULL + " SELECT tile_x, tile_y, round(slope, 5) AS slope, round(intercept, 5) AS intercept FROM fit", "pixel", "edges"))
@@ -119,18 +122,30 @@ def refocus_score(spark, sf):
     return rounded(N.refocus_score(ring_neighbors(spark, sf), 12.0).drop("baseline"), "score")
 
 
-NCC = """ncc AS (SELECT e.tile_x, e.tile_y, e.ntile_x, e.ntile_y, abs(corr(a.v, b.v)) AS ncc FROM edges e JOIN pixel a ON a.tile_x = e.tile_x AND a.tile_y = e.tile_y JOIN pixel b ON b.tile_x = e.ntile_x AND b.tile_y = e.ntile_y AND b.x = a.x AND b.y = a.y GROUP BY ALL)"""
+#: Pixels and the whole places in the neighbours that they reproject to, and the correlation of the patches about both.
+NCC = REPRO + """, m AS (SELECT tile_x, tile_y, ntile_x, ntile_y, x AS px, y AS py, CAST(floor(qx + 0.5) AS BIGINT) AS qx, CAST(floor(qy + 0.5) AS BIGINT) AS qy FROM q WHERE qx BETWEEN 0 AND 7 AND qy BETWEEN 0 AND 7),
+h AS (SELECT *, least(5, px, py, qx, qy, 7 - px, 7 - py, 7 - qx, 7 - qy) AS half FROM m),
+ncc AS (SELECT h.tile_x, h.tile_y, h.ntile_x, h.ntile_y, px, py, qx, qy, coalesce(abs(covar_pop(a.v, b.v) / nullif(sqrt(var_pop(a.v) * var_pop(b.v)), 0)), 0) AS ncc FROM h JOIN pixel a ON a.tile_x = h.tile_x AND a.tile_y = h.tile_y AND abs(a.x - px) <= half AND abs(a.y - py) <= half
+  JOIN pixel b ON b.tile_x = h.ntile_x AND b.tile_y = h.ntile_y AND b.x = a.x - px + qx AND b.y = a.y - py + qy GROUP BY ALL)"""
 
 
-@register("patch_ncc", sql(f"WITH {NCC} SELECT {PAIR}, round(ncc, 6) AS ncc FROM ncc", "pixel", "edges"))
+def patches(spark, sf):
+    """Every valid pixel and the whole place in each neighbour that it reprojects to, with their correlation."""
+    r = R.reprojected(X.disparity(spark, sf), X.edges(spark, sf), B)
+    m = r.select(*N.PAIR, F.col("x").alias("px"), F.col("y").alias("py"), F.floor(F.col("qx") + 0.5).alias("qx"), F.floor(F.col("qy") + 0.5).alias("qy"))
+    return N.ncc(X.pixel(spark, sf), m)
+
+
+@register("patch_ncc", sql(f"WITH {NCC} SELECT {PAIR}, px, py, qx, qy, round(ncc, 6) AS ncc FROM ncc", *REPRO_TABLES))
 def patch_ncc(spark, sf):
-    return rounded(N.ncc(X.pixel(spark, sf), X.edges(spark, sf)), "ncc")
+    return rounded(patches(spark, sf), "ncc")
 
 
-@register("ncc_top", sql(f"""WITH {NCC}, z AS (SELECT *, coalesce((ncc - avg(ncc) OVER w) / nullif(stddev_pop(ncc) OVER w, 0), 0) AS z FROM ncc WINDOW w AS (PARTITION BY tile_x, tile_y)),
-  p AS (SELECT *, CAST(row_number() OVER (PARTITION BY tile_x, tile_y ORDER BY round(z, 9) DESC, ntile_y, ntile_x) AS INT) AS place FROM z) SELECT {PAIR}, round(ncc, 6) AS ncc, round(z, 6) AS z, place FROM p WHERE place <= 3""", "pixel", "edges"))
+@register("ncc_top", sql(f"""WITH {NCC}, g AS (SELECT {PAIR}, CAST(1 AS INT) AS ring, count(*) FILTER (round(ncc, 9) > 0.8) AS points, coalesce(avg(ncc) FILTER (round(ncc, 9) > 0.8), 0) AS mean FROM ncc GROUP BY {PAIR}),
+  s AS (SELECT *, 0.5 * coalesce((points - coalesce(avg(points) FILTER (points > 0) OVER w, 0)) / nullif(stddev_pop(points) FILTER (points > 0) OVER w, 0), 0) + 0.5 * coalesce((mean - coalesce(avg(mean) FILTER (points > 0) OVER w, 0)) / nullif(stddev_pop(mean) FILTER (points > 0) OVER w, 0), 0) AS score FROM g WINDOW w AS (PARTITION BY tile_x, tile_y)),
+  p AS (SELECT *, CAST(row_number() OVER (PARTITION BY tile_x, tile_y ORDER BY round(score, 9) DESC, ntile_y, ntile_x) AS INT) AS place FROM s) SELECT {PAIR}, ring, points, round(mean, 6) AS mean, round(score, 5) AS score, place FROM p WHERE place <= 3""", *REPRO_TABLES))
 def ncc_top(spark, sf):
-    return rounded(N.ncc_top(N.ncc(X.pixel(spark, sf), X.edges(spark, sf))), "ncc", "z")
+    return rounded(rounded(N.ncc_top(patches(spark, sf).withColumn("ring", F.lit(1))), "mean"), "score", places=5)
 
 
 @register("weighted_ncc_cost", sql(f"""WITH w AS (SELECT p.*, exp(-sqrt(pow(p.x - 4, 2) + pow(p.y - 4, 2)) / 50.0 - abs(p.v - c.v) / 1800.0) AS w FROM pixel p JOIN pixel c ON c.tile_x = p.tile_x AND c.tile_y = p.tile_y AND c.x = 4 AND c.y = 4),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from ..fixtures import sql
 from ..operators import grid as G
+from ..operators import stats as S
 from ..schema import SITE
 from .catalog import register
 from .stats import rounded
@@ -98,7 +99,6 @@ def local_consistency(spark, sf):
   LEFT JOIN disparity l ON l.tile_x = a.tile_x AND l.tile_y = a.tile_y AND l.y = a.y AND l.x = a.x - 1 LEFT JOIN disparity r ON r.tile_x = a.tile_x AND r.tile_y = a.tile_y AND r.y = a.y AND r.x = a.x + 1
   LEFT JOIN disparity u ON u.tile_x = a.tile_x AND u.tile_y = a.tile_y AND u.x = a.x AND u.y = a.y - 1 LEFT JOIN disparity w ON w.tile_x = a.tile_x AND w.tile_y = a.tile_y AND w.x = a.x AND w.y = a.y + 1""", "disparity"))
 def hole_filling(spark, sf):
-    """One round fills these grids."""
     return rounded(G.fill_holes(X.disparity(spark, sf)), "d")
 
 
@@ -132,7 +132,7 @@ def bright_count(spark, sf):
 def visual_stretch(spark, sf):
     """Clamp to two quantiles, invert, gamma 0.9, scale to 255."""
     d = X.disparity(spark, sf).where("d is not null")
-    q = d.agg(F.percentile("d", F.lit(0.02)).alias("a"), F.percentile("d", F.lit(0.98)).alias("b"))
+    q = S.interpolated(d, [], "d", 0.02, 0.98).select(F.col("q20").alias("a"), F.col("q980").alias("b"))
     j = d.crossJoin(F.broadcast(q))  # one row
     part = (F.least("b", F.greatest("a", "d")) - F.col("a")) / (F.col("b") - F.col("a"))
     return j.select(*SITE, F.round(255 * F.pow(1 - part, F.lit(0.9)), 4).alias("shown"))

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..fixtures import sql
+from ..functions import scalar as C
 from ..functions.keys import bits
 from ..operators import grid as G
 from ..operators import reproject as R
-from ..schema import SITE
+from ..schema import SITE, TILE
 from .catalog import register
 from .grids import K, MIRROR, NEAR, SOBEL
 from .stats import rounded
@@ -49,6 +50,22 @@ def reprojection_join(spark, sf):
     return rounded(r.select(*SITE, "ntile_x", "ntile_y", "qx", "qy", "n_d"), "qx", "qy", "n_d")
 
 
+@register("geometric_map", sql("""WITH p AS (SELECT d.tile_x, d.tile_y, e.ntile_x, e.ntile_y, d.x, d.y, a.cx - b.cx AS bx, a.cy - b.cy AS by_, -(d.d - ((e.ux * (3 - d.x) + e.uy * (3 - d.y)) * 0.05) / CAST(0.8 AS DOUBLE)) AS d
+    FROM disparity d JOIN edges e USING (tile_x, tile_y) JOIN lens a ON a.tile_x = d.tile_x AND a.tile_y = d.tile_y JOIN lens b ON b.tile_x = e.ntile_x AND b.tile_y = e.ntile_y WHERE d.d > 0),
+  m AS (SELECT *, sqrt(bx * bx + by_ * by_) AS baseline, x + bx * (d * (sqrt(bx * bx + by_ * by_) / 12) / sqrt(bx * bx + by_ * by_)) AS qx, y + by_ * (d * (sqrt(bx * bx + by_ * by_) / 12) / sqrt(bx * bx + by_ * by_)) AS qy FROM p),
+  r AS (SELECT *, CASE WHEN bx * (x - qx) + by_ * (y - qy) >= 0 THEN sqrt(greatest(0, bx * (x - qx) + by_ * (y - qy))) END AS d_real FROM m)
+  SELECT tile_x, tile_y, ntile_x, ntile_y, x, y, round(qx, 6) AS qx, round(qy, 6) AS qy, round(d_real, 6) AS d_real, round(baseline, 6) AS baseline, round(baseline / (d_real + 1e-7), 6) AS vd FROM r""", "edges", "disparity"))
+def geometric_map(spark, sf):
+    """F11 for planes through each valid pixel, read at the tile's centre; with the disparity's sign turned, so that d_real is real."""
+    lens = X.lens(spark, sf)
+    j = X.disparity(spark, sf).where("d > 0").join(X.edges(spark, sf), TILE).join(lens.select(*TILE, "cx", "cy"), TILE)
+    j = j.join(lens.select(F.col("tile_x").alias("ntile_x"), F.col("tile_y").alias("ntile_y"), F.col("cx").alias("ncx"), F.col("cy").alias("ncy")), ["ntile_x", "ntile_y"])
+    x, y = F.col("x"), F.col("y")
+    d = -C.plane_at(F.col("ux") * 0.05, F.col("uy") * 0.05, F.lit(0.8), F.col("d"), x, y, 3 - x, 3 - y)
+    m = C.geometric_map(F.col("cx"), F.col("cy"), F.col("ncx"), F.col("ncy"), x, y, d, B)
+    return rounded(j.select(*TILE, "ntile_x", "ntile_y", "x", "y", *[c.alias(k) for k, c in m.items()]), *m)
+
+
 @register("cycle_error", q(f"SELECT {S}, ntile_x, ntile_y, round(error, 6) AS error FROM err"))
 def cycle_error(spark, sf):
     return rounded(errors(spark, sf).select(*SITE, "ntile_x", "ntile_y", "error"), "error")
@@ -131,7 +148,7 @@ def softmin_view(spark, sf):
     return rounded(R.softmin_view(costs(spark, sf)), "score")
 
 
-@register("best_virtual_depth", q(f"""WITH s AS (SELECT *, round((1 - cost) * exp(-pow(d * scale - 0.2, 2) / 8), 9) AS s FROM costs), o AS (SELECT *, row_number() OVER (PARTITION BY {S} ORDER BY s DESC, ntile_y, ntile_x) AS place FROM s) SELECT {S}, round(12 / d, 6) AS vd, round(s, 6) AS score FROM o WHERE place = 1"""))
+@register("best_virtual_depth", q(f"""WITH s AS (SELECT *, (1 - cost) * exp(-pow(d * scale - 0.2, 2) / 8) AS s FROM costs), o AS (SELECT *, row_number() OVER (PARTITION BY {S} ORDER BY round(s, 9) DESC, ntile_y, ntile_x) AS place FROM s) SELECT {S}, round(12 / d, 6) AS vd, round(s, 6) AS score FROM o WHERE place = 1"""))
 def best_virtual_depth(spark, sf):
     return rounded(R.best_virtual_depth(costs(spark, sf), B), "vd", "score")
 

@@ -36,6 +36,21 @@ def tamura(spark, sf):
     return rounded(T.tamura(X.pixel(spark, sf)), "contrast", "direction_variance")
 
 
+@register("sobel_windows")
+def sobel_windows(spark, sf):
+    return rounded(T.sobel_windows(X.pixel(spark, sf)), "richness")
+
+
+@register("gabor_windows")
+def gabor_windows(spark, sf):
+    return rounded(T.gabor_windows(X.pixel(spark, sf)), "response")
+
+
+@register("circular_codes")
+def circular_codes(spark, sf):
+    return rounded(T.circular_codes(X.pixel(spark, sf)), "code")
+
+
 @register("blur_levels")
 def blur_levels(spark, sf):
     blur = G.smd2(X.pixel(spark, sf)).groupBy("tile_x", "tile_y").agg(F.avg("smd2").alias("blur"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
@@ -19,17 +21,56 @@ from .stats import rounded
 KM = [100.0, 0.0, 100.0, 0.0, 100.0, 80.0, 0.0, 0.0, 1.0]
 
 
-@register("view_fusion", sql("""WITH dm AS (SELECT i AS image, 8 * tile_x + x AS x, 8 * tile_y + y AS y, CAST(10 AS DOUBLE) + CAST(0.2 AS DOUBLE) * e AS depth FROM px, range(0, 3) r(i)),
-  r AS (SELECT 1 AS ref, s.i AS src, x, y, depth, (x - 100) / CAST(100 AS DOUBLE) * depth + 0.5 AS w0, (y - 80) / CAST(100 AS DOUBLE) * depth AS w1, depth AS w2 FROM dm, (VALUES (0), (2)) s(i) WHERE image = 1),
-  p AS (SELECT *, CAST(floor(100 * (w0 - 0.5 * src) / w2 + 100 + 0.5) AS BIGINT) AS sx, CAST(floor(100 * w1 / w2 + 80 + 0.5) AS BIGINT) AS sy FROM r),
-  j AS (SELECT p.*, (sx - 100) / CAST(100 AS DOUBLE) * d.depth + 0.5 * src AS q0, (sy - 80) / CAST(100 AS DOUBLE) * d.depth AS q1, d.depth AS q2 FROM p JOIN dm d ON d.image = p.src AND d.x = p.sx AND d.y = p.sy),
-  k AS (SELECT * FROM j WHERE sqrt(pow(100 * (q0 - 0.5) / q2 + 100 - x, 2) + pow(100 * q1 / q2 + 80 - y, 2)) < 2 AND abs(q2 - depth) / depth < 0.01)
-  SELECT CAST(ref AS BIGINT) AS ref, x, y, count(*) AS n, round((sum(q0) + any_value(w0)) / (count(*) + 1), 5) AS px, round((sum(q1) + any_value(w1)) / (count(*) + 1), 5) AS py, round((sum(q2) + any_value(w2)) / (count(*) + 1), 5) AS pz FROM k GROUP BY ref, x, y HAVING count(*) >= 2""", "px"))
+def _camera(i: int) -> tuple[list[float], list[float]]:
+    """Rotation and translation of view i: half a unit apart, turned a little towards the middle one and about the line of sight."""
+    a, b = 0.01 * (i - 1), 0.004 * (i - 1)
+    ca, sa, cb, sb = math.cos(a), math.sin(a), math.cos(b), math.sin(b)
+    r = [cb * ca, -sb, cb * sa, sb * ca, cb, sb * sa, -sa, 0.0, ca]
+    c = [0.5 * i, 0.02 * i, 0.0]
+    return r, [-sum(r[3 * k + m] * c[m] for m in range(3)) for k in range(3)]
+
+
+CAMERAS = {i: _camera(i) for i in range(3)}
+_CAM = ", ".join("(" + ", ".join([str(i), *(f"CAST({x!r} AS DOUBLE)" for x in [*r, *t])]) + ")" for i, (r, t) in CAMERAS.items())
+
+
+def _world(u: str, v: str, d: str, c: str) -> list[str]:
+    """SQL of the world point of a pixel, with the camera columns of ``c``."""
+    cam = [f"(({u} - 100) / CAST(100 AS DOUBLE) * {d} - {c}.t0)", f"(({v} - 80) / CAST(100 AS DOUBLE) * {d} - {c}.t1)", f"({d} - {c}.t2)"]
+    return [" + ".join(f"{cam[k]} * {c}.r{3 * k + j}" for k in range(3)) for j in range(3)]
+
+
+def _seen(p: list[str], c: str) -> tuple[str, str, str]:
+    cam = ["(" + " + ".join([f"{c}.t{k}", *(f"{p[j]} * {c}.r{3 * k + j}" for j in range(3))]) + ")" for k in range(3)]
+    return f"(100 * {cam[0]} / {cam[2]} + 100)", f"(100 * {cam[1]} / {cam[2]} + 80)", cam[2]
+
+
+def _fusion_sql() -> str:
+    names = ", ".join([f"r{k}" for k in range(9)] + [f"t{k}" for k in range(3)])
+    w = ", ".join(f"{e} AS w{k}" for k, e in enumerate(_world("d.x", "d.y", "depth", "c")))
+    u, v, _ = _seen(["p.w0", "p.w1", "p.w2"], "s")
+    bu, bv, bz = _seen(["q.w0", "q.w1", "q.w2"], "c")
+    means = ", ".join(f"round((sum({o}) + any_value({m})) / (count(*) + 1), 5) AS {n}" for n, m, o in (("px", "w0", "q0"), ("py", "w1", "q1"), ("pz", "w2", "q2"), ("nx", "nx", "snx"), ("ny", "ny", "sny"), ("nz", "nz", "snz"), ("v", "v", "sv")))
+    return sql(f"""WITH cam(image, {names}) AS (VALUES {_CAM}), pix AS (SELECT tile_x, tile_y, x, y, px.e, pixel.v FROM px JOIN pixel USING (tile_x, tile_y, x, y)),
+  dm AS (SELECT i AS image, 8 * tile_x + x AS x, 8 * tile_y + y AS y, CAST(10 AS DOUBLE) + CAST(0.2 AS DOUBLE) * e AS depth, sin(e) AS nx, CAST(0 AS DOUBLE) AS ny, cos(e) AS nz, v FROM pix, range(0, 3) r(i)),
+  pts AS (SELECT d.*, {w} FROM dm d JOIN cam c USING (image)),
+  p AS (SELECT p.*, s.image AS src, CAST(floor({u} + 0.5) AS BIGINT) AS sx, CAST(floor({v} + 0.5) AS BIGINT) AS sy FROM pts p, cam s WHERE p.image = 1 AND s.image <> 1),
+  j AS (SELECT p.*, q.w0 AS q0, q.w1 AS q1, q.w2 AS q2, q.nx AS snx, q.ny AS sny, q.nz AS snz, q.v AS sv, {bu} AS bu, {bv} AS bv, {bz} AS bz FROM p JOIN pts q ON q.image = p.src AND q.x = p.sx AND q.y = p.sy JOIN cam c ON c.image = p.image),
+  k AS (SELECT * FROM j WHERE sqrt(pow(bu - x, 2) + pow(bv - y, 2)) < 2 AND abs(bz - depth) / depth < 0.01 AND acos(greatest(-1, least(1, nx * snx + ny * sny + nz * snz))) < 0.174533)
+  SELECT CAST(image AS BIGINT) AS ref, x, y, count(*) AS n, {means} FROM k GROUP BY image, x, y HAVING count(*) >= 2""", "px", "pixel")
+
+
+@register("view_fusion", _fusion_sql())
 def view_fusion(spark, sf):
-    """Three views of one relief, half a unit apart; the middle one is the reference."""
-    p = X.px(spark, sf).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("image"), (8 * F.col("tile_x") + F.col("x")).alias("x"), (8 * F.col("tile_y") + F.col("y")).alias("y"), (10 + 0.2 * F.col("e")).alias("depth"))
+    """Three turned views of one relief; the middle one is the reference."""
+    pix = X.px(spark, sf).join(X.pixel(spark, sf), SITE)
+    p = pix.select(
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("image"), (8 * F.col("tile_x") + F.col("x")).alias("x"), (8 * F.col("tile_y") + F.col("y")).alias("y"),
+        (10 + 0.2 * F.col("e")).alias("depth"), F.sin("e").alias("nx"), F.lit(0.0).alias("ny"), F.cos("e").alias("nz"), "v",
+    )
     pairs = spark.sql("SELECT * FROM VALUES (1L, 0L), (1L, 2L) AS t(ref, src)")
-    return rounded(M.fuse_views(p, pairs, KM, 0.5), "px", "py", "pz", places=5)
+    cameras = spark.createDataFrame([(i, KM, r, t) for i, (r, t) in CAMERAS.items()], "image long, k array<double>, r array<double>, t array<double>")
+    return rounded(M.fuse_views(p, pairs, cameras), "px", "py", "pz", "nx", "ny", "nz", "v", places=5)
 
 
 @register("view_proposals", sql("WITH " + REPRO + """, v AS (SELECT *, floor(qx + 0.5) AS tx, floor(qy + 0.5) AS ty FROM q WHERE qx BETWEEN 0 AND 7 AND qy BETWEEN 0 AND 7),
@@ -50,13 +91,13 @@ def planar_prior(spark, sf):
 
 
 @register("region_growing", sql("""WITH v AS (SELECT tile_x, tile_y, x, y, d, cost FROM disparity WHERE d IS NOT NULL), g AS (SELECT tile_x, tile_y, x, y, d, 0 AS step FROM v WHERE cost < 1 AND (x + 3 * y) % 13 = 0
-  UNION SELECT b.tile_x, b.tile_y, b.x, b.y, b.d, g.step + 1 FROM g JOIN v b ON b.tile_x = g.tile_x AND b.tile_y = g.tile_y AND abs(b.x - g.x) + abs(b.y - g.y) = 1 AND abs(b.d - g.d) <= 0.05 WHERE g.step < 4)
+  UNION SELECT b.tile_x, b.tile_y, b.x, b.y, b.d, g.step + 1 FROM g JOIN v b ON b.tile_x = g.tile_x AND b.tile_y = g.tile_y AND abs(b.x - g.x) + abs(b.y - g.y) = 1 AND abs(b.d - g.d) <= 0.05 WHERE g.step < 63)
   SELECT tile_x, tile_y, x, y, CAST(min(step) AS BIGINT) AS step FROM g GROUP BY ALL""", "disparity").replace("WITH ", "WITH RECURSIVE ", 1))
 def region_growing(spark, sf):
-    """I12 for the four steps of the SQL; ``grown`` without ``rounds`` fills the regions."""
+    """I12; no path in a tile of 64 pixels has more than 63 steps, which bounds the SQL."""
     d = X.disparity(spark, sf)
     seeds = d.where("d is not null and cost < 1 and (x + 3 * y) % 13 = 0")
-    return M.grown(d, seeds, gate=0.05, rounds=4)
+    return M.grown(d, seeds, gate=0.05)
 
 
 @register("all_in_focus", sql("WITH " + SPLAT + """, s AS (SELECT s.*, p.v FROM splat s JOIN pixel p USING (tile_x, tile_y, x, y)), m AS (SELECT vx, vy, median(vd) AS m FROM s GROUP BY 1, 2),

@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
-_own: dict[str, str] = {}
-
-
 def written(df: DataFrame) -> DataFrame:
-    """Write a step to the folder that all executors share and read it back.
+    """Write a step to a folder that all executors share and read it back.
 
     Iterations stay short plans, and a lost executor repeats one step at most.
+    The folder is ``spark.checkpoint.dir``, or one in the warehouse where that is unset.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        application = spark.sparkContext.applicationId
-        if application not in _own:
-            _own[application] = tempfile.mkdtemp(prefix="spark-")
-        folder = _own[application]
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
     path = f"{folder.rstrip('/')}/loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
