@@ -1,7 +1,5 @@
 """Every query of the library against its SQL on the smallest tables."""
 
-import os
-
 import duckdb
 import pandas as pd
 import pytest
@@ -31,9 +29,8 @@ def test_sql_has_queries():
     assert set(plans.ORACLES) <= set(plans.QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(plans.ORACLES) if os.environ.get("ALL_QUERIES") else sorted(plans.ORACLES)[::4])
+@pytest.mark.parametrize("name", sorted(plans.ORACLES))
 def test_matches_sql(spark, sf, duck, name):
-    """A quarter of the queries; ALL_QUERIES=1 runs them all."""
     a, b = canon(plans.QUERIES[name](spark, sf).toPandas()), canon(duck.sql(plans.ORACLES[name]).df())
     assert list(a.columns) == list(b.columns) and len(a) == len(b)
     for c in a.columns:
