@@ -68,10 +68,20 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("v"))
 
 
+def wide_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of 16 x 16 pixels, each of four whole neighbouring ones."""
+    X, Y, x, y = (F.col(c) for c in ("tile_x", "tile_y", "x", "y"))
+    wide = [F.floor(X / 2).alias("tile_x"), F.floor(Y / 2).alias("tile_y")]
+    whole = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 25).alias("tile_x"), F.floor(F.col("vec_id") / 25).alias("tile_y")).groupBy(*wide).agg(F.count("*").alias("n")).where("n = 4").select(*TILE)
+    return pixel(spark, sf_dir).select("frame", *wide, (8 * (X % 2) + x).alias("x"), (8 * (Y % 2) + y).alias("y"), "v").join(whole, TILE, "left_semi")
+
+
 SQL = {
     "px": """SELECT vec_id % 25 AS tile_x, vec_id // 25 AS tile_y, (i - 1) % 8 AS x, (i - 1) // 8 AS y, CAST(embedding[i] AS DOUBLE) AS e
   FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)""",
     "pixel": "SELECT 'f0' AS frame, tile_x, tile_y, x, y, floor(least(255.0, greatest(0.0, 128 + 256 * e))) AS v FROM px",
+    "wide": """SELECT frame, tile_x // 2 AS tile_x, tile_y // 2 AS tile_y, 8 * (tile_x % 2) + x AS x, 8 * (tile_y % 2) + y AS y, v FROM pixel
+  JOIN (SELECT tile_x // 2 AS wx, tile_y // 2 AS wy FROM pixel GROUP BY ALL HAVING count(*) = 256) ON wx = tile_x // 2 AND wy = tile_y // 2""",
     "lens": """SELECT tile_x, tile_y, CAST(12 * tile_x + 6 + 6 * (tile_y % 2) AS DOUBLE) AS cx, CAST(10.392304845413264 AS DOUBLE) * tile_y + 6 AS cy,
   CAST(60 + 12 * ((7 * tile_x + 5 * tile_y) % 9) AS DOUBLE) AS area FROM (SELECT vec_id % 25 AS tile_x, vec_id // 25 AS tile_y FROM embeddings)""",
     "edges": """SELECT a.tile_x, a.tile_y, b.tile_x AS ntile_x, b.tile_y AS ntile_y,
@@ -87,7 +97,7 @@ SQL = {
   (SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS line, CAST(3.9 AS DOUBLE) + CAST(1.3 AS DOUBLE) * ((37 * l_partkey + 11 * l_suppkey + l_linenumber) % 1000) / 1000 AS vd FROM lineitem)""",
     "val": "SELECT l_returnflag AS g, l_extendedprice AS v FROM lineitem",
 }
-NEEDS = {"pixel": ["px"], "edges": ["lens"], "disparity": ["px"]}
+NEEDS = {"pixel": ["px"], "wide": ["px", "pixel"], "edges": ["lens"], "disparity": ["px"]}
 
 
 def sql(body: str, *names: str) -> str:

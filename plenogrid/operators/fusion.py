@@ -100,9 +100,9 @@ def inverse_square_mean(df: DataFrame, value: str, radius: int = 2, floor: float
     return g.where(F.size("p") > 0).select(*SITE, F.size("p").cast("long").alias("n"), (sv / w).alias("mean"))
 
 
-def centre_rmse(df: DataFrame, value: str, radius: int = 1) -> DataFrame:
+def centre_rmse(df: DataFrame, value: str, radius: int = 1, side: int = 8) -> DataFrame:
     """Root mean square difference of the neighbours to the site's value, or to their mean where it has none."""
-    s = scatter(df.where(F.col(value).isNotNull()).select(*SITE, value), square(radius)).where(F.col("x").between(0, 7) & F.col("y").between(0, 7))
+    s = scatter(df.where(F.col(value).isNotNull()).select(*SITE, value), square(radius)).where(F.col("x").between(0, side - 1) & F.col("y").between(0, side - 1))
     own = F.max(F.when((F.col("dx") == 0) & (F.col("dy") == 0), F.col(value)))
     ring = F.when((F.col("dx") != 0) | (F.col("dy") != 0), F.col(value))
     g = s.groupBy(*SITE).agg(own.alias("own"), F.count(ring).alias("n"), F.sum(ring).alias("a"), F.sum(ring * ring).alias("b")).where("n > 0")
@@ -127,9 +127,10 @@ def descriptor_matches(vectors: DataFrame, reach: int = 2) -> DataFrame:
     return j.select(*TILE, "ntile_x", "ntile_y", "dist", F.try_divide("dist", "second").alias("ratio"))
 
 
-def coarse_seeds(fine: DataFrame, coarse: DataFrame, scale: float = 0.5, value: str = "d") -> DataFrame:
-    """Each fine pixel takes the value of floor(x * scale), clamped to the coarse grid."""
-    f = fine.select(*SITE, F.least(F.lit(3), F.floor(F.col("x") * scale)).alias("sx"), F.least(F.lit(3), F.floor(F.col("y") * scale)).alias("sy"))
+def coarse_seeds(fine: DataFrame, coarse: DataFrame, scale: float = 0.5, value: str = "d", side: int = 8) -> DataFrame:
+    """Each fine pixel takes the value of floor(x * scale), clamped to the coarse grid of a tile of ``side``."""
+    last = F.lit(max(0, int(side * scale) - 1))
+    f = fine.select(*SITE, F.least(last, F.floor(F.col("x") * scale)).alias("sx"), F.least(last, F.floor(F.col("y") * scale)).alias("sy"))
     c = coarse.select(*TILE, F.col("x").alias("sx"), F.col("y").alias("sy"), value)
     return f.join(c, [*TILE, "sx", "sy"]).select(*SITE, value)
 
@@ -139,7 +140,7 @@ def halved(df: DataFrame, value: str = "d") -> DataFrame:
     return df.groupBy(*TILE, F.floor(F.col("x") / 2).alias("x"), F.floor(F.col("y") / 2).alias("y")).agg(median_of(F.collect_list(value)).alias(value))
 
 
-def relaxed(disparity: DataFrame, edges: DataFrame, pixel: DataFrame, unit: float, rounds: int = 2) -> DataFrame:
+def relaxed(disparity: DataFrame, edges: DataFrame, pixel: DataFrame, unit: float, rounds: int = 2, side: int = 8) -> DataFrame:
     """Iterative relaxation of disparities, black and red sites in turn.
 
     A round proposes to each site of one colour its own disparity, those of the
@@ -151,14 +152,14 @@ def relaxed(disparity: DataFrame, edges: DataFrame, pixel: DataFrame, unit: floa
     from ..steps import written
     from .reproject import tiles
 
-    v = tiles(pixel.select(*SITE, "v"), "v")
+    v = tiles(pixel.select(*SITE, "v"), "v", side=side)
     view = edges.select(*TILE, "ntile_x", "ntile_y", "ux", "uy", (F.col("baseline") / unit).alias("scale")).join(v.select(F.col("tile_x").alias("ntile_x"), F.col("tile_y").alias("ntile_y"), F.col("px").alias("npx")), ["ntile_x", "ntile_y"])
     views = view.groupBy(*TILE).agg(F.array_sort(F.collect_list(F.struct("ntile_y", "ntile_x", "ux", "uy", "scale", "npx"))).alias("views"))
     now = disparity.where("d > 0").select(*SITE, F.col("d"))
     steps = [(0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)]
     for r in range(rounds):
         for colour in (0, 1):
-            seen = scatter(now, steps).where(F.col("x").between(0, 7) & F.col("y").between(0, 7))
+            seen = scatter(now, steps).where(F.col("x").between(0, side - 1) & F.col("y").between(0, side - 1))
             own = F.max(F.when((F.col("dx") == 0) & (F.col("dy") == 0), F.col("d")))
             ring = F.collect_list(F.when((F.col("dx") != 0) | (F.col("dy") != 0), F.col("d")))
             sites = seen.groupBy(*SITE).agg(own.alias("d"), F.array_sort(ring).alias("ring")).where("d is not null")
@@ -171,7 +172,7 @@ def relaxed(disparity: DataFrame, edges: DataFrame, pixel: DataFrame, unit: floa
                 def of(w: Column) -> Column:
                     qx = F.floor(F.col("x") + w["ux"] * d * w["scale"] + 0.5)
                     qy = F.floor(F.col("y") + w["uy"] * d * w["scale"] + 0.5)
-                    there = F.get(w["npx"], F.when(qx.between(0, 7) & qy.between(0, 7), (qy * 8 + qx).cast("int")))["v"]
+                    there = F.get(w["npx"], F.when(qx.between(0, side - 1) & qy.between(0, side - 1), (qy * side + qx).cast("int")))["v"]
                     return F.coalesce(F.least(F.lit(2.0), F.abs(F.col("v") - there) / 64), F.lit(2.0))
 
                 return F.aggregate(F.coalesce("views", F.array()), F.lit(0.0), lambda a, w: a + of(w)) / F.greatest(F.lit(1), F.size(F.coalesce("views", F.array())))
@@ -181,8 +182,8 @@ def relaxed(disparity: DataFrame, edges: DataFrame, pixel: DataFrame, unit: floa
     return now
 
 
-def two_levels(disparity: DataFrame, edges: DataFrame, pixel: DataFrame, unit: float, rounds: int = 1) -> DataFrame:
+def two_levels(disparity: DataFrame, edges: DataFrame, pixel: DataFrame, unit: float, rounds: int = 1, side: int = 8) -> DataFrame:
     """Disparities of the coarser level, halved and copied back, seed the holes of the finer one, which is then relaxed."""
-    seeds = coarse_seeds(disparity, halved(disparity)).withColumnRenamed("d", "seed")
+    seeds = coarse_seeds(disparity, halved(disparity), side=side).withColumnRenamed("d", "seed")
     seeded = disparity.select(*SITE, "d").join(seeds, SITE, "left").select(*SITE, F.coalesce("d", "seed").alias("d"))
-    return relaxed(seeded, edges, pixel, unit, rounds)
+    return relaxed(seeded, edges, pixel, unit, rounds, side)

@@ -126,26 +126,44 @@ def _column_mask(t: int) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
-def similarity(pixel: DataFrame, edges: DataFrame, threshold: float = 128.0, step: float = 2.0, steps: int = 4) -> DataFrame:
+def similarity(pixel: DataFrame, edges: DataFrame, threshold: float = 128.0, step: float = 2.0, steps: int = 4, side: int = SIDE) -> DataFrame:
     """Pixels that agree after binarisation, at the best of some shifts of the neighbour along the baseline.
 
     A binarised 8 x 8 tile is one 64-bit number, so a shift is a bit shift and
-    the agreement a population count; pixels never meet in a join.
+    the agreement a population count; of another side, 62 at most, each row of a
+    tile is one.  Pixels never meet in a join.
     """
-    bit = F.expr("shiftleft(1L, cast(8 * y + x as int))")
-    tile = pixel.groupBy(*TILE).agg(F.coalesce(F.bit_or(F.when(F.col("v") > threshold, bit)), F.lit(0).cast("long")).alias("m"))
+    if not 0 < side <= 62:
+        raise ValueError("a row of a tile must fit one number")
+    one = side == SIDE
+    bit = F.expr("shiftleft(1L, cast(8 * y + x as int))" if one else "shiftleft(1L, cast(x as int))")
+    m = F.coalesce(F.bit_or(F.when(F.col("v") > threshold, bit)), F.lit(0).cast("long"))
+    if one:
+        tile = pixel.groupBy(*TILE).agg(m.alias("m"))
+    else:
+        tile = pixel.groupBy(*TILE, "y").agg(m.alias("m")).groupBy(*TILE).agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "m"))), lambda r: r["m"]).alias("m"))
     e = edges.select(*PAIR, "ux", "uy", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("s"))
     # From the reference to the neighbour; small components are taken for none.
     wx = F.when(F.abs(F.col("ux")) * 12 < 5, 0.0).otherwise(-F.col("ux"))
     wy = F.when(F.abs(F.col("uy")) * 12 < 5, 0.0).otherwise(-F.col("uy"))
     size = F.sqrt(wx * wx + wy * wy)
     tx, ty = (F.floor(F.round(F.col("s") * step * w / size, 6) + 0.5).cast("int") for w in (wx, wy))
-    e = e.withColumn("tx", tx).withColumn("ty", ty).where((F.abs("tx") < SIDE) & (F.abs("ty") < SIDE))
+    e = e.withColumn("tx", tx).withColumn("ty", ty).where((F.abs("tx") < side) & (F.abs("ty") < side))
     e = e.join(tile, TILE).join(tile.select(F.col("tile_x").alias("ntile_x"), F.col("tile_y").alias("ntile_y"), F.col("m").alias("nm")), ["ntile_x", "ntile_y"])
-    rows = F.element_at(F.array(*[F.lit(_row_mask(t)).cast("long") for t in range(-7, 8)]), F.col("ty") + 8)
-    cols = F.element_at(F.array(*[F.lit(_column_mask(t)).cast("long") for t in range(-7, 8)]), F.col("tx") + 8)
-    moved = F.when(F.col("ty") * 8 + F.col("tx") >= 0, F.expr("shiftleft(nm, ty * 8 + tx)")).otherwise(F.expr("shiftrightunsigned(nm, -(ty * 8 + tx))"))
-    same = F.bit_count(F.bitwise_not(F.col("m").bitwiseXOR(moved)).bitwiseAND(rows).bitwiseAND(cols))
+    if one:
+        rows = F.element_at(F.array(*[F.lit(_row_mask(t)).cast("long") for t in range(-7, 8)]), F.col("ty") + 8)
+        cols = F.element_at(F.array(*[F.lit(_column_mask(t)).cast("long") for t in range(-7, 8)]), F.col("tx") + 8)
+        moved = F.when(F.col("ty") * 8 + F.col("tx") >= 0, F.expr("shiftleft(nm, ty * 8 + tx)")).otherwise(F.expr("shiftrightunsigned(nm, -(ty * 8 + tx))"))
+        same = F.bit_count(F.bitwise_not(F.col("m").bitwiseXOR(moved)).bitwiseAND(rows).bitwiseAND(cols))
+    else:
+        full = (1 << side) - 1
+        cols = F.expr(f"if(tx >= 0, shiftleft({full}L, tx) & {full}L, shiftrightunsigned({full}L, -tx))")
+        pairs = F.filter(F.transform("m", lambda r, y: F.struct(r.alias("r"), F.get("nm", (y - F.col("ty")).cast("int")).alias("n"))), lambda p: p["n"].isNotNull())
+        same = F.aggregate(
+            pairs, F.lit(0).cast("long"),
+            lambda t, p: t + F.bit_count(F.bitwise_not(p["r"].bitwiseXOR(F.when(F.col("tx") >= 0, F.call_function("shiftleft", p["n"], F.col("tx"))).otherwise(F.call_function("shiftrightunsigned", p["n"], -F.col("tx"))))).bitwiseAND(F.col("cols"))),
+        )
+        e = e.withColumn("cols", cols)
     return e.withColumn("same", same).groupBy(*PAIR).agg(F.max("same").cast("double").alias("similarity"))
 
 
@@ -247,11 +265,12 @@ def ncc_top(scores: DataFrame, by: str = "ring", good: float = 0.8, keep: int =
     return s.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep)
 
 
-def weighted_ncc_cost(pixel: DataFrame, edges: DataFrame, sigma_space: float = 5.0, sigma_colour: float = 30.0) -> DataFrame:
+def weighted_ncc_cost(pixel: DataFrame, edges: DataFrame, sigma_space: float = 5.0, sigma_colour: float = 30.0, side: int = SIDE) -> DataFrame:
     """1 - weighted correlation, weights falling with distance from and difference to the centre pixel; 2 for flat patches."""
-    centre = pixel.where("x = 4 and y = 4").select(*TILE, F.col("v").alias("c"))
+    mid = side // 2
+    centre = pixel.where((F.col("x") == mid) & (F.col("y") == mid)).select(*TILE, F.col("v").alias("c"))
     a = pixel.select(*TILE, "x", "y", "v").join(centre, TILE)
-    d = F.sqrt((F.col("x") - 4) ** 2 + (F.col("y") - 4) ** 2)
+    d = F.sqrt((F.col("x") - mid) ** 2 + (F.col("y") - mid) ** 2)
     a = a.withColumn("w", F.exp(-d / (2 * sigma_space**2) - F.abs(F.col("v") - F.col("c")) / (2 * sigma_colour**2))).drop("c")
     b = pixel.select(F.col("tile_x").alias("ntile_x"), F.col("tile_y").alias("ntile_y"), "x", "y", F.col("v").alias("u"))
     j = edges.select(*PAIR).join(a, TILE).join(b, ["ntile_x", "ntile_y", "x", "y"])

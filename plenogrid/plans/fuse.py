@@ -121,6 +121,13 @@ def _shown(state):
     return rounded(P.sites(state, 8), "d", "cost")
 
 
+@register("wide_centre_rmse", sql("""WITH r AS (SELECT a.tile_x, a.tile_y, a.x, a.y, a.v AS own, count(*) AS n, avg(b.v) AS m1, avg(b.v * b.v) AS m2 FROM wide a JOIN wide b ON b.tile_x = a.tile_x AND b.tile_y = a.tile_y AND abs(b.x - a.x) <= 1 AND abs(b.y - a.y) <= 1 AND (b.x <> a.x OR b.y <> a.y) GROUP BY ALL)
+  SELECT tile_x, tile_y, x, y, n, round(sqrt(greatest(0, m2 - 2 * own * m1 + own * own)), 6) AS rmse FROM r""", "wide"))
+def wide_centre_rmse(spark, sf):
+    """A42 on tiles of 16 x 16 pixels."""
+    return rounded(U.centre_rmse(X.wide_pixel(spark, sf), "v", side=16), "rmse")
+
+
 @register("plane_relaxation")
 def plane_relaxation(spark, sf):
     """I01 to I03 with planes, weighted correlation, drawn views and five perturbed candidates; tests hold it against scalar code and a known scene."""

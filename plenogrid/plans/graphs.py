@@ -73,6 +73,12 @@ def shift_similarity(spark, sf):
     return N.similarity(X.pixel(spark, sf), X.edges(spark, sf))
 
 
+@register("wide_similarity", sql("WITH e0 AS (SELECT * FROM edges)" + SIMILAR.format(edges="edges").replace("JOIN pixel", "JOIN wide") + f" SELECT {PAIR}, similarity FROM sim", "wide", "edges"))
+def wide_similarity(spark, sf):
+    """A52 on tiles of 16 x 16 pixels."""
+    return N.similarity(X.wide_pixel(spark, sf), X.edges(spark, sf), side=16)
+
+
 def ring_neighbors(spark, sf, most=3):
     """Neighbours of the first rings with distance, direction and similarity."""
     lens = X.lens(spark, sf)
