@@ -112,6 +112,21 @@ def similar_depth(a: Column, b: Column, share: float = 0.01) -> Column:
     return F.abs(a - b) < share * a
 
 
+def similar_normal(a: list[Column], b: list[Column], cosine: float = 0.996194698) -> Column:
+    """the cosine of the angle between two normals is above that of five degrees."""
+    dot, aa, bb = (sum((x * y for x, y in zip(p, q, strict=True)), F.lit(0.0)) for p, q in ((a, b), (a, a), (b, b)))
+    return F.try_divide(dot, F.sqrt(aa * bb)) > cosine
+
+
+def triangle(p: list[list[Column]]) -> tuple[Column, Column]:
+    """area of a triangle in space, and its quality, twice the area over the square of the longest edge."""
+    u, v, w = ([p[i][k] - p[j][k] for k in range(3)] for i, j in ((1, 0), (2, 0), (1, 2)))
+    n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    area = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2]) / 2
+    longest = F.greatest(*[e[0] * e[0] + e[1] * e[1] + e[2] * e[2] for e in (u, v, w)])
+    return area, F.coalesce(F.try_divide(2 * area, longest), F.lit(0.0))
+
+
 def barycentric(px: Column, py: Column, t: list[tuple[Column, Column]]) -> list[Column]:
     """weights of a triangle's corners at a point; null for a flat triangle."""
     (ax, ay), (bx, by), (cx, cy) = t

@@ -114,6 +114,13 @@ def unimodal(df: DataFrame, by: Sequence[str], width: float = 2500.0, purity: fl
     return g.select(*by, "n", (F.col("best") / F.col("n")).alias("purity"), ok.cast("int").alias("unimodal"))
 
 
+def unimodal_fit(df: DataFrame, by: Sequence[str], weak: int = 8, **gate: float) -> DataFrame:
+    """The robust fit of groups whose depths are unimodal; groups that keep fewer than ``weak`` samples are dropped."""
+    df = written(df.select(*by, "vd", "gt"))
+    good = unimodal(df, by, **gate).where("unimodal = 1").select(*by)
+    return robust_fit(df.join(good, list(by), "left_semi"), by).where(F.greatest("used", F.when(F.col("used") < 3, F.col("n")).otherwise(F.lit(0))) >= weak)
+
+
 def error_report(df: DataFrame) -> DataFrame:
     """Per segment, and over all as segment null: n, MSE, RMSE, MAE, median error, and samples outside every segment.
 

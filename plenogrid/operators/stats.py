@@ -318,3 +318,20 @@ def library(df: DataFrame, by: Sequence[str], value: str, other: str) -> DataFra
         *by, "covariance", "correlation", (F.col("median") + 5.2 * F.col("mad")).alias("x84"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("quartile_limit"),
         (20 * F.log10(F.try_divide(F.col("mean"), F.col("sd")))).alias("snr"),
     )
+
+
+def signal_measures(df: DataFrame, by: Sequence[str], value: str, other: str) -> DataFrame:
+    """N, the ratios of signal and of peak signal to the noise of ``other`` against ``value`` in decibels, and the bandwidth of a Gaussian kernel.
+
+    Without any difference both ratios are infinite, without any signal 0.
+    """
+    c = df.select(*by, F.col(value).cast("double").alias("v"), F.col(other).cast("double").alias("u")).where(finite(F.col("v")) & finite(F.col("u")))
+    g = c.groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum(F.col("v") * F.col("v")).alias("signal"), F.sum((F.col("v") - F.col("u")) * (F.col("v") - F.col("u"))).alias("noise"),
+        F.greatest(F.lit(0.0), F.max("v"), F.max("u")).alias("peak"), F.stddev_pop("v").alias("sd"),
+    )
+
+    def decibels(x: Column, noise: Column) -> Column:
+        return F.when(noise <= 0, F.lit(float("inf"))).when(x <= 0, 0.0).otherwise(10 * F.log10(x / noise))
+
+    return g.select(*by, "n", decibels(F.col("signal"), F.col("noise")).alias("snr"), decibels(F.col("peak") * F.col("peak"), F.col("noise") / F.col("n")).alias("psnr"), (F.pow(4 / (3.0 * F.col("n")), F.lit(0.2)) * F.col("sd")).alias("bandwidth"))

@@ -93,6 +93,32 @@ def unimodal_gate(spark, sf):
     return rounded(D.unimodal(d, ["g"]), "purity")
 
 
+@register("unimodal_fit", sql(f"""WITH loc AS (SELECT CAST(k % 50 AS BIGINT) AS seg_id, vd, gt FROM depth_pair WHERE vd < 4.3), b AS (SELECT seg_id, floor(gt / 2500) AS bin, count(*) AS c FROM loc GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY seg_id ORDER BY c DESC, bin) AS k FROM b),
+  s AS (SELECT seg_id, sum(c) AS n, max(CASE WHEN k = 1 THEN c END) AS best, coalesce(max(CASE WHEN k = 2 THEN c END), 0) AS second FROM rk GROUP BY 1), ok AS (SELECT seg_id FROM s WHERE n >= 12 AND best / n >= 0.58 AND (best - second) / n >= 0.1),
+  good AS (SELECT loc.* FROM loc JOIN ok USING (seg_id))""" + ROBUST.replace("(SELECT * FROM loc WHERE seg_id IS NOT NULL)", "good").replace("FROM loc l", "FROM good l") + """ SELECT seg_id AS g, n, used, round((c1 * 4.1 + c2) / (1 - c0 * 4.1) / 100) AS at_41 FROM fin WHERE greatest(used, CASE WHEN used < 3 THEN n ELSE 0 END) >= 8""", "depth_pair"))
+def unimodal_fit(spark, sf):
+    d = X.depth_pair(spark, sf).where("vd < 4.3D").withColumn("g", F.col("k") % 50)
+    f = D.unimodal_fit(d, ["g"])
+    return f.select("g", "n", "used", F.round(D.predicted(F.lit(4.1), F.col("c0"), F.col("c1"), F.col("c2")) / 100).alias("at_41"))
+
+
+@register("triangle_geometry", sql("""WITH c AS (SELECT tile_x, tile_y, max(CASE WHEN x = 0 AND y = 0 THEN v END) AS a, max(CASE WHEN x = 7 AND y = 0 THEN v END) AS b, max(CASE WHEN x = 0 AND y = 7 THEN v END) AS c FROM pixel GROUP BY 1, 2),
+  n AS (SELECT *, -7 * (b - a) AS nx, -7 * (c - a) AS ny, CAST(49 AS DOUBLE) AS nz, greatest(49 + pow(b - a, 2), 49 + pow(c - a, 2), 98 + pow(b - c, 2)) AS longest FROM c)
+  SELECT tile_x, tile_y, round(sqrt(nx*nx + ny*ny + nz*nz) / 2, 5) AS area, round(sqrt(nx*nx + ny*ny + nz*nz) / longest, 6) AS quality, CAST(nz / sqrt(nx*nx + ny*ny + nz*nz) > 0.996194698 AS INT) AS level FROM n""", "pixel"))
+def triangle_geometry(spark, sf):
+    """the triangle through three corner values of a tile, and whether it lies level."""
+
+    def at(x, y):
+        return F.max(F.when((F.col("x") == x) & (F.col("y") == y), F.col("v")))
+
+    t = X.pixel(spark, sf).groupBy("tile_x", "tile_y").agg(at(0, 0).alias("a"), at(7, 0).alias("b"), at(0, 7).alias("c"))
+    zero, seven, one = F.lit(0.0), F.lit(7.0), F.lit(1.0)
+    corners = [[zero, zero, F.col("a")], [seven, zero, F.col("b")], [zero, seven, F.col("c")]]
+    area, quality = C.triangle(corners)
+    level = C.similar_normal(C.plane_through(corners)[:3], [zero, zero, one])
+    return rounded(rounded(t.select("tile_x", "tile_y", area.alias("area"), quality.alias("quality"), level.cast("int").alias("level")), "quality"), "area", places=5)
+
+
 @register("stratified_thinning", sql("""WITH t AS (SELECT round(gt, 6) AS gt, CAST(floor(gt / 1000) AS BIGINT) AS grp, CAST(floor((gt - floor(gt / 1000) * 1000) / 100) AS BIGINT) AS sub FROM depth_pair), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY grp, sub ORDER BY gt) AS INT) AS place FROM t)
   SELECT grp, sub, gt, place FROM r WHERE place <= 10""", "depth_pair"))
 def stratified_thinning(spark, sf):

@@ -179,6 +179,14 @@ def statistics_library(spark, sf):
     return rounded(rounded(S.library(t, G, "v", "u"), "covariance", "x84", "quartile_limit", places=3), "correlation", "snr")
 
 
+@register("signal_measures", """SELECT l_returnflag AS g, count(*) AS n, round(10 * log10(sum(v * v) / sum((v - u) * (v - u))), 6) AS snr, round(10 * log10(pow(greatest(0, max(v), max(u)), 2) / (sum((v - u) * (v - u)) / count(*))), 6) AS psnr,
+  round(pow(4 / (3.0 * count(*)), 0.2) * stddev_pop(v), 4) AS bandwidth FROM (SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) AS v, CAST(l_extendedprice * (1 - l_discount) AS DOUBLE) AS u FROM lineitem) GROUP BY 1""")
+def signal_measures(spark, sf):
+    """The discounted price as a noisy copy of the price."""
+    t = X.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("v"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("u"))
+    return rounded(rounded(S.signal_measures(t, G, "v", "u"), "snr", "psnr"), "bandwidth", places=4)
+
+
 @register("frame_extremes", sql("SELECT frame, round(min(d), 6) AS min_d, round(max(d), 6) AS max_d, round(min(12 / d), 6) AS min_vd, round(max(12 / d), 6) AS max_vd FROM disparity WHERE d > 0 GROUP BY frame", "disparity"))
 def frame_extremes(spark, sf):
     """A51."""
