@@ -23,19 +23,13 @@ def tiles(df: DataFrame, *values: str, side: int = SIDE) -> DataFrame:
     return df.groupBy(*TILE).agg(F.array_sort(F.collect_list(cell)).alias("px"))
 
 
-def _at(array: str, x: Column, y: Column, field: str, side: int = SIDE) -> Column:
-    return F.get(F.col(array), (y * side + x).cast("int")).getField(field)
+def bilinear(array: Column, index: Column, right: Column, down: Column, ax: Column, ay: Column, field: str) -> Column:
+    """A field's value at a fractional place of an array in row-major order; null unless all four corners are valid."""
 
+    def corner(at: Column) -> Column:
+        return F.get(array, at).getField(field)
 
-def bilinear(array: str, field: str, x: str = "qx", y: str = "qy", side: int = SIDE) -> Column:
-    """Value at a fractional place inside the tile; null unless all four corners are valid."""
-    x0, y0 = F.floor(x), F.floor(y)
-    x1, y1 = F.least(x0 + 1, F.lit(side - 1)), F.least(y0 + 1, F.lit(side - 1))
-    ax, ay = F.col(x) - x0, F.col(y) - y0
-    return (
-        (1 - ax) * (1 - ay) * _at(array, x0, y0, field) + (1 - ax) * ay * _at(array, x0, y1, field)
-        + ax * (1 - ay) * _at(array, x1, y0, field) + ax * ay * _at(array, x1, y1, field)
-    )
+    return (1 - ax) * (1 - ay) * corner(index) + (1 - ax) * ay * corner(index + down) + ax * (1 - ay) * corner(index + right) + ax * ay * corner(index + right + down)
 
 
 def reprojected(disparity: DataFrame, edges: DataFrame, unit: float, *values: str, side: int = SIDE) -> DataFrame:
@@ -43,17 +37,32 @@ def reprojected(disparity: DataFrame, edges: DataFrame, unit: float, *values: st
 
     q = p + u d s, s = baseline / unit.  Columns: the pixel, its d and values,
     qx, qy, scale, and ``n_<name>`` for d and the values; places outside the
-    neighbour are left out.
+    neighbour are left out.  An edge is one row with both tiles' pixels; the places
+    are computed and looked up within it, and only results become rows.
     """
-    names = ["d", *values]
+    names = list(dict.fromkeys(["d", *values]))
     t = tiles(disparity.withColumn("d", F.when(F.col("d") > 0, F.col("d"))), *names, side=side)
     e = edges.select(*PAIR, "ux", "uy", (F.col("baseline") / unit).alias("scale"))
     j = e.join(t, TILE).join(t.select(F.col("tile_x").alias("ntile_x"), F.col("tile_y").alias("ntile_y"), F.col("px").alias("npx")), ["ntile_x", "ntile_y"])
-    j = j.select(*PAIR, "ux", "uy", "scale", "npx", F.explode("px").alias("p")).where("p.d is not null")
-    j = j.select(*TILE, (F.col("p.i") % side).cast("long").alias("x"), F.floor(F.col("p.i") / side).alias("y"), "ntile_x", "ntile_y", *[F.col(f"p.{n}").alias(n) for n in names], "ux", "uy", "scale", "npx")
-    j = j.withColumn("qx", F.col("x") + F.col("ux") * F.col("d") * F.col("scale")).withColumn("qy", F.col("y") + F.col("uy") * F.col("d") * F.col("scale"))
-    j = j.where(F.col("qx").between(0, side - 1) & F.col("qy").between(0, side - 1))
-    return j.select(*SITE, "ntile_x", "ntile_y", *names, "qx", "qy", "ux", "uy", "scale", *[bilinear("npx", n, side=side).alias(f"n_{n}") for n in names])
+
+    def place(p: Column) -> Column:
+        x, y = (p["i"] % side).cast("long"), F.floor(p["i"] / side)
+        return F.struct(x.alias("x"), y.alias("y"), *[p[n].alias(n) for n in names], (x + F.col("ux") * p["d"] * F.col("scale")).alias("qx"), (y + F.col("uy") * p["d"] * F.col("scale")).alias("qy"))
+
+    def corner(c: Column) -> Column:
+        x0, y0 = F.floor(c["qx"]), F.floor(c["qy"])
+        return F.struct(
+            c.alias("c"), (y0 * side + x0).cast("int").alias("at"), (x0 < side - 1).cast("int").alias("right"), (side * (y0 < side - 1).cast("int")).alias("down"), (c["qx"] - x0).alias("ax"), (c["qy"] - y0).alias("ay")
+        )
+
+    def looked_up(k: Column) -> Column:
+        c = k["c"]
+        return F.struct(*[c[n].alias(n) for n in ("x", "y", *names, "qx", "qy")], *[bilinear(F.col("npx"), k["at"], k["right"], k["down"], k["ax"], k["ay"], n).alias(f"n_{n}") for n in names])
+
+    cells = F.transform(F.filter("px", lambda p: p["d"].isNotNull()), place)
+    cells = F.filter(cells, lambda c: c["qx"].between(0, side - 1) & c["qy"].between(0, side - 1))
+    j = j.select(*PAIR, "ux", "uy", "scale", F.explode(F.transform(F.transform(cells, corner), looked_up)).alias("c"))
+    return j.select(*TILE, "c.x", "c.y", "ntile_x", "ntile_y", *[f"c.{n}" for n in names], "c.qx", "c.qy", "ux", "uy", "scale", *[f"c.n_{n}" for n in names])
 
 
 def cycle_errors(disparity: DataFrame, edges: DataFrame, unit: float, *values: str) -> DataFrame:
