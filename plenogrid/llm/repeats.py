@@ -1,24 +1,33 @@
 """Suffix-array deduplication: remove every byte of a repeated 200-byte string.
 
-Prefix doubling ranks the strings that start at all positions by sorting pairs
-(rank here, rank at an offset), doubling the offset until ranks are unique or
-long enough.  Doing that for every byte would shuffle many times the corpus,
-so positions are first grouped into *runs*: consecutive start positions of
-200-byte strings whose leftmost smallest 64-byte string is the same one.  Two
-equal 200-byte strings contain the same smallest 64-byte string at the same
-place, so they can only lie in runs of equal 64-byte rank, and no string occurs
-twice within one run.
-
-1. Spark ranks the 64-byte strings of all runs; runs of unique rank are done.
-2. Runs are reranked by (64-byte rank, rank of the whole run).  Equal runs
-   repeat from end to end and are done, copies of whole texts among them.
-3. What is left, one run of each content where several contents share a rank,
-   is sorted by rank, and its positions are doubled: ranks of 128 bytes from
-   the pairs (64 here, 64 at 64 further), positions that became unique drop,
-   ranks of 200 bytes from the pairs (128 here, 128 at 72 further).
-
-Ranks are 64-bit hashes of the bytes, so a rank needs no global numbering; two
-ranks, of the 64-byte string and of the longer one, must agree.
+Prefix doubling in Spark: start positions hold the rank of bytes that they share
+with others; Spark sorts the pairs (rank so far, bytes beside), numbers those that
+occur again, drops positions that became unique, and goes on with longer strings
+until they have 200 bytes.
+
+Doubling every byte of a corpus from its first byte on would shuffle many times
+the corpus.  So ranks start at ``SEED`` = 64 bytes, where a 64-bit hash of the
+bytes is the rank, and positions go in *blocks*, each of neighbouring starts, with
+the rank of the bytes that all strings of the block have in common.  The first
+blocks are *runs*: consecutive start positions of 200-byte strings whose leftmost
+smallest 64-byte string is the same one.  Two equal 200-byte strings contain the
+same smallest 64-byte string at the same place, so they can only lie in runs of
+equal rank, and no string occurs twice within one run.
+
+1. Runs whose rank occurs once are done.
+2. Blocks that are equal in all that their strings cover repeat from end to end:
+   their positions are found, and one of each content stays as a partner for
+   others.  Equal runs are the first of these, copies of whole texts among them.
+3. Other blocks of a shared rank are halved.  What the strings of a half have in
+   common is longer by the other half; the pairs (rank, these bytes) are counted,
+   sorted by range and reranked, and halves whose pair occurs once are done.
+   From 64 bytes this goes over 132, 166, 183, ... to 200, in eight steps, where a
+   block is one position.
+
+Pairs are counted before they are shuffled, so a string that stands in millions
+of texts is one row of a sort.  A repeat that begins or ends within a block
+leaves one undecided block a step, so blocks are few: each carries only the bytes
+that its strings do not share, half as many at each step.
 
 Defined results: a null text is empty; texts under 200 bytes are kept whole;
 repeated rows repeat each other, with or without an id; extra columns are
@@ -33,15 +42,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash as H
 from .common import materialize, shuffle_partitions
 
 LENGTH, SEED = 200, 64
-#: Ranks shared by more contents than this are doubled by a shuffle on the 200-byte rank, others in the sorted partition.
-WIDE = 2000
 
 
 def _runs(length: int, seed: int):
@@ -64,6 +71,16 @@ def _runs(length: int, seed: int):
                 first = np.ones(n, bool)
                 first[1:] = last[:-1] | ~whole[:-1]
                 a, b = np.flatnonzero(first & whole), np.flatnonzero(last & whole)
+                at = b.copy()  # where the smallest string of the run stands: at its last start, or behind it
+                for k in range(0, len(b), 20000):
+                    some = np.flatnonzero(h[b[k : k + 20000]] != low[b[k : k + 20000]]) + k
+                    at[some] += np.argmin(h[b[some][:, None] + np.arange(width)], axis=1)
+                # What the strings of the two halves of the run have in common beside it.
+                l, r = (width - 1) // 2 + 1, width - 1 - (width - 1) // 2
+                before, behind = at - l >= a, at + seed + r <= b + length
+                left, right = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+                left[before] = H.spans(p, at[before] - l, at[before])
+                right[behind] = H.spans(p, at[behind] + seed, at[behind] + seed + r)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(low[a].view(np.int64)),
@@ -71,143 +88,87 @@ def _runs(length: int, seed: int):
                         pa.array(row_ids[lo:hi][doc[a]]),
                         pa.array((a - off[doc[a]]).astype(np.int64)),
                         pa.array((b - a + 1).astype(np.int32)),
+                        pa.array((at - a).astype(np.int32)),
+                        pa.array(left.view(np.int64), mask=~before),
+                        pa.array(right.view(np.int64), mask=~behind),
                     ],
-                    ["rank", "run_rank", "row_id", "start", "n_starts"],
+                    ["rank", "run_rank", "row_id", "start", "n_starts", "anchor", "left", "right"],
                 )
 
     return apply
 
 
-def _contents(length: int):
-    """Rows of a text with its chosen runs: one row for each run, with its bytes."""
+def _contexts(length: int):
+    """Rows of a text with its blocks: a row for each block, with the bytes beside what its strings have in common, nearest first."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = H.text_buffer(batch.column("text"))
-            runs = batch.column("runs")
-            base, parts = runs.offsets.to_numpy(), runs.values
-            row = np.repeat(np.arange(len(runs)), np.diff(base))
-            parts = parts.slice(base[0], base[-1] - base[0])
-            start, count = parts.field("start").to_numpy(), parts.field("n_starts").to_numpy()
-            at, size = off[:-1][row] + start, count + length - 1
-            step = 20000
-            for k in range(0, len(row), step):
-                s = slice(k, k + step)
+            ids, blocks = batch.column("row_id").to_numpy(), batch.column("blocks")
+            base, value = blocks.offsets.to_numpy(), blocks.values
+            row = np.repeat(np.arange(len(blocks)), np.diff(base))
+            parts = value.slice(base[0], base[-1] - base[0])
+            lo, hi, a, b = (parts.field(k).to_numpy().astype(np.int64) for k in ("lo", "hi", "a", "b"))
+            at = off[:-1][row] + parts.field("at").to_numpy()
+            ends = [x.tolist() for x in (at - b, at - lo, at + length - hi, at + length - a)]
+            for k in range(0, len(row), 20000):
+                some = slice(k, k + 20000)
+                cuts = list(zip(*(e[some] for e in ends), strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        parts.field("rank")[s],
-                        pa.array(batch.column("row_id").to_numpy()[row[s]]),
-                        parts.field("start")[s],
-                        parts.field("n")[s],
-                        parts.field("wide")[s],
-                        pa.array([buf[x : x + z].tobytes() for x, z in zip(at[s].tolist(), size[s].tolist(), strict=True)], pa.binary()),
+                        *(parts.field(c)[some] for c in ("rank", "lo", "hi")),
+                        pa.array(ids[row[some]]),
+                        *(parts.field(c)[some] for c in ("at", "a", "b", "once")),
+                        pa.array([buf[i:j][::-1].tobytes() for i, j, _, _ in cuts], pa.binary()),
+                        pa.array([buf[i:j].tobytes() for _, _, i, j in cuts], pa.binary()),
                     ],
-                    ["rank", "row_id", "start", "n", "wide", "bytes"],
+                    ["rank", "lo", "hi", "row_id", "at", "a", "b", "once", "left", "right"],
                 )
 
     return apply
 
 
-def _positions(column: pa.Array, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All start positions of the given byte strings: (string, offset in it, place in the buffer) and the seed ranks of the buffer."""
-    buf, off = H.text_buffer(column.cast(pa.large_binary()).view(pa.large_string()))
-    buf, off = buf[off[0] : off[-1]], off - off[0]
-    count = np.diff(off) - length + 1
-    row = np.repeat(np.arange(len(count)), count)
-    offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    return row, offset, off[:-1][row] + offset, H.grams(H.prefix(buf), seed)
-
-
-def _shared(key: np.ndarray) -> np.ndarray:
-    """Whether a value occurs twice or more."""
-    _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-    return count[inverse] > 1
-
-
-def _double(rank: np.ndarray, length: int, seed: int, row: np.ndarray, place: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (as indices) that keep a shared rank up to ``length`` bytes, and their ranks, by doubling from ``seed``."""
-    keep, size = np.arange(len(row)), seed
-    offsets = {0}
-    plan = []
-    while size < length:
-        step = min(size, length - size)
-        plan.append(step)
-        size += step
-    for step in reversed(plan):
-        offsets |= {o + step for o in offsets}
-    at = {o: h[place + o] for o in offsets}  # ranks of ``size`` bytes at each offset that a later step needs
-    for step in plan:
-        at = {o: H.mix(at[o] + H.mix(at[o + step] ^ np.uint64(step))) for o in at if o + step in at}
-        live = _shared(H.mix(at[0]) ^ rank[row[keep]])
-        keep, at = keep[live], {o: v[live] for o, v in at.items()}
-    return keep, at[0]
-
-
-def _spans(row: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of consecutive offsets: row, first offset, last offset."""
-    if not len(row):
-        return row, offset, offset
-    cut = np.ones(len(row), bool)
-    cut[1:] = (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)
-    a = np.flatnonzero(cut)
-    b = np.append(a[1:], len(row)) - 1
-    return row[a], offset[a], offset[b]
-
-
-def _repeated(length: int, seed: int):
-    """Runs sorted by rank: the repeated positions of those that occur once."""
-
-    def solve(t: pa.Table) -> pa.RecordBatch:
-        rank = t.column("rank").to_numpy().view(np.uint64)
-        row, offset, place, h = _positions(t.column("bytes").combine_chunks(), length, seed)
-        keep, _ = _double(rank, length, seed, row, place, h)
-        once = t.column("n").to_numpy() == 1
-        keep = keep[once[row[keep]]]
-        r, a, b = _spans(row[keep], offset[keep])
-        start = t.column("start").to_numpy()[r]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(t.column("row_id").to_numpy()[r]), pa.array(start + a), pa.array(start + b)], ["row_id", "first", "last"]
-        )
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            for k in range(0, batch.num_rows, 4000):
-                piece = batch.slice(k, 4000)
-                rank = piece.column("rank").to_numpy()
-                cut = int(np.searchsorted(rank, rank[-1]))
-                if cut or (held and held[-1].column("rank")[0].as_py() != rank[-1]):
-                    yield solve(pa.Table.from_batches([*held, piece.slice(0, cut)]))
-                    held = []
-                held.append(piece.slice(cut))
-        if held:
-            yield solve(pa.Table.from_batches(held))
-
-    return apply
+def _reranked(blocks: DataFrame, *pair: str) -> DataFrame:
+    """Blocks whose pair occurs again, with the pair's place in sorted order as their new rank."""
+    n = shuffle_partitions(blocks.sparkSession)
+    again = blocks.groupBy(*pair).agg(F.count("*").alias("n")).where("n > 1").select(*pair)
+    again = materialize(again.repartitionByRange(n, *pair).sortWithinPartitions(*pair).withColumn("place", F.monotonically_increasing_id()))
+    return blocks.join(again, list(pair)).drop(*pair).withColumnRenamed("place", "rank")
 
 
-def _window_ranks(length: int, seed: int):
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                t = batch.slice(k, 2000)
-                row, offset, place, h = _positions(t.column("bytes"), length, seed)
-                offs = list(range(0, length - seed, seed)) + [length - seed]
-                ranks = np.zeros(len(place), np.uint64)
-                for o in offs:
-                    ranks = H.mix(ranks + h[place + o])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(t.column("rank").to_numpy()[row]),
-                        pa.array(ranks.view(np.int64)),
-                        pa.array(t.column("row_id").to_numpy()[row]),
-                        pa.array(t.column("start").to_numpy()[row] + offset),
-                        pa.array(t.column("n").to_numpy()[row]),
-                    ],
-                    ["rank", "long_rank", "row_id", "first", "n"],
-                )
+def _doubled(blocks: DataFrame) -> DataFrame:
+    """(row_id, first, last) of the repeated positions of the blocks flagged ``once``.
 
-    return apply
+    A block has the positions ``at - b`` to ``at - a`` of one text, of those that
+    begin ``lo`` to ``hi`` bytes before the run's smallest string; ``rank`` stands
+    for lo, hi and the bytes that all of these share; ``left`` and ``right`` are what
+    its own positions cover beyond them.
+    """
+    found, position = None, ["row_id", (F.col("at") - F.col("b")).alias("first"), (F.col("at") - F.col("a")).alias("last")]
+    columns = ["lo", "hi", "row_id", "at", "a", "b", "once", "left", "right"]
+    while True:
+        blocks = blocks.withColumn("covered", F.xxhash64("left", "right"))
+        contents = materialize(blocks.groupBy("rank", "covered").agg(F.count("*").alias("n"), F.min(F.struct(*columns)).alias("one")))
+        equal = blocks.where("once").join(contents.where("n > 1").select("rank", "covered"), ["rank", "covered"], "left_semi").select(*position)
+        found = equal if found is None else found.unionByName(equal)
+        # One of each content goes on; ranks of one content, or with nothing left to find, are done.
+        rest = contents.select("rank", "one.*", "n").withColumn("once", F.col("once") & (F.col("n") == 1)).drop("n")
+        some = rest.groupBy("rank").agg(F.count("*").alias("n"), F.bool_or("once").alias("open")).where("n > 1 and open").select("rank")
+        rest = rest.join(some, "rank", "left_semi").withColumn("mid", F.floor((F.col("lo") + F.col("hi")) / 2).cast("int"))
+
+        def cut(c: str, first, size) -> Column:
+            return F.substring(F.col(c), first, size)
+
+        lo, hi, a, b, mid = (F.col(c) for c in ("lo", "hi", "a", "b", "mid"))
+        low_b, high_a = F.least(b, mid), F.greatest(a, mid + 1)
+        halves = F.array(
+            F.struct(F.lit(0).alias("half"), lo.alias("lo"), mid.alias("hi"), a.alias("a"), low_b.alias("b"), cut("right", F.lit(1), hi - mid).alias("more"), cut("left", F.lit(1), low_b - lo).alias("left"), cut("right", hi - mid + 1, mid - a).alias("right")),
+            F.struct(F.lit(1).alias("half"), (mid + 1).alias("lo"), hi.alias("hi"), high_a.alias("a"), b.alias("b"), cut("left", F.lit(1), mid + 1 - lo).alias("more"), cut("left", mid + 2 - lo, b - mid - 1).alias("left"), cut("right", F.lit(1), hi - high_a).alias("right")),
+        )
+        halves = rest.select("rank", "row_id", "at", "once", F.explode(halves).alias("h")).select("rank", "row_id", "at", "once", "h.*").where("a <= b").withColumn("more", F.xxhash64("more"))
+        blocks = materialize(_reranked(materialize(halves), "rank", "half", "more").select("rank", *columns))
+        if blocks.isEmpty():
+            return found
 
 
 def _removal(length: int, keep_text: bool):
@@ -252,7 +213,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ke
 
     Spans are judged on the input bytes.  ``kept_text`` joins the kept bytes; a
     character of which only some bytes went is dropped from it.
-    The other columns come back as one struct, ``row``.
+    The other columns come back as one struct, ``row``.  The result is written to the shared folder.
     """
     spark = docs.sparkSession
     seed = min(SEED, max(1, length // 3))
@@ -263,39 +224,43 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, ke
         F.col(f"`{text}`").cast("string").alias("text"),
         (F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("none"))).alias("row"),
     )
-    # The text is shuffled once; both later joins with it find it bucketed.
+    # The text is shuffled once; both later joins with it find it bucketed.  The table is dropped when the result is written.
     name = f"texts_{uuid.uuid4().hex}"
     own.repartition(n, "row_id").write.bucketBy(n, "row_id").option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
 
-    runs = texts.select("row_id", "text").mapInArrow(_runs(length, seed), "rank long, run_rank long, row_id long, start long, n_starts int")
+    runs = texts.select("row_id", "text").mapInArrow(_runs(length, seed), "rank long, run_rank long, row_id long, start long, n_starts int, anchor int, left long, right long")
     again = materialize(runs.groupBy("rank").count().where("count > 1").select("rank"))
     runs = materialize(runs.join(again, "rank"))
-    equal = runs.groupBy("rank", "run_rank").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("row_id", "start", "n_starts")])
-    contents = equal.groupBy("rank").agg(F.count("*").alias("n_contents"))
-    equal = materialize(equal.join(contents, "rank"))
+    equal = runs.groupBy("rank", "run_rank").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "start", "n_starts", "anchor", "left", "right")).alias("one")).select("rank", "run_rank", "n", "one.*")
+    equal = materialize(equal)
     whole = runs.join(equal.where("n > 1").select("rank", "run_rank"), ["rank", "run_rank"], "left_semi").select(
         "row_id", F.col("start").alias("first"), (F.col("start") + F.col("n_starts") - 1).alias("last")
     )
-    chosen = equal.where("n_contents > 1").withColumn("wide", F.col("n_contents") > WIDE)
-    chosen = chosen.groupBy("row_id").agg(F.collect_list(F.struct("rank", "start", "n_starts", "n", "wide")).alias("runs"))
-    pieces = materialize(
-        texts.select("row_id", "text").join(chosen.hint("shuffle_hash"), "row_id").mapInArrow(_contents(length), "rank long, row_id long, start long, n long, wide boolean, bytes binary")
-    )
-    narrow = (
-        pieces.where("not wide").repartition(n, "rank").sortWithinPartitions("rank").mapInArrow(_repeated(length, seed), "row_id long, first long, last long")
+    # The two halves of each run: starts up to ``mid`` bytes before its smallest string, and starts before these.
+    rest, mid = length - seed, (length - seed) // 2
+    a, b = F.col("anchor") - F.col("n_starts") + 1, F.col("anchor")
+    at = (F.col("start") + F.col("anchor")).alias("at")
+    halves = F.array(
+        F.struct(F.lit(0).alias("half"), F.col("right").alias("more"), F.lit(0).alias("lo"), F.lit(mid).alias("hi"), a.alias("a"), F.least(b, F.lit(mid)).alias("b")),
+        F.struct(F.lit(1).alias("half"), F.col("left").alias("more"), F.lit(mid + 1).alias("lo"), F.lit(rest).alias("hi"), F.greatest(a, F.lit(mid + 1)).alias("a"), b.alias("b")),
     )
-    wide = pieces.where("wide").mapInArrow(_window_ranks(length, seed), "rank long, long_rank long, row_id long, first long, n long")
-    shared = wide.groupBy("rank", "long_rank").agg(F.count("*").alias("k")).where("k > 1").select("rank", "long_rank")
-    wide = wide.where("n = 1").join(shared, ["rank", "long_rank"], "left_semi").select("row_id", "first", F.col("first").alias("last"))
-    spans = whole.unionByName(narrow).unionByName(wide)
+    halves = equal.select("rank", "row_id", at, (F.col("n") == 1).alias("once"), F.explode(halves).alias("h")).select("rank", "row_id", "at", "once", "h.*").where("a <= b")
+    blocks = materialize(_reranked(halves, "rank", "half", "more"))
+    blocks = blocks.groupBy("row_id").agg(F.collect_list(F.struct("rank", "lo", "hi", "at", "a", "b", "once")).alias("blocks"))
+    schema = "rank long, lo int, hi int, row_id long, at long, a int, b int, once boolean, left binary, right binary"
+    blocks = materialize(texts.select("row_id", "text").join(blocks.hint("shuffle_hash"), "row_id").mapInArrow(_contexts(length), schema))
+    single = _doubled(blocks)
+    spans = whole.unionByName(single)
     spans = spans.groupBy("row_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     joined = texts.join(spans.hint("shuffle_hash"), "row_id", "left").select(
         "row_id", "text", F.coalesce("spans", F.expr("cast(array() as array<struct<first:bigint,last:bigint>>)")).alias("spans"), "row"
     )
     kept = ", kept_text string" if keep_text else ""
     schema = f"row_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{kept}, row {own.schema['row'].dataType.simpleString()}"
-    return joined.mapInArrow(_removal(length, keep_text), schema).drop("row_id")
+    out = materialize(joined.mapInArrow(_removal(length, keep_text), schema).drop("row_id"))
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
