@@ -1,26 +1,23 @@
-"""Licence scan: phrases, and an exact containment join with licence templates.
-
-A text is cut into blocks at line ends and behind ``.``, ``!`` or ``?`` before a
-blank.  A block matches a template when it contains at least ``THRESHOLD`` of
-the template's distinct words.  The join is exact and filters before it counts:
-
-* one pass counts in how many documents each template word stands, over all
-  documents, and orders every template's words from rare to common;
-* prefix filter: a block that lacks all of the first n - ceil(t n) + 1 words
-  of a template can't contain enough of it, so only blocks with such a word
-  are candidates;
-* length filter: nor can a block of fewer than ceil(t n) words;
-* positional filter: if the rarest word that a block shares is the i-th, at
-  most n - i + 1 words can be shared.
-
-What is left is counted on the words themselves.  Templates are a parameter of
-fixed size; texts are streamed, without a shuffle of them.
-
-``scan(docs, notices=NOTICES)`` joins with whole licence notices instead.  Its
-blocks are all windows of words a quarter longer than a notice, so that line
-ends, comment signs and full stops don't split one, and a window only gets a
-label if the notice's distinguishing phrases (name, variant, version) stand in
-it too.  The registered query keeps the short templates, as its SQL does.
+"""Licence scan: phrases, and an exact containment join with whole licence notices.
+
+The blocks of a text are all its windows of words a quarter longer than a notice,
+so that line ends, comment signs, clause numbers and full stops don't split one.
+A window matches a notice when it contains at least ``THRESHOLD`` of the notice's
+distinct words, and the phrases that tell the licence from its relatives (name,
+variant, version) stand in it too.  The join is exact and filters before it
+counts:
+
+* one pass counts in how many documents each notice word stands, over all
+  documents, and orders every notice's words from rare to common;
+* prefix filter: a window that lacks all of the first n - ceil(t n) + 1 words of
+  a notice can't contain enough of it; an inverted index of these words gives the
+  notices to think of, and only the windows about such a word are candidates;
+* length filter: nor can a window at a text's end with fewer than ceil(t n) words;
+* positional filter: of the words from the rarest shared one on, enough must stand
+  in the stretch of windows about it.
+
+What is left is slid over word by word.  Notices are a parameter of fixed size;
+texts are streamed, without a shuffle of them.
 
 Defined results: a null or empty text has no words, empty labels and score 0;
 repeated rows get equal results; a null id is passed through; extra columns are
@@ -39,20 +36,10 @@ from pyspark.sql import functions as F
 
 from . import bytehash as H
 
-# The phrases of the contract, and the usual notices of some licences.
+# The phrases of the contract.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
-]
 THRESHOLD = 0.8
-#: Whole notices: label, text and the phrases that tell the licence from its relatives.
+# The usual notices of some licences: label, text and the phrases that tell the licence from its relatives.
 NOTICES = [
     (
         "mit",
@@ -92,30 +79,57 @@ NOTICES = [
         "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
         ("mozilla public license v 2 0",),
     ),
+    (
+        "gpl-2",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even "
+        "the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        ("gnu general public license", "version 2 of the license"),
+    ),
+    (
+        "lgpl-3",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version this library is distributed in the hope that it will be useful but without any warranty without even "
+        "the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details",
+        ("gnu lesser general public license", "version 3 of the license"),
+    ),
+    (
+        "agpl-3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even "
+        "the implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license for more details",
+        ("gnu affero general public license", "version 3 of the license"),
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this "
+        "permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied "
+        "warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages",
+        ("permission to use copy modify and or distribute this software", "hereby granted"),
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in "
+        "source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        ("free and unencumbered software released into the public domain",),
+    ),
+    (
+        "cc-by-sa",
+        "this work is licensed under the creative commons attribution sharealike 4 0 international license to view a copy of this license visit http creativecommons org licenses by sa 4 0",
+        ("attribution sharealike 4 0 international",),
+    ),
 ]
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_STOP = np.zeros(256, bool)
-_STOP[[ord("."), ord("!"), ord("?")]] = True
-
-
 def _hash(word: str) -> np.uint64:
     buf = np.frombuffer(word.encode(), np.uint8)
     return H.spans(H.prefix(buf), np.array([0]), np.array([len(buf)]))[0]
 
 
 def _scan(column: pa.Array) -> Iterator[tuple]:
-    """(first row, end row, lower-case bytes, word starts, ends, hashes, first word of each text, block of each word)."""
+    """(first row, end row, lower-case bytes, word starts, ends, hashes, first word of each text)."""
     for lo, hi, buf, off in H.chunks(column):
         low, s, e, first = H.words(buf, off, H.LICENCE_SEPARATOR)
-        word = H.spans(H.prefix(low), s, e)
-        cut = buf == 10
-        if len(buf) > 1:
-            cut[1:] |= _BLANK[buf[1:]] & _STOP[buf[:-1]]
-        inner = off[1:-1]
-        cut[inner[inner < len(cut)]] = True
-        yield lo, hi, low, s, e, word, first, np.cumsum(cut)[s] if len(s) else s
+        yield lo, hi, low, s, e, H.spans(H.prefix(low), s, e), first
 
 
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -126,7 +140,7 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
-            for lo, hi, _, _, _, word, first, _ in _scan(batch.column("text")):
+            for lo, hi, _, _, _, word, first in _scan(batch.column("text")):
                 at = np.minimum(np.searchsorted(hashes[order], word), len(order) - 1)
                 hit = np.flatnonzero(hashes[order][at] == word)
                 row = np.repeat(np.arange(hi - lo), np.diff(first))[hit]
@@ -138,6 +152,16 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {w: found.get(w, 0) for w in vocabulary}
 
 
+def width(text: str) -> int:
+    """Words of the windows that are held against a notice."""
+    return 5 * len(text.split()) // 4
+
+
+def needs(n: int, threshold: float) -> int:
+    """How many of a notice's n distinct words a window must hold."""
+    return ceil(threshold * n - 1e-9)
+
+
 def _window(own: list[str], words: list[str], need: int, width: int, phrases: tuple[str, ...]) -> tuple[int, int, int] | None:
     """(shared, first, last) of the fullest window that holds ``need`` of the words and all phrases."""
     stands: list[list[tuple[int, int]]] = []
@@ -161,22 +185,19 @@ def _window(own: list[str], words: list[str], need: int, width: int, phrases: tu
     return best
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD, spans: bool = False, notices: list[tuple[str, str, tuple[str, ...]]] | None = None) -> DataFrame:
+def scan(docs: DataFrame, notices: list[tuple[str, str, tuple[str, ...]]] = NOTICES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD, spans: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and, asked for, matches.
 
-    ``matches`` lists (label, first word, last word, containment) of all
-    matching blocks, with ``notices`` (which replace the templates) of the fullest
-    window of each stretch of text.  ``score`` is the largest containment, 1 where a phrase
-    stands, else 0.
+    ``matches`` lists (label, first word, last word, containment) of the fullest
+    matching window of each stretch of text.  ``score`` is the largest containment,
+    1 where a phrase stands, else 0.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if notices:
-        templates = [(label, text) for label, text, _ in notices]
-    widths = [5 * len(text.split()) // 4 for _, text in templates]
-    sets = [(label, sorted(set(text.split()))) for label, text in templates]
+    widths = [width(text) for _, text, _ in notices]
+    sets = [(label, sorted(set(text.split()))) for label, text, _ in notices]
     often = frequencies(docs, sorted({w for _, ws in sets for w in ws}))
     ordered = [(label, sorted(ws, key=lambda w: (often[w], w))) for label, ws in sets]
-    needed = [ceil(threshold * len(ws) - 1e-9) for _, ws in ordered]
+    needed = [needs(len(ws), threshold) for _, ws in ordered]
     leads: dict[str, list[int]] = {}
     for t, ((_, ws), need) in enumerate(zip(ordered, needed, strict=True)):
         for w in ws[: len(ws) - need + 1]:
@@ -188,7 +209,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, low, s, e, word, first, block in _scan(batch.column("text")):
+            for lo, hi, low, s, e, word, first in _scan(batch.column("text")):
                 n = hi - lo
                 count, a, b = np.zeros(n, np.int64), [None] * n, [None] * n
                 base: list[set] = [set() for _ in range(n)]
@@ -215,7 +236,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
                         b[r] = i if b[r] is None else max(b[r], i)
                         base[r].add(label)
                         best[r] = 1.0
-                if notices and len(word):
+                if len(word):
                     at = np.minimum(np.searchsorted(lead_hash, word), len(lead_hash) - 1)
                     stretches: dict[tuple[int, int], list[list[int]]] = {}
                     for x in np.flatnonzero(lead_hash[at] == word).tolist():
@@ -230,31 +251,16 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
                     for (r, t), known in stretches.items():
                         label, ws = ordered[t]
                         for i, j in known:
-                            if j - i < needed[t] or len(np.intersect1d(word[i:j], notice_hash[t])) < needed[t]:
+                            if j - i < needed[t]:  # too short
+                                continue
+                            shared = np.isin(notice_hash[t], word[i:j])
+                            if len(ws) - int(shared.argmax()) < needed[t] or shared.sum() < needed[t]:  # too few from the rarest shared one on
                                 continue
                             hit = _window([spelled(x) for x in range(i, j)], ws, needed[t], widths[t], notices[t][2])
                             if hit:
                                 more[r].add(label)
                                 best[r] = max(best[r], hit[0] / len(ws))
                                 found[r].append({"label": label, "first": i + hit[1] - int(first[r]), "last": i + hit[2] - int(first[r]), "containment": hit[0] / len(ws)})
-                elif len(word):
-                    at = np.minimum(np.searchsorted(lead_hash, word), len(lead_hash) - 1)
-                    for k in np.unique(block[lead_hash[at] == word]).tolist():
-                        i, j = (int(x) for x in np.searchsorted(block, [k, k + 1]))
-                        r = int(np.searchsorted(first, i, "right")) - 1
-                        own = {spelled(x) for x in range(i, j)}
-                        for t in sorted({t for w in own if w in leads for t in leads[w]}):
-                            label, ws = ordered[t]
-                            if len(own) < needed[t]:
-                                continue
-                            rarest = next(p for p, w in enumerate(ws) if w in own)
-                            if len(ws) - rarest < needed[t]:
-                                continue
-                            shared = sum(w in own for w in ws)
-                            if shared >= needed[t]:
-                                more[r].add(label)
-                                best[r] = max(best[r], shared / len(ws))
-                                found[r].append({"label": label, "first": i - int(first[r]), "last": j - 1 - int(first[r]), "containment": shared / len(ws)})
                 columns = [
                     batch.column("doc_id").slice(lo, n),
                     pa.array(np.diff(first).astype(np.int64)),
@@ -289,20 +295,36 @@ def _oracle() -> str:
     for phrase, label in PHRASES.items():
         test = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
         hits.append(f"SELECT doc_id, unnest(list_filter(range(1, len(w) + 1), lambda i : {test})) - 1 AS place, '{label}' AS label FROM d")
-    rows = ", ".join(f"('{label}', {sorted(set(text.split()))!r})" for label, text in TEMPLATES)
+    notices, words_of, tells = [], [], []
+    for t, (label, text, telling) in enumerate(NOTICES):
+        ws = sorted(set(text.split()))
+        notices.append(f"({t}, '{label}', {len(ws)}, {needs(len(ws), THRESHOLD)}, {width(text)})")
+        words_of += [f"({t}, '{w}')" for w in ws]
+        tells += [f"({t}, {k}, {p.split()!r})" for k, p in enumerate((telling * 2)[:2])]
     return rf"""
 WITH d AS (
-  SELECT doc_id, regexp_extract_all({lower}, {words}) AS w, {lower} AS text FROM documents
+  SELECT doc_id, regexp_extract_all({lower}, {words}) AS w FROM documents
 ), hits AS ({" UNION ALL ".join(hits)}),
 base AS (
   SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM hits GROUP BY doc_id
-), templates(label, t) AS (VALUES {rows}),
-blocks AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(regexp_replace(text, '([.!?])([\x09-\x0D\x20])', '\1' || chr(10) || '\2', 'g'), chr(10))), {words})) AS b FROM d
-), joined AS (
-  SELECT doc_id, label, len(list_intersect(t, b)) AS shared, len(t) AS n FROM blocks, templates
+), notices(t, label, n, need, width) AS (VALUES {", ".join(notices)}),
+notice_words(t, word) AS (VALUES {", ".join(words_of)}),
+tells(t, k, phrase) AS (VALUES {", ".join(tells)}),
+possible AS (
+  SELECT doc_id, t, w FROM d, (SELECT t, list(word) AS ws FROM notice_words GROUP BY t) JOIN notices USING (t) WHERE len(list_intersect(w, ws)) >= need
+), spread AS (
+  SELECT doc_id, t, w, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM possible
+), placed AS (
+  SELECT doc_id, t, word, pos,
+         max(CASE WHEN k = 0 AND list_slice(w, pos - len(phrase) + 1, pos) = phrase THEN pos - len(phrase) + 1 END) AS tell0,
+         max(CASE WHEN k = 1 AND list_slice(w, pos - len(phrase) + 1, pos) = phrase THEN pos - len(phrase) + 1 END) AS tell1
+  FROM spread JOIN notice_words USING (t, word) JOIN tells USING (t) GROUP BY doc_id, t, word, pos
+), windows AS (
+  SELECT p.doc_id, p.t, p.pos, count(DISTINCT q.word) AS shared, max(q.tell0) AS tell0, max(q.tell1) AS tell1
+  FROM placed p JOIN notices USING (t) JOIN placed q ON q.doc_id = p.doc_id AND q.t = p.t AND q.pos BETWEEN p.pos - width + 1 AND p.pos GROUP BY p.doc_id, p.t, p.pos
 ), more AS (
-  SELECT doc_id, label, shared / n AS score FROM joined WHERE shared >= ceil({THRESHOLD} * n - 1e-9)
+  SELECT doc_id, label, max(shared / n) AS score FROM windows JOIN notices USING (t)
+  WHERE shared >= need AND tell0 >= pos - width + 1 AND tell1 >= pos - width + 1 GROUP BY doc_id, label
 ), labels AS (
   SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
          string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
