@@ -1,16 +1,19 @@
 """A quality classifier: naive Bayes support vectors.
 
-Features are indicators of n-grams of bytes: of three bytes of the lower-cased
-text, of one to four bytes of its *shape*, in which letters, digits and blanks
-are folded into one byte a run, and of one to four marks of whether a word
-repeats the one before it.  They are hashed to 65,536 columns.
+Features are indicators of n-grams: of three bytes of the lower-cased text
+(``bytes``), of one to four bytes of its *shape*, in which letters, digits and
+blanks are folded into one byte a run (``shape``), of one to four marks of whether
+a word repeats the one before it (``marks``), and of one and two words
+(``words``).  They are hashed to 65,536 columns.  Which of these kinds are used,
+``KINDS``, was chosen by ``cross_validate``, which sees training folds only.
 Each indicator is scaled by its class log-count ratio, documents are scaled to
 length one, and a linear hinge-loss model is fitted by dual coordinate descent
 (Wang and Manning 2012; Hsieh et al. 2008).
 
 The fit uses at most ``SAMPLE`` labelled rows, those of smallest hash of their
 id: a documented bound, so that the sample, the counts over it and the model,
-one number a column, fit in one place at any corpus size.  Scoring is one pass over all
+one number a column, fit in one place at any corpus size; a row holds 8 kB at
+most, whatever its text.  Scoring is one pass over all
 texts without a shuffle.
 
 Defined results: a null or empty text has no features and gets the score of the
@@ -34,6 +37,8 @@ from . import bytehash as H
 from .common import table
 
 COLUMNS, SAMPLE, FOLDS, HELD_OUT = 1 << 16, 8000, 3, 1
+#: The kinds of features in use.
+KINDS = ("shape", "marks", "words")
 _U = np.uint64
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -48,47 +53,50 @@ def _columns(code: np.ndarray, kind: int) -> np.ndarray:
     return (H.mix(code + _U(kind << 40)) >> _U(48)).astype(np.int64)
 
 
-def features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+def features(buf: np.ndarray, off: np.ndarray, kinds: tuple[str, ...] = KINDS) -> np.ndarray:
     """Sorted distinct ``row * COLUMNS + column`` of the texts in the buffer."""
     n = len(off) - 1
     seen = np.zeros(n * COLUMNS, bool)
-    low = H._LOWER[buf].astype(_U)
-    row = np.repeat(np.arange(n), np.diff(off))
-    if len(low) > 2:
-        same = row[2:] == row[:-2]
-        seen[(row[2:] * COLUMNS + _columns(low[2:] | low[1:-1] << _U(8) | low[:-2] << _U(16), 9))[same]] = True
-    shape = _FOLD[buf]
-    keep = np.ones(len(shape), bool)
-    keep[1:] = ~_RUN[shape[1:]] | (shape[1:] != shape[:-1]) | (row[1:] != row[:-1])
-    shape, row = shape[keep].astype(_U), row[keep]
-    code = np.zeros(len(shape), _U)
-    for k in range(4):
-        if len(shape) <= k:
-            break
-        code = (code[: len(shape) - k] << _U(8)) | shape[k:]
+    low = H._LOWER[buf]
+
+    def mark(code: np.ndarray, row: np.ndarray, k: int, kind: int) -> None:
+        """Note codes that end k places behind their start, where both lie in one row."""
         same = row[k:] == row[: len(row) - k]
-        seen[(row[k:] * COLUMNS + _columns(code, k))[same]] = True
-    # Whether each word repeats the one before it, as one to four such marks in a row.
-    _, s, e, first = H.words(buf, off)
-    if len(s):
-        word = H.spans(H.prefix(H._LOWER[buf]), s, e)
-        row = np.repeat(np.arange(n), np.diff(first))
-        mark = np.ones(len(word), _U)
-        mark[1:] += (word[1:] == word[:-1]) & (row[1:] == row[:-1])
-        code = np.zeros(len(mark), _U)
-        for k in range(4):
-            if len(mark) <= k:
-                break
-            code = (code[: len(mark) - k] << _U(2)) | mark[k:]
-            same = row[k:] == row[: len(row) - k]
-            seen[(row[k:] * COLUMNS + _columns(code, 20 + k))[same]] = True
+        seen[(row[k:] * COLUMNS + _columns(code, kind))[same]] = True
+
+    def grams(code: np.ndarray, row: np.ndarray, bits: int, kind: int) -> None:
+        """Note one to four codes in a row."""
+        whole = np.zeros(len(code), _U)
+        for k in range(min(4, len(code))):
+            whole = (whole[: len(code) - k] << _U(bits)) | code[k:]
+            mark(whole, row, k, kind + k)
+
+    byte_row = np.repeat(np.arange(n), np.diff(off))
+    if "bytes" in kinds and len(low) > 2:
+        wide = low.astype(_U)
+        mark(wide[2:] | wide[1:-1] << _U(8) | wide[:-2] << _U(16), byte_row, 2, 9)
+    if "shape" in kinds:
+        shape = _FOLD[buf]
+        keep = np.ones(len(shape), bool)
+        keep[1:] = ~_RUN[shape[1:]] | (shape[1:] != shape[:-1]) | (byte_row[1:] != byte_row[:-1])
+        grams(shape[keep].astype(_U), byte_row[keep], 8, 0)
+    if "marks" in kinds or "words" in kinds:
+        _, s, e, first = H.words(buf, off)
+        word, row = H.spans(H.prefix(low), s, e), np.repeat(np.arange(n), np.diff(first))
+        if "marks" in kinds and len(word):
+            repeats = np.ones(len(word), _U)
+            repeats[1:] += (word[1:] == word[:-1]) & (row[1:] == row[:-1])
+            grams(repeats, row, 2, 20)
+        if "words" in kinds and len(word):
+            mark(word, row, 0, 30)
+            mark(word[1:] + H.mix(word[:-1]), row, 1, 31)
     return np.flatnonzero(seen)
 
 
-def _rows(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _rows(column: pa.Array, kinds: tuple[str, ...] = KINDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, row of each feature from 0, column of each feature)."""
     for lo, hi, buf, off in H.chunks(column, 1 << 20, 256):
-        f = features(buf, off)
+        f = features(buf, off, kinds)
         yield lo, hi, f // COLUMNS, f % COLUMNS
 
 
@@ -139,26 +147,64 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for lo, hi, row, column in _rows(batch.column("text")):
-            cut = np.searchsorted(row, np.arange(hi - lo + 1))
-            out += [column[a:b].astype(np.uint16).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], ["doc_id", "label", "columns"])
+def _pack(columns: np.ndarray) -> bytes:
+    """Columns as numbers of two bytes, or as a bit map where that is not longer."""
+    if 2 * len(columns) < COLUMNS // 8:
+        return columns.astype(np.uint16).tobytes()
+    bits = np.zeros(COLUMNS, bool)
+    bits[columns] = True
+    return np.packbits(bits).tobytes()
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on the training folds' labelled rows, at most ``sample`` of them."""
+def _unpack(packed: bytes) -> np.ndarray:
+    if len(packed) < COLUMNS // 8:
+        return np.frombuffer(packed, np.uint16).astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8)))
+
+
+def _encode(kinds: tuple[str, ...]):
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for lo, hi, row, column in _rows(batch.column("text"), kinds):
+                cut = np.searchsorted(row, np.arange(hi - lo + 1))
+                out += [_pack(column[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], ["doc_id", "label", "columns"])
+
+    return apply
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, kinds: tuple[str, ...] = KINDS) -> list[tuple[int, int, np.ndarray]]:
+    """(doc_id, label, columns) of the training folds' labelled rows, at most ``sample`` of them."""
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(label).alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
-    rows = texts.mapInArrow(_encode, "doc_id long, label int, columns binary").toArrow().to_pylist()
-    rows = list({r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["columns"]))}.values())
-    return fit([np.frombuffer(r["columns"], np.uint16).astype(np.int64) for r in rows], np.array([r["label"] for r in rows]))
+    rows = texts.mapInArrow(_encode(kinds), "doc_id long, label int, columns binary").groupBy("doc_id").agg(F.max(F.struct("columns", "label")).alias("r"))
+    return [(r["doc_id"], r["r"]["label"], _unpack(r["r"]["columns"])) for r in sorted(rows.toArrow().to_pylist(), key=lambda r: r["doc_id"])]
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
+    """Fit on the training folds' labelled rows, at most ``sample`` of them."""
+    rows = _labelled(docs, labels, label, sample)
+    return fit([columns for _, _, columns in rows], np.array([y for _, y, _ in rows]))
+
+
+def cross_validate(docs: DataFrame, labels: DataFrame, kinds: tuple[str, ...] = KINDS, label: str = "quality", sample: int = SAMPLE, parts: int = 5) -> float:
+    """Accuracy of models of these kinds of features within the training folds: each fifth is judged by a fit on the others."""
+    rows = _labelled(docs, labels, label, sample, kinds)
+    order = np.random.default_rng(3).permutation(len(rows))
+    right = 0
+    for part in range(parts):
+        test = set(order[part::parts].tolist())
+        some = [r for k, r in enumerate(rows) if k not in test]
+        model = fit([c for _, _, c in some], np.array([y for _, y, _ in some]))
+        for k in test:
+            _, y, columns = rows[k]
+            right += int((model.scores(np.zeros(len(columns), np.int64), columns, 1)[0] >= 0.5) == (y > 0))
+    return right / max(1, len(rows))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
