@@ -50,18 +50,19 @@ def segments(df: DataFrame, size: int = 16, span: float = 0.04, far: float = 0.1
     """
     cells = df.groupBy(F.round(F.col("vd") / GRID).cast("long").alias("k")).agg(F.count("*").alias("c"))
     order = F.array_sort(F.collect_list(F.struct("k", "c")))
-    zero = F.expr("cast(array() as array<struct<a:bigint,b:bigint,n:bigint>>)")
+    # The segment that still grows is kept apart from the finished ones, which are copied only at a cut.
+    zero = F.expr("cast(named_struct('done', array(), 'last', null) as struct<done:array<struct<a:bigint,b:bigint,n:bigint>>,last:struct<a:bigint,b:bigint,n:bigint>>)")
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
+        last = acc["last"]
         width = (x["k"] - last["a"]) * GRID
         cut = F.coalesce(((last["n"] >= size) & (width >= span - 1e-9)) | ((width > far + 1e-9) & (last["n"] >= least)), F.lit(True))
         new = F.struct(x["k"].alias("a"), x["k"].alias("b"), x["c"].alias("n"))
         more = F.struct(last["a"].alias("a"), x["k"].alias("b"), (last["n"] + x["c"]).alias("n"))
-        head = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(cut, F.concat(acc, F.array(new))).otherwise(F.concat(head, F.array(more)))
+        done = F.when(cut & last.isNotNull(), F.concat(acc["done"], F.array(last))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.when(cut, new).otherwise(more).alias("last"))
 
-    s = cells.agg(F.aggregate(order, zero, step).alias("s")).select(F.posexplode("s").alias("seg_id", "g")).select("seg_id", "g.*")
+    s = cells.agg(F.aggregate(order, zero, step, lambda acc: F.filter(F.concat(acc["done"], F.array(acc["last"])), lambda g: g.isNotNull())).alias("s")).select(F.posexplode("s").alias("seg_id", "g")).select("seg_id", "g.*")
     total = F.max("seg_id").over(Window.partitionBy())
     s = s.withColumn("last", total)
     s = s.withColumn("seg_id", F.when((F.col("seg_id") == F.col("last")) & (F.col("n") < least) & (F.col("last") > 0), F.col("seg_id") - 1).otherwise(F.col("seg_id")))

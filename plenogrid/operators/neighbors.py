@@ -303,18 +303,19 @@ def adaptive_rows(lens: DataFrame, baseline: float) -> DataFrame:
     """
     ys = lens.groupBy(F.round("cy", 3).alias("y")).agg(F.count("*").alias("c"))
     order = F.array_sort(F.collect_list(F.struct("y", "c")))
-    zero = F.expr("cast(array() as array<struct<s:double,n:bigint,lo:double,hi:double>>)")
+    # The row that still grows is kept apart from the finished ones, which are copied only where a row ends.
+    zero = F.expr("cast(named_struct('done', array(), 'last', null) as struct<done:array<struct<s:double,n:bigint,lo:double,hi:double>>,last:struct<s:double,n:bigint,lo:double,hi:double>>)")
 
     def step(acc: Column, v: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
+        last = acc["last"]
         new = F.coalesce(v["y"] - last["s"] / last["n"] >= baseline / 2, F.lit(True))
         weight = v["y"] * v["c"]
         first = F.struct(weight.alias("s"), v["c"].alias("n"), v["y"].alias("lo"), v["y"].alias("hi"))
         more = F.struct((last["s"] + weight).alias("s"), (last["n"] + v["c"]).alias("n"), last["lo"].alias("lo"), v["y"].alias("hi"))
-        head = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(new, F.concat(acc, F.array(first))).otherwise(F.concat(head, F.array(more)))
+        done = F.when(new & last.isNotNull(), F.concat(acc["done"], F.array(last))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.when(new, first).otherwise(more).alias("last"))
 
-    rows = ys.agg(F.aggregate(order, zero, step).alias("r")).select(F.posexplode("r").alias("row", "r")).select(F.col("row").cast("long").alias("row"), "r.lo", "r.hi")
+    rows = ys.agg(F.aggregate(order, zero, step, lambda acc: F.filter(F.concat(acc["done"], F.array(acc["last"])), lambda r: r.isNotNull())).alias("r")).select(F.posexplode("r").alias("row", "r")).select(F.col("row").cast("long").alias("row"), "r.lo", "r.hi")
     own = ys.select("y").join(rows, (F.col("y") >= F.col("lo")) & (F.col("y") <= F.col("hi"))).select("y", "row")
     j = lens.withColumn("y", F.round("cy", 3)).join(own, "y")
     return j.select(*TILE, "row", (F.row_number().over(Window.partitionBy("row").orderBy("cx")) - 1).alias("col"))

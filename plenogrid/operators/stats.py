@@ -244,13 +244,14 @@ def kde(df: DataFrame, by: Sequence[str], value: str, points: int = 64) -> DataF
     """(by, k, x, density) of a Gaussian kernel with Silverman's bandwidth on a grid from the least to the largest value."""
     c = clean(df, by, value)
     p = c.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.stddev_samp("v").alias("sd"))
+    c = c.groupBy(*by, "v").agg(F.count("*").alias("copies"))  # equal values add up before they meet the grid
     h = 1.06 * F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     p = p.select(*by, "n", "lo", "hi", F.when(h > 0, h).otherwise(1e-3).alias("h"))
     j = c.join(p, list(by)) if by else c.crossJoin(p)
     j = j.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
     x = F.col("lo") + F.col("k") * (F.col("hi") - F.col("lo")) / (points - 1)
     u = (x - F.col("v")) / F.col("h")
-    g = j.groupBy(*by, F.col("k").cast("long").alias("k"), x.alias("x")).agg(F.sum(F.exp(-0.5 * u * u)).alias("s"), F.first("n").alias("n"), F.first("h").alias("h"))
+    g = j.groupBy(*by, F.col("k").cast("long").alias("k"), x.alias("x")).agg(F.sum(F.col("copies") * F.exp(-0.5 * u * u)).alias("s"), F.first("n").alias("n"), F.first("h").alias("h"))
     return g.select(*by, "k", "x", (F.col("s") / (F.col("n") * F.col("h") * 2.5066282746310002)).alias("density"))
 
 
