@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -93,6 +94,24 @@ def grown(df: DataFrame, seeds: DataFrame, gate: float = 0.3, rounds: int | None
     return found.select(*SITE, F.col("step").cast("long").alias("step"))
 
 
+def spaced(df: DataFrame, by: Sequence[str], order: Sequence[str], keep: int, distance: float) -> DataFrame:
+    """Of each group the first in ``order`` that lies ``distance`` or more from those taken before, ``keep`` at most, numbered from 1.
+
+    A round takes one of each group and drops what is too near to it, so rounds
+    are as many as samples, and a group is never in one task.
+    """
+    rest, found = df.select(*by, "x", "y", *[c for c in order if c not in ("x", "y", *by)]), None
+    for k in range(1, keep + 1):
+        rest = written(rest)
+        taken = rest.groupBy(*by).agg(F.min(F.struct(*order, F.col("x").alias("_x"), F.col("y").alias("_y"))).alias("t"))
+        taken = written(taken.select(*by, F.col("t._x").alias("px"), F.col("t._y").alias("py"), *[F.col(f"t.{c}").alias(c) for c in order if c not in ("x", "y")]))
+        pick = taken.select(*by, F.lit(k).alias("place"), F.col("px").alias("x"), F.col("py").alias("y"), *[c for c in order if c not in ("x", "y")])
+        found = pick if found is None else found.unionByName(pick)
+        j = rest.join(taken.select(*by, "px", "py"), list(by))
+        rest = j.where(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")) >= distance).select(rest.columns)
+    return found
+
+
 def selected_samples(df: DataFrame, mad: float = 0.08, span: float = 0.8, bins: int = 8, most: int = 24) -> DataFrame:
     """Stable pixels, spread over disparity bins and grid cells.
 

@@ -120,6 +120,19 @@ def selected_samples(spark, sf):
     return rounded(M.selected_samples(X.disparity(spark, sf)), "d", "penalty")
 
 
+@register("spaced_samples", sql("""WITH g AS (SELECT 8 * tile_x + x AS x, 8 * tile_y + y AS y, round(cost, 9) AS c, CAST(floor((12 / d - 3) / 1.0) AS BIGINT) AS band FROM disparity WHERE d > 0), s AS (SELECT *, x // 34 AS cx, y // 34 AS cy FROM g),
+  o1 AS (SELECT *, row_number() OVER (PARTITION BY band, cx, cy ORDER BY c, y, x) AS k FROM s), p1 AS (SELECT * FROM o1 WHERE k = 1),
+  o2 AS (SELECT s.*, row_number() OVER (PARTITION BY s.band, s.cx, s.cy ORDER BY s.c, s.y, s.x) AS k FROM s JOIN p1 p USING (band, cx, cy) WHERE sqrt(pow(s.x - p.x, 2) + pow(s.y - p.y, 2)) >= 20), p2 AS (SELECT * FROM o2 WHERE k = 1),
+  o3 AS (SELECT s.*, row_number() OVER (PARTITION BY s.band, s.cx, s.cy ORDER BY s.c, s.y, s.x) AS k FROM s JOIN p1 p USING (band, cx, cy) JOIN p2 q USING (band, cx, cy) WHERE sqrt(pow(s.x - p.x, 2) + pow(s.y - p.y, 2)) >= 20 AND sqrt(pow(s.x - q.x, 2) + pow(s.y - q.y, 2)) >= 20)
+  SELECT band, cx, cy, place, x, y, round(c, 6) AS c FROM (SELECT band, cx, cy, 1 AS place, x, y, c FROM p1 UNION ALL SELECT band, cx, cy, 2, x, y, c FROM p2 UNION ALL SELECT band, cx, cy, 3, x, y, c FROM o3 WHERE k = 1)""", "disparity"))
+def spaced_samples(spark, sf):
+    """Three samples of every cell of 34 pixels and every band of virtual depth, 20 pixels apart, the cheapest first."""
+    x, y = 8 * F.col("tile_x") + F.col("x"), 8 * F.col("tile_y") + F.col("y")
+    g = X.disparity(spark, sf).where("d > 0").select(x.alias("x"), y.alias("y"), F.round("cost", 9).alias("c"), F.floor(X.BASELINE / F.col("d") - 3).alias("band"))
+    g = g.withColumns({"cx": F.floor(F.col("x") / 34), "cy": F.floor(F.col("y") / 34)})
+    return rounded(M.spaced(g, ["band", "cx", "cy"], ["c", "y", "x"], 3, 20.0), "c")
+
+
 @register("remap", sql("""WITH g AS (SELECT 8 * tile_x + x AS gx, 8 * tile_y + y AS gy, v FROM pixel), t AS (SELECT gx, gy, CAST(floor(100 + (1 + CAST(1e-6 AS DOUBLE) * ((gx - 100) * (gx - 100) + (gy - 80) * (gy - 80))) * (gx - 100) + 0.5) AS BIGINT) AS sx,
   CAST(floor(80 + (1 + CAST(1e-6 AS DOUBLE) * ((gx - 100) * (gx - 100) + (gy - 80) * (gy - 80))) * (gy - 80) + 0.5) AS BIGINT) AS sy FROM g) SELECT t.gx, t.gy, g.v FROM t JOIN g ON g.gx = t.sx AND g.gy = t.sy""", "pixel"))
 def remap(spark, sf):
