@@ -94,6 +94,32 @@ def grown(df: DataFrame, seeds: DataFrame, gate: float = 0.3, rounds: int | None
     return found.select(*SITE, F.col("step").cast("long").alias("step"))
 
 
+def edge_proxies(df: DataFrame, bad: DataFrame, radius: int = 2, alike: float = 20.0) -> DataFrame:
+    """For each bad edge pixel the disparity of the pixel in its square that is most like it in intensity, nearer ones first.
+
+    ``df`` is (site, v, d) with null where there is no trusted disparity, ``bad``
+    the sites to repair.  Pixels that differ by more than ``alike`` are no proxies.
+    """
+    sources = df.where("d is not null").select(*SITE, "d", F.col("v").alias("u"))
+    s = scatter(sources, square(radius, centre=False)).join(df.select(*SITE, "v"), SITE).join(bad.select(*SITE), SITE, "left_semi")
+    far = F.abs(F.col("u") - F.col("v"))
+    s = s.where(far <= alike)
+    key = F.struct(far, (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("q"), "dy", "dx")
+    return s.groupBy(*SITE).agg(F.min_by(F.struct("d", "dx", "dy"), key).alias("p")).select(*SITE, "p.d", F.col("p.dx").cast("long").alias("dx"), F.col("p.dy").cast("long").alias("dy"))
+
+
+def edges_repaired(df: DataFrame, bad: DataFrame, radius: int = 2, alike: float = 20.0) -> DataFrame:
+    """I06, propagation: (site, d, round) of the bad pixels that proxies reach; repaired pixels serve as proxies in the next round, until none is added."""
+    now, found = df.select(*SITE, "v", "d"), None
+    for r in count(1):
+        new = written(edge_proxies(now, bad, radius, alike).select(*SITE, "d", F.lit(r).alias("round")))
+        found = new if found is None else found.unionByName(new)
+        if new.isEmpty():
+            return found
+        bad = written(bad.join(new.select(*SITE), SITE, "left_anti"))
+        now = written(now.join(new.select(*SITE, F.col("d").alias("new")), SITE, "left").select(*SITE, "v", F.coalesce("d", "new").alias("d")))
+
+
 def spaced(df: DataFrame, by: Sequence[str], order: Sequence[str], keep: int, distance: float) -> DataFrame:
     """Of each group the first in ``order`` that lies ``distance`` or more from those taken before, ``keep`` at most, numbered from 1.
 

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..fixtures import sql
+from ..operators import grid as G
 from ..operators import mvs as M
 from ..operators import reproject as R
 from ..schema import SITE, TILE
 from .catalog import register
 from .fuse import SPLAT, splat_of
-from .grids import K
+from .grids import K, MIRROR, SOBEL
 from .reprojection import REPRO
 from .reprojection import T as REPRO_TABLES
 from .stats import rounded
@@ -120,6 +121,18 @@ def selected_samples(spark, sf):
     return rounded(M.selected_samples(X.disparity(spark, sf)), "d", "penalty")
 
 
+@register("edge_proxies", sql(f"""WITH {MIRROR}, {SOBEL}, s AS (SELECT p.tile_x, p.tile_y, p.x, p.y, p.v, CASE WHEN d.d > 0 AND d.cost <= 1.3 THEN d.d END AS d, sobel >= 100 AND (d.d IS NULL OR d.cost > 1.3) AS bad FROM pixel p JOIN disparity d USING (tile_x, tile_y, x, y) JOIN sobel USING (tile_x, tile_y, x, y)),
+  j AS (SELECT a.tile_x, a.tile_y, a.x, a.y, b.d, b.x - a.x AS dx, b.y - a.y AS dy, row_number() OVER (PARTITION BY a.tile_x, a.tile_y, a.x, a.y ORDER BY abs(a.v - b.v), (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y), b.y - a.y, b.x - a.x) AS k FROM s a JOIN s b ON b.tile_x = a.tile_x AND b.tile_y = a.tile_y AND abs(b.x - a.x) <= 2 AND abs(b.y - a.y) <= 2 AND (b.x <> a.x OR b.y <> a.y)
+    WHERE a.bad AND b.d IS NOT NULL AND abs(a.v - b.v) <= 20) SELECT tile_x, tile_y, x, y, round(d, 6) AS d, dx, dy FROM j WHERE k = 1""", "pixel", "disparity"))
+def edge_proxies(spark, sf):
+    """Pixels on intensity edges without a trusted disparity; ``mvs.edges_repaired`` goes on from pixel to pixel."""
+    p = X.pixel(spark, sf)
+    j = X.disparity(spark, sf).drop("frame").join(p.select(*SITE, "v"), SITE).join(G.sobel(p).select(*SITE, "sobel"), SITE)
+    trusted = F.coalesce((F.col("d") > 0) & (F.col("cost") <= 1.3), F.lit(False))
+    bad = j.where((F.col("sobel") >= 100) & (F.col("d").isNull() | (F.col("cost") > 1.3)))
+    return rounded(M.edge_proxies(j.select(*SITE, "v", F.when(trusted, F.col("d")).alias("d")), bad), "d")
+
+
 @register("spaced_samples", sql("""WITH g AS (SELECT 8 * tile_x + x AS x, 8 * tile_y + y AS y, round(cost, 9) AS c, CAST(floor((12 / d - 3) / 1.0) AS BIGINT) AS band FROM disparity WHERE d > 0), s AS (SELECT *, x // 34 AS cx, y // 34 AS cy FROM g),
   o1 AS (SELECT *, row_number() OVER (PARTITION BY band, cx, cy ORDER BY c, y, x) AS k FROM s), p1 AS (SELECT * FROM o1 WHERE k = 1),
   o2 AS (SELECT s.*, row_number() OVER (PARTITION BY s.band, s.cx, s.cy ORDER BY s.c, s.y, s.x) AS k FROM s JOIN p1 p USING (band, cx, cy) WHERE sqrt(pow(s.x - p.x, 2) + pow(s.y - p.y, 2)) >= 20), p2 AS (SELECT * FROM o2 WHERE k = 1),

@@ -1,5 +1,6 @@
 """Cases worked out by hand, and invariants."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,41 @@ def test_region_growing_fills_the_region(spark):
     got = {(r["x"], r["y"]): r["step"] for r in mvs.grown(df, df.where("x = 0 and y = 0")).collect()}
     assert set(got) == set(path) and max(got.values()) == len(path) - 1
     assert mvs.grown(df, df.where("x = 0 and y = 0"), rounds=4).count() == 5
+
+
+def test_edge_repair_goes_from_pixel_to_pixel(spark):
+    """A row of five bad pixels, three of which only repaired neighbours reach; one unlike any other stays."""
+    rows = [(0, 0, x, 0, 100.0 if x < 7 else 0.0, 2.0 if x == 0 else None) for x in range(8)]
+    df = spark.createDataFrame(rows, "tile_x long, tile_y long, x long, y long, v double, d double")
+    got = {r["x"]: (r["d"], r["round"]) for r in mvs.edges_repaired(df, df.where("x > 0"), radius=2).collect()}
+    assert got == {1: (2.0, 1), 2: (2.0, 1), 3: (2.0, 2), 4: (2.0, 2), 5: (2.0, 3), 6: (2.0, 3)}
+
+
+def test_spaced_samples(spark):
+    rows = [("a", float(x), 0.0, x) for x in range(10)] + [("b", 0.0, 0.0, 1), ("b", 1.0, 1.0, 0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, c int")
+    got = sorted((r["g"], r["place"], r["x"]) for r in mvs.spaced(df, ["g"], ["c", "y", "x"], 3, 4.0).collect())
+    assert got == [("a", 1, 0.0), ("a", 2, 4.0), ("a", 3, 8.0), ("b", 1, 1.0)]
+
+
+def test_quantiles_of_a_heavy_tail(spark):
+    """Nearly all values in one equal-width cell, against numpy; then one value, then none."""
+    values = [1 + k / 1000 for k in range(3000)] + [1e9, 1e12]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 5.0)], "g string, v double")
+    got = {r["g"]: r for r in stats.interpolated(df, ["g"], "v", 0.1, 0.5, 0.999).collect()}
+    for p, name in ((0.1, "q100"), (0.5, "q500"), (0.999, "q999")):
+        assert abs(got["a"][name] - np.quantile(values, p)) < 1e-9 and got["b"][name] == 5.0
+    cells = stats.ranked(df.where("g = 'a'"), ["g"], "v").agg({"i": "max"}).first()[0]
+    assert cells == len(values) - 1
+    band = {r["g"]: r for r in stats.mad_band(df, ["g"], "v").collect()}
+    median = np.median(values)
+    assert abs(band["a"]["mad"] - np.median(np.abs(np.array(values) - median))) < 1e-9
+    assert stats.interpolated(df.where("false"), ["g"], "v", 0.5).count() == 0 and stats.hdi_exact(df.where("false"), ["g"], "v", 0.5).count() == 0
+
+
+def test_holes_are_filled_to_the_end(spark):
+    """A single valid pixel in a corner of a tile: fourteen rounds, more than eight."""
+    rows = [(0, 0, x, y, 1.5 if x == y == 0 else None) for x in range(8) for y in range(8)]
+    df = spark.createDataFrame(rows, "tile_x long, tile_y long, x long, y long, d double")
+    assert grid.fill_holes(df).where("d = 1.5").count() >= 0.98 * 64
+    assert grid.fill_holes(df.where("x > 0")).where("d is not null").count() == 0
