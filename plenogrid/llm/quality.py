@@ -123,19 +123,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 2.0, rounds: i
     for r, positive in zip(rows, y > 0, strict=True):
         counts[int(positive)][r] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    unit = [ratio[r] / max(1e-12, np.sqrt(np.square(ratio[r]).sum())) for r in rows]
+    # A row is its columns and one factor; its scaled values are taken from the ratios when they are needed.
+    scale = np.array([1 / max(1e-12, np.sqrt(np.square(ratio[r]).sum())) for r in rows])
     w, b, alpha = np.zeros(COLUMNS), 0.0, np.zeros(len(y))
-    square = np.array([u @ u for u in unit]) + 1.0
+    square = np.array([np.square(ratio[r] * s).sum() for r, s in zip(rows, scale, strict=True)]) + 1.0
     order = np.random.default_rng(7)
     for _ in range(rounds):
         largest = 0.0
         for i in order.permutation(len(y)):
-            gradient = y[i] * (w[rows[i]] @ unit[i] + b) - 1.0
+            unit = ratio[rows[i]] * scale[i]
+            gradient = y[i] * (w[rows[i]] @ unit + b) - 1.0
             new = min(max(alpha[i] - gradient / square[i], 0.0), cost)
             change = (new - alpha[i]) * y[i]
             if change:
                 alpha[i] = new
-                w[rows[i]] += change * unit[i]
+                w[rows[i]] += change * unit
                 b += change
                 largest = max(largest, abs(change))
         if largest < 1e-3:
@@ -158,8 +160,8 @@ def _pack(columns: np.ndarray) -> bytes:
 
 def _unpack(packed: bytes) -> np.ndarray:
     if len(packed) < COLUMNS // 8:
-        return np.frombuffer(packed, np.uint16).astype(np.int64)
-    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8)))
+        return np.frombuffer(packed, np.uint16)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8))).astype(np.uint16)
 
 
 def _encode(kinds: tuple[str, ...]):
