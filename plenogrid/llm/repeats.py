@@ -39,6 +39,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -144,13 +145,13 @@ def _doubled(blocks: DataFrame) -> DataFrame:
     for lo, hi and the bytes that all of these share; ``left`` and ``right`` are what
     its own positions cover beyond them.
     """
-    found, position = None, ["row_id", (F.col("at") - F.col("b")).alias("first"), (F.col("at") - F.col("a")).alias("last")]
+    found, position = [], ["row_id", (F.col("at") - F.col("b")).alias("first"), (F.col("at") - F.col("a")).alias("last")]
     columns = ["lo", "hi", "row_id", "at", "a", "b", "once", "left", "right"]
     while True:
         blocks = blocks.withColumn("covered", F.xxhash64("left", "right"))
         contents = materialize(blocks.groupBy("rank", "covered").agg(F.count("*").alias("n"), F.min(F.struct(*columns)).alias("one")))
         equal = blocks.where("once").join(contents.where("n > 1").select("rank", "covered"), ["rank", "covered"], "left_semi").select(*position)
-        found = equal if found is None else found.unionByName(equal)
+        found.append(materialize(equal))  # so that the last plan is a scan of small files and not all the joins
         # One of each content goes on; ranks of one content, or with nothing left to find, are done.
         rest = contents.select("rank", "one.*", "n").withColumn("once", F.col("once") & (F.col("n") == 1)).drop("n")
         some = rest.groupBy("rank").agg(F.count("*").alias("n"), F.bool_or("once").alias("open")).where("n > 1 and open").select("rank")
@@ -168,7 +169,7 @@ def _doubled(blocks: DataFrame) -> DataFrame:
         halves = rest.select("rank", "row_id", "at", "once", F.explode(halves).alias("h")).select("rank", "row_id", "at", "once", "h.*").where("a <= b").withColumn("more", F.xxhash64("more"))
         blocks = materialize(_reranked(materialize(halves), "rank", "half", "more").select("rank", *columns))
         if blocks.isEmpty():
-            return found
+            return reduce(DataFrame.unionByName, found)
 
 
 def _removal(length: int, keep_text: bool):
