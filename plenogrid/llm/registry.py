@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, licences, mixture, neardup, phrases, quality, repeats, tokenfile, vectordup, webtext
+from . import ann, bpe, licences, mixture, neardup, phrases, quality, repeats, secrets, spelling, tokenfile, vectordup, webtext
 
 QUERIES = {
     "op1_collision_counting_ann": ann.query,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_licence_scan": licences.query,
     "op9_quality_nbsvm": quality.query,
     "op10_rotated_code_neardup": vectordup.query,
+    "op11_trigram_secrets": secrets.query,
+    "op12_variable_gram_variants": spelling.query,
     "op13_phrase_tries": phrases.query,
 }
 ORACLES = {
     "op3_mix_sources": mixture.ORACLE,
     "op8_licence_scan": licences.ORACLE,
+    "op11_trigram_secrets": secrets.ORACLE,
     "op13_phrase_tries": phrases.ORACLE,
 }
