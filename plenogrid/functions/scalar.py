@@ -149,3 +149,29 @@ def crop_side(baseline: Column) -> Column:
 def clamp_cost(c: Column) -> Column:
     """P13."""
     return F.least(F.lit(2.0), F.greatest(F.lit(0.0), c))
+
+
+# Linear RGB to XYZ, rows divided by the white point D65.
+TO_XYZ = ((0.412453 / 0.950456, 0.357580 / 0.950456, 0.180423 / 0.950456), (0.212671, 0.715160, 0.072169), (0.019334 / 1.088754, 0.119193 / 1.088754, 0.950227 / 1.088754))
+
+
+def lab(r: Column, g: Column, b: Column) -> list[Column]:
+    """CIE L*a*b* of 8-bit sRGB, in the 8-bit scale: L times 255 / 100, a and b plus 128, rounded."""
+
+    def linear(c: Column) -> Column:
+        c = c / 255
+        return F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
+
+    rgb = [linear(c) for c in (r, g, b)]
+    x, y, z = (sum((c * w for c, w in zip(rgb, row, strict=True)), F.lit(0.0)) for row in TO_XYZ)
+
+    def root(t: Column) -> Column:
+        return F.when(t > 0.008856, F.pow(t, F.lit(1 / 3))).otherwise(7.787 * t + 16 / 116)
+
+    light = F.when(y > 0.008856, 116 * F.pow(y, F.lit(1 / 3)) - 16).otherwise(903.3 * y)
+    return [F.floor(F.round(c, 6) + 0.5).cast("double") for c in (light * 255 / 100, 500 * (root(x) - root(y)) + 128, 200 * (root(y) - root(z)) + 128)]
+
+
+def colour_distance(p: list[Column], q: list[Column]) -> Column:
+    """Euclidean distance of two colours."""
+    return F.sqrt(sum(((a - b) * (a - b) for a, b in zip(p, q, strict=True)), F.lit(0.0)))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import colour_distance, lab
 from ..schema import SITE, TILE
 from .grid import median_of, scatter, square
 
@@ -41,6 +42,18 @@ def splat_mean(s: DataFrame, gate: float = 1.0) -> DataFrame:
     return j.groupBy("vx", "vy").agg(F.count("*").alias("n"), (F.sum(F.col("score") * F.col("vd")) / F.sum("score")).alias("vd"))
 
 
+def splat_colour_mean(s: DataFrame, gate: float = 300.0) -> DataFrame:
+    """Weighted mean colour and virtual depth of the splats whose CIE Lab colour lies within the gate of the place's median colour.
+
+    Splats carry red, green and blue; all are judged before any is left out.
+    """
+    t = s.select("vx", "vy", "vd", "score", "red", "green", "blue", *[c.alias(n) for c, n in zip(lab(F.col("red"), F.col("green"), F.col("blue")), "lab", strict=True)])
+    m = t.groupBy("vx", "vy").agg(*[F.median(n).alias(f"m{n}") for n in "lab"])  # a place of the splat grid
+    j = t.join(m, ["vx", "vy"]).where(colour_distance([F.col(n) for n in "lab"], [F.col(f"m{n}") for n in "lab"]) <= gate)
+    means = [(F.sum(F.col("score") * F.col(c)) / F.sum("score")).alias(c) for c in ("red", "green", "blue", "vd")]
+    return j.groupBy("vx", "vy").agg(F.count("*").alias("n"), *means)
+
+
 def consistent(s: DataFrame, share: float = 0.05, least: int = 2) -> DataFrame:
     """Places where at least ``least`` other tiles agree with a splat on virtual depth; the mean over it and them.
 

@@ -17,8 +17,8 @@ A step updates the black or the white pixels of all tiles from the state before:
 * the cheapest plane by the drawn weights stays: the own one, the eight proposed
   ones, those that the chosen views' pixels hold, carried over to this tile, and
   five perturbed ones (I03);
-* with a coarser level's result as seed, a seed that fits better, or that fits
-  about as well while the found plane has no more views, comes back (I04);
+* with a coarser level's result as seed, a valid seed comes back where cost and
+  supporting views together speak no more against it than against the found plane (I04);
 * cost and views are then taken anew from the best few views of the final plane.
 
 Random numbers are hashes of the tile, the pixel, the step and their place, so a
@@ -45,6 +45,10 @@ GOOD, GOOD_FALL, BAD = 0.8, 90.0, 1.2
 TEMPERATURE, DOUBT = 0.18, 0.32
 JITTER, TURN, SEED_TURN = 0.02, 0.02 * np.pi, 0.015 * np.pi
 SEED_JITTER = 0.15
+#: Cost that one more supporting view makes up for, when a coarser level's plane is held against the one found.
+VIEW_WORTH = 0.02
+#: Views are bits of a signed 64-bit number.
+MOST_VIEWS = 63
 
 
 @dataclass(frozen=True)
@@ -182,6 +186,11 @@ def begin(sc: Scene, seed: tuple[np.ndarray, np.ndarray, np.ndarray] | None) ->
     return plane.reshape(*shape, 3), cost.reshape(shape), chosen.reshape(*shape, -1)
 
 
+def _evidence(cost: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """What speaks against a plane: its cost, less what its views are worth."""
+    return cost - VIEW_WORTH * chosen.sum(1)
+
+
 def update(sc: Scene, plane, cost, chosen, others, step: int, seed=None):
     """The state after one step; ``others`` (tile, view, pixel, 3) are the neighbours' planes."""
     s, m = sc.s, len(sc.image)
@@ -261,13 +270,9 @@ def update(sc: Scene, plane, cost, chosen, others, step: int, seed=None):
         take(tried, weighed(sc.costs(t, x, y, tried)))
     if seed is not None:
         held, old, views = seed[0][t, p], seed[1][t, p], seed[2][t, p]
-        ds, db = (w[:, 0] * x + w[:, 1] * y + w[:, 2] for w in (held, best))
-        valid = (ds >= s.least) & (ds <= s.most) & (old < 1.0) & (views.sum(1) >= 3)
-        c, v = sc.supported(t, x, y, held)
-        mine, theirs = (weight > 0).sum(1), v.sum(1)
-        clear = (price + 0.10 < c) | (mine >= theirs + 2)
-        carried = (np.abs(db - ds) > 0.08 * s.unit) & (price > c - 0.03) & (mine <= theirs)
-        back = valid & ((~clear & carried) | (c + 0.02 < price))
+        d = held[:, 0] * x + held[:, 1] * y + held[:, 2]
+        valid = (d >= s.least) & (d <= s.most) & (old < 1.0) & (views.sum(1) >= 3)
+        back = valid & (_evidence(*sc.supported(t, x, y, held)) <= _evidence(*sc.supported(t, x, y, best)))
         best = np.where(back[:, None], held, best)
     plane, cost, chosen = plane.copy(), cost.copy(), chosen.copy()
     plane[t, p] = best
@@ -275,13 +280,15 @@ def update(sc: Scene, plane, cost, chosen, others, step: int, seed=None):
     return plane, cost, chosen
 
 
-STATE = "plane array<double>, cost array<double>, chosen array<int>"
+STATE = "plane array<double>, cost array<double>, chosen array<bigint>"
 #: Tiles that are updated together; their arrays stay in a core's cache.
 TOGETHER = 16
 
 
 def _scene(rows: list[dict], s: Settings) -> Scene:
     m, k = len(rows), max([1, *(len(r["views"] or []) for r in rows)])
+    if k > MOST_VIEWS:
+        raise ValueError(f"a tile has {k} views; {MOST_VIEWS} fit into its state")
     sc = Scene(
         np.array([r["image"] for r in rows], float).reshape(m, s.side, s.side), np.zeros((m, k, 2)), np.zeros((m, k, s.side, s.side)), np.zeros((m, k), bool),
         np.array([r["tile_y"] * 1_000_003 + r["tile_x"] for r in rows], np.int64), s,
@@ -324,7 +331,7 @@ def _stepped(s: Settings, step: int | None):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r["tile_x"] for r in rows], pa.int64()), pa.array([r["tile_y"] for r in rows], pa.int64()), pa.array(list(plane.reshape(len(rows), -1)), pa.list_(pa.float64())),
-                        pa.array(list(cost), pa.list_(pa.float64())), pa.array(list(bits.astype(np.int32)), pa.list_(pa.int32())),
+                        pa.array(list(cost), pa.list_(pa.float64())), pa.array(list(bits), pa.list_(pa.int64())),
                     ],
                     ["tile_x", "tile_y", "plane", "cost", "chosen"],
                 )
@@ -335,13 +342,13 @@ def _stepped(s: Settings, step: int | None):
 def relax(pixel: DataFrame, edges: DataFrame, s: Settings = Settings(), rounds: int = 3, seed: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """(tile, plane, cost, chosen) after ``rounds`` of both colours.
 
-    A tile has 31 views at most, its first by key; ``pixel`` must be dense.
+    A tile has ``MOST_VIEWS`` views at most, more raise an error; ``pixel`` must be dense.
     ``seed`` is such a state of the same size, from a coarser level.
     """
     images = tiles(pixel.select(*SITE, "v"), "v", side=s.side).select(*TILE, F.transform("px", lambda e: e["v"]).alias("image"))
     there = images.select(F.col("tile_x").alias("ntile_x"), F.col("tile_y").alias("ntile_y"), F.col("image"))
     e = edges.select(*TILE, "ntile_x", "ntile_y", (F.col("ux") * F.col("baseline") / s.unit).alias("sx"), (F.col("uy") * F.col("baseline") / s.unit).alias("sy")).join(there, ["ntile_x", "ntile_y"])
-    views = F.slice(F.array_sort(F.collect_list(F.struct("ntile_y", "ntile_x", "sx", "sy", "image"))), 1, 31).alias("views")
+    views = F.array_sort(F.collect_list(F.struct("ntile_y", "ntile_x", "sx", "sy", "image"))).alias("views")
     scenes = images.join(e.groupBy(*TILE).agg(views), TILE, "left")
     if seed is not None:
         scenes = scenes.join(seed.select(*TILE, *[F.col(c).alias(f"seed_{c}") for c in ("plane", "cost", "chosen")]), TILE, "left")

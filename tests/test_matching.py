@@ -190,3 +190,44 @@ def test_empty_and_lonely_tiles(spark):
     got = P.sites(P.relax(pixel, e, S, rounds=1), 8).collect()
     assert len(got) == 64 and all(r["cost"] == 2.0 and r["views"] == 0 for r in got)
     assert P.relax(pixel.where("false"), e, S, rounds=1).count() == 0
+
+
+def spokes(n):
+    """One tile with n neighbours that show the same texture, shifted along as many directions."""
+    texture = lambda a, b: 128 + 60 * math.sin(0.9 * a + 0.4 * b) + 50 * math.cos(0.7 * b - 0.5 * a + 1)
+    pixel, edges = [(0, 0, x, y, texture(x, y)) for x in range(8) for y in range(8)], []
+    for k in range(1, n + 1):
+        ux, uy = math.cos(k), math.sin(k)
+        pixel += [(k, 0, x, y, texture(x - ux, y - uy)) for x in range(8) for y in range(8)]
+        edges.append((0, 0, k, 0, ux, uy, 12.0))
+    return pixel, edges
+
+
+def test_all_of_many_views_count(spark):
+    """Forty views all support; more than fit raise an error instead of being left out."""
+    frames = lambda n: [spark.createDataFrame(r, c) for r, c in zip(spokes(n), ("tile_x long, tile_y long, x long, y long, v double", "tile_x long, tile_y long, ntile_x long, ntile_y long, ux double, uy double, baseline double"), strict=True)]
+    s = P.Settings(side=8, radius=2, top=40, least=0.9, most=1.1)
+    got = P.sites(P.relax(*frames(40), s, rounds=1), 8).where("tile_x = 0 and x between 3 and 4 and y between 3 and 4").collect()
+    assert [r["views"] for r in got] == [40] * 4 and all(r["cost"] < 0.2 for r in got)
+    with pytest.raises(Exception, match="64 views"):
+        P.relax(*frames(64), s, rounds=0).count()
+
+
+def test_a_seed_returns_by_cost_and_views():
+    """A seed comes back where it is cheaper, and where it is about as cheap with as many views; not where it is invalid or clearly dearer."""
+    sc = scene(11)
+    plane, cost, chosen = P.begin(sc, None)
+    others = np.full((2, 3, 64, 3), np.nan)
+    alone = P.update(sc, plane, cost, chosen, others, 0)
+    t, p = (w.ravel() for w in np.meshgrid(np.arange(2), np.arange(64), indexing="ij"))
+    turn = (p % 8 + p // 8) % 2 == 0
+    seeds = alone[0] + np.random.default_rng(3).normal(0, 0.02, (2, 64, 3))
+    many = np.ones((2, 64, 3), bool)
+    with_seed = P.update(sc, plane, cost, chosen, others, 0, (seeds, np.full((2, 64), 0.5), many))
+    d = seeds[t, p, 0] * (p % 8) + seeds[t, p, 1] * (p // 8) + seeds[t, p, 2]
+    worth = lambda w: (lambda c, v: c - P.VIEW_WORTH * v.sum(1))(*sc.supported(t, p % 8, p // 8, w[t, p]))
+    back = turn & (d >= S.least) & (d <= S.most) & (worth(seeds) <= worth(alone[0]))
+    assert 0 < back.sum() < turn.sum()
+    assert (with_seed[0][t, p] == np.where(back[:, None], seeds[t, p], alone[0][t, p])).all()
+    for old, views in ((1.0, many), (0.5, ~many)):  # seeds that never fitted, or without views
+        assert (P.update(sc, plane, cost, chosen, others, 0, (seeds, np.full((2, 64), old), views))[0] == alone[0]).all()
