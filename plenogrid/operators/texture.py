@@ -10,10 +10,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import TILE
+from ..steps import written
+from .guide import filtered, sized
 from .reproject import tiles
 from .stats import between_places, ranked
 
@@ -184,7 +186,7 @@ def _gradients(v):
 
 
 def orientation_entropy(df: DataFrame, bins: int = 9) -> DataFrame:
-    """Entropy of the gradient directions, weighted by magnitude."""
+    """W12 within a tile: entropy of the gradient directions, weighted by magnitude."""
 
     def measures(v):
         m, a = _gradients(v)
@@ -196,6 +198,47 @@ def orientation_entropy(df: DataFrame, bins: int = 9) -> DataFrame:
     return _per_tile(df, measures, ["entropy"])
 
 
+# Fixed values of the windowed direction histograms: cells of 4 pixels, blocks of 4 x 4 cells, windows of 5 x 5 blocks, a step of a cell.
+CELL, BLOCK, BLOCKS, DIRECTIONS = 4, 4, 5, 6
+CLIP, SOFT, RENORM, NOTHING = 0.2, 0.1, 1e-3, 1e-6
+
+
+def direction_windows(image: DataFrame) -> DataFrame:
+    """(frame, x, y, entropy, richness) of the 32 x 32 windows of whole images, every 4 pixels; richness is the entropy stretched to 0 .. 255 within a frame.
+
+    ``image`` is (frame, x, y, v), tiles side by side, so windows reach over their
+    borders.  A pixel's magnitude is shared by the two directions next to its own;
+    cells, blocks and windows are sums of sums: a block's histogram is scaled, cut at
+    ``CLIP`` and scaled again, its entropy is that of its numbers, and a window adds
+    the entropies of its blocks, each of which is computed once for all windows.
+    """
+    t = filtered(sized(image.select("frame", "x", "y", "v")), [(1, 0), (-1, 0), (0, 1), (0, -1)], {"gx": ("v", [1, -1, 0, 0]), "gy": ("v", [0, 0, 1, -1])})
+    at = F.pmod(F.atan2("gy", "gx"), F.lit(np.pi)) / np.pi * DIRECTIONS - 0.5
+    t = t.withColumns({"m": F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")), "at": at})
+    share, first = F.col("at") - F.floor("at"), F.pmod(F.floor("at"), F.lit(DIRECTIONS))
+    votes = [F.sum(F.when(first == b, F.col("m") * (1 - share)).when(F.pmod(first + 1, F.lit(DIRECTIONS)) == b, F.col("m") * share).otherwise(0.0)) for b in range(DIRECTIONS)]
+    cells = t.groupBy("frame", F.floor(F.col("x") / CELL).alias("cx"), F.floor(F.col("y") / CELL).alias("cy")).agg(F.array(*votes).alias("h"), F.count("*").alias("n")).where(F.col("n") == CELL * CELL)
+
+    def gathered(df: DataFrame, side: int) -> DataFrame:
+        """Cells as seen by the squares of ``side`` that hold them, by their first corner."""
+        back = F.sequence(F.lit(0), F.lit(side - 1))
+        return df.withColumn("cx", F.explode(F.transform(back, lambda d: F.col("cx") - d))).withColumn("cy", F.explode(F.transform(back, lambda d: F.col("cy") - d)))
+
+    b = gathered(cells, BLOCK).groupBy("frame", "cx", "cy").agg(F.flatten(F.collect_list("h")).alias("v")).where(F.size("v") == BLOCK * BLOCK * DIRECTIONS)
+
+    def size(v: Column) -> Column:
+        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, e: a + e * e))
+
+    b = b.withColumn("s", size(F.col("v")) + BLOCK * BLOCK * DIRECTIONS * SOFT).withColumn("v", F.transform("v", lambda e: F.least(e / F.col("s"), F.lit(CLIP))))
+    b = b.withColumn("s", size(F.col("v")) + RENORM)
+    entropy = F.aggregate("v", F.lit(0.0), lambda a, e: a + F.when(e / F.col("s") > NOTHING, -(e / F.col("s")) * F.log(e / F.col("s"))).otherwise(0.0))
+    blocks = b.select("frame", "cx", "cy", entropy.alias("e"))
+    w = gathered(blocks, BLOCKS).groupBy("frame", "cx", "cy").agg(F.sum("e").alias("entropy"), F.count("*").alias("n")).where(F.col("n") == BLOCKS * BLOCKS)
+    ends = w.groupBy("frame").agg(F.min("entropy").alias("lo"), F.max("entropy").alias("hi"))
+    stretched = F.coalesce(F.try_divide((F.col("entropy") - F.col("lo")) * 255, F.col("hi") - F.col("lo")), F.lit(0.0))
+    return w.join(ends, "frame").select("frame", (F.col("cx") * CELL).alias("x"), (F.col("cy") * CELL).alias("y"), "entropy", stretched.alias("richness"))
+
+
 def tamura(df: DataFrame, bins: int = 16) -> DataFrame:
     """Contrast std / kurtosis^(1/4), and the variance of the direction histogram's shares."""
 
@@ -221,7 +264,7 @@ def blur_levels(df: DataFrame, column: str, k: int = 8) -> DataFrame:
     lo, hi = df.agg(F.min(c), F.max(c)).first()
     if lo is None:
         return df.withColumn("level", F.lit(None).cast("int"))
-    t = df.withColumn("__n", (c - lo) / ((hi - lo) or 1.0))
+    t = written(df.withColumn("__n", (c - lo) / ((hi - lo) or 1.0)))  # every step reads it
     marks = {f"m{i}": (i + 0.5) / k for i in range(k)}
     first = between_places(ranked(t, [], "__n"), [], marks).first()  # one row
     centres = sorted({first[m] for m in marks})

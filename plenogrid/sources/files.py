@@ -34,28 +34,26 @@ def white_image(spark: SparkSession, folder: str, name: str = "mask") -> DataFra
     return frames(spark, folder).where(F.col("frame") == name)
 
 
-def bitmaps(spark: SparkSession, folder: str) -> DataFrame:
-    """(frame, x, y, r, g, b) of the frames; all must be uncompressed 24-bit bitmaps.
+def pixels(spark: SparkSession, folder: str) -> DataFrame:
+    """(frame, x, y, r, g, b) of the frames of a folder, in any of the listed formats.
 
-    A frame of another format raises an error, as no decoder for it is built in.
+    Spark's own image source decodes them; gray images give equal channels, an
+    alpha channel is left out.  A frame that can't be decoded raises an error.
     """
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for frame, content in zip(batch.column("frame").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                if content[:2] != b"BM":
-                    raise ValueError(f"{frame}: no bitmap")
-                start, (w, h), bits = struct.unpack_from("<I", content, 10)[0], struct.unpack_from("<ii", content, 18), struct.unpack_from("<H", content, 28)[0]
-                if bits != 24 or struct.unpack_from("<I", content, 30)[0]:
-                    raise ValueError(f"{frame}: not an uncompressed 24-bit bitmap")
-                line = (3 * w + 3) // 4 * 4
-                px = np.frombuffer(content, np.uint8, line * abs(h), start).reshape(abs(h), line)[:, : 3 * w].reshape(abs(h), w, 3)
-                px = px[::-1] if h > 0 else px
-                y, x = np.mgrid[0 : abs(h), 0:w]
-                yield pa.RecordBatch.from_arrays([pa.array([frame] * x.size), *(pa.array(a.ravel().astype(np.int32)) for a in (x, y, px[..., 2], px[..., 1], px[..., 0]))], ["frame", "x", "y", "r", "g", "b"])
-
-    f = spark.read.format("binaryFile").load(folder)
-    return f.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*IMAGES)).select(stem().alias("frame"), "content").mapInArrow(decode, "frame string, x int, y int, r int, g int, b int")
+            for frame, image in zip(batch.column("frame").to_pylist(), batch.column("image").to_pylist(), strict=True):
+                if image["height"] < 0:
+                    raise ValueError(f"{frame}: not an image")
+                px = np.frombuffer(image["data"], np.uint8).reshape(image["height"], image["width"], image["nChannels"])
+                blue, green, red = (px[..., min(c, px.shape[2] - 1)] if px.shape[2] >= 3 else px[..., 0] for c in range(3))
+                y, x = np.mgrid[0 : px.shape[0], 0 : px.shape[1]]
+                yield pa.RecordBatch.from_arrays([pa.array([frame] * x.size), *(pa.array(a.ravel().astype(np.int32)) for a in (x, y, red, green, blue))], ["frame", "x", "y", "r", "g", "b"])
+
+    either = ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in IMAGES)
+    f = spark.read.format("image").option("pathGlobFilter", f"*.{{{either}}}").load(folder)
+    return f.select(stem("image.origin").alias("frame"), "image").mapInArrow(unpacked, "frame string, x int, y int, r int, g int, b int")
 
 
 def intrinsics(spark: SparkSession, path: str) -> DataFrame:

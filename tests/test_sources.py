@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plenogrid.sources import files as S
 
 
-def test_frames_and_bitmaps(spark, tmp_path):
+def test_frames_and_pixels(spark, tmp_path):
     px = bytes(range(2 * 12))
     rows = px[:9] + b"\0" * 3 + px[9:18] + b"\0" * 3  # three pixels a row, padded to four bytes
     head = b"BM" + struct.pack("<IHHI", 54 + len(rows), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 3, 2, 1, 24, 0, len(rows), 0, 0, 0, 0)
@@ -18,17 +18,43 @@ def test_frames_and_bitmaps(spark, tmp_path):
     (tmp_path / "notes.txt").write_text("x")
     assert sorted(r["frame"] for r in S.frames(spark, str(tmp_path)).collect()) == ["f1", "mask"]
     assert S.white_image(spark, str(tmp_path)).count() == 1
-    got = {(r["x"], r["y"]): (r["b"], r["g"], r["r"]) for r in S.bitmaps(spark, str(tmp_path)).where("frame = 'f1'").collect()}
+    got = {(r["x"], r["y"]): (r["b"], r["g"], r["r"]) for r in S.pixels(spark, str(tmp_path)).where("frame = 'f1'").collect()}
     assert len(got) == 6 and got[0, 1] == (0, 1, 2) and got[2, 0] == (15, 16, 17)
 
 
-def test_bitmaps_pass_no_frame_over(spark, tmp_path):
+def test_no_frame_is_passed_over(spark, tmp_path):
     head = b"BM" + struct.pack("<IHHI", 58, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0)
     (tmp_path / "f1.BMP").write_bytes(head + b"\1\2\3\0")
-    assert [tuple(r) for r in S.bitmaps(spark, str(tmp_path)).collect()] == [("f1", 0, 0, 3, 2, 1)]
+    assert [tuple(r) for r in S.pixels(spark, str(tmp_path)).collect()] == [("f1", 0, 0, 3, 2, 1)]
     (tmp_path / "f2.png").write_bytes(b"\x89PNG\r\n\x1a\n")
-    with pytest.raises(Exception, match="f2: no bitmap"):
-        S.bitmaps(spark, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="f2: not an image"):
+        S.pixels(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("kind", ["png", "tif", "bmp", "jpg", "jpeg", "tiff"])
+def test_frames_of_all_listed_formats(spark, tmp_path, kind):
+    """Files that Java writes; all but jpg and jpeg keep every value."""
+    jvm = spark._jvm
+    for name, model, values in (("colour", 1, lambda x, y: (20 * x, 30 * y, 200)), ("gray", 10, lambda x, y: (10 * x + y,) * 3)):
+        image = jvm.java.awt.image.BufferedImage(5, 4, model)
+        for x in range(5):
+            for y in range(4):
+                r, g, b = values(x, y)
+                image.setRGB(x, y, (255 << 24 | r << 16 | g << 8 | b) - (1 << 32))
+        raster = image.getRaster()
+        if name == "gray":  # the values themselves, as colours are turned into gray by their gamma
+            for x in range(5):
+                for y in range(4):
+                    raster.setSample(x, y, 0, 10 * x + y)
+        assert jvm.javax.imageio.ImageIO.write(image, kind.replace("jpeg", "jpg").replace("tiff", "tif"), jvm.java.io.File(str(tmp_path / f"{name}.{kind}")))
+    got = {(r["frame"], r["x"], r["y"]): (r["r"], r["g"], r["b"]) for r in S.pixels(spark, str(tmp_path)).collect()}
+    assert len(got) == 40
+    far = 0
+    for x in range(5):
+        for y in range(4):
+            want = {"colour": (20 * x, 30 * y, 200), "gray": (10 * x + y,) * 3}
+            far = max(far, *(abs(a - b) for name in want for a, b in zip(got[name, x, y], want[name], strict=True)))
+    assert far == 0 if not kind.startswith("jp") else far < 60
 
 
 def test_lens_table(spark, tmp_path):

@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plenogrid import fixtures
@@ -144,3 +147,35 @@ def test_two_levels_fill_the_holes(spark, sf):
     d = fixtures.disparity(spark, sf).where("tile_y < 2")
     out = fusion.two_levels(d, fixtures.edges(spark, sf), fixtures.pixel(spark, sf), fixtures.BASELINE)
     assert out.where("d is null").count() == 0 and d.where("d > 0").count() < out.count() <= d.count()
+
+
+def test_direction_windows_against_loops(spark):
+    """Windows over tile borders, those that begin every four pixels and lie inside the image."""
+    v = np.random.default_rng(8).integers(0, 256, (37, 46)).astype(float)
+    image = spark.createDataFrame([("f", x, y, float(v[y, x])) for y in range(37) for x in range(46)], "frame string, x long, y long, v double")
+    got = {(r["x"], r["y"]): (r["entropy"], r["richness"]) for r in texture.direction_windows(image).collect()}
+    p = np.pad(v, 1, mode="reflect")
+    gx, gy = p[1:-1, 2:] - p[1:-1, :-2], p[2:, 1:-1] - p[:-2, 1:-1]
+    m, a = np.hypot(gx, gy), np.mod(np.arctan2(gy, gx), np.pi) / np.pi * 6 - 0.5
+    want = {}
+    for wy in range(0, 37 - 31, 4):
+        for wx in range(0, 46 - 31, 4):
+            total = 0.0
+            for by in range(wy, wy + 17, 4):
+                for bx in range(wx, wx + 17, 4):
+                    h = np.zeros((4, 4, 6))
+                    for y in range(16):
+                        for x in range(16):
+                            t = a[by + y, bx + x]
+                            low = math.floor(t)
+                            h[y // 4, x // 4, low % 6] += m[by + y, bx + x] * (1 - t + low)
+                            h[y // 4, x // 4, (low + 1) % 6] += m[by + y, bx + x] * (t - low)
+                    h = np.minimum(h / (np.sqrt((h**2).sum()) + 9.6), 0.2)
+                    h /= np.sqrt((h**2).sum()) + 1e-3
+                    h = h[h > 1e-6]
+                    total -= (h * np.log(h)).sum()
+            want[wx, wy] = total
+    lo, hi = min(want.values()), max(want.values())
+    assert got.keys() == want.keys() and len(want) == 8
+    for k, e in want.items():
+        assert got[k] == pytest.approx((e, (e - lo) * 255 / (hi - lo)))
