@@ -365,6 +365,18 @@ def relax(pixel: DataFrame, edges: DataFrame, s: Settings = Settings(), rounds:
     return now
 
 
+def prior_seed(planes: DataFrame, side: int = 8) -> DataFrame:
+    """I05, second matching: (site, a, b, c) as a seed for ``relax``; pixels without a plane get one that never counts as valid."""
+    cell = F.struct((F.col("y") * side + F.col("x")).cast("int").alias("i"), F.array("a", "b", "c").alias("plane"))
+    g = planes.groupBy(*TILE).agg(F.map_from_entries(F.collect_list(cell)).alias("m"))  # a tile's pixels
+    every = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.try_element_at("m", i))
+    g = g.withColumn("p", every)
+    none = F.array(*[F.lit(0.0)] * 3)
+    return g.select(
+        *TILE, F.flatten(F.transform("p", lambda p: F.coalesce(p, none))).alias("plane"), F.transform("p", lambda p: F.when(p.isNull(), F.lit(WORST)).otherwise(0.0)).alias("cost"), F.transform("p", lambda p: F.lit(7).cast("long")).alias("chosen")
+    )
+
+
 def upsampled(state: DataFrame, side: int) -> DataFrame:
     """A state of tiles of half the side, its planes carried to ``side``: a disparity doubles, each pixel serves a block of four."""
     x, y = F.col("i") % side, F.floor(F.col("i") / side)

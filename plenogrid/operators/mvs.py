@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import count
+from collections.abc import Iterator, Sequence
+from itertools import combinations, count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import project, unproject
 from ..schema import SITE, TILE
 from ..steps import written
-from .grid import at_centre, inside, median_of, scatter, square
+from .grid import SIDE, at_centre, inside, median_of, scatter, square
+
 
 def fuse_views(depths: DataFrame, pairs: DataFrame, cameras: DataFrame, pixels: float = 2.0, share: float = 0.01, angle: float = 0.174533, least: int = 2) -> DataFrame:
     """Points of reference pixels that at least ``least`` source views confirm.
@@ -77,6 +80,53 @@ def planar_prior(disparity: DataFrame, block: int = 4) -> DataFrame:
     return j.select(*SITE, (F.col("c.d") + a * ud + b2 * vd).alias("prior")).where("prior is not null")
 
 
+def _triangles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Corners (i, j, k), in order, of all triangles of the points whose circle holds no other point inside; whole coordinates, so all signs are exact."""
+    t = np.array(list(combinations(range(len(x)), 3)), np.int64).reshape(-1, 3)
+    px, py = x[t], y[t]
+    turn = (px[:, 1] - px[:, 0]) * (py[:, 2] - py[:, 0]) - (py[:, 1] - py[:, 0]) * (px[:, 2] - px[:, 0])
+    t, px, py, turn = t[turn != 0], px[turn != 0], py[turn != 0], turn[turn != 0]
+    ax, ay = px[:, None, :] - x[None, :, None], py[:, None, :] - y[None, :, None]
+    q = ax * ax + ay * ay
+    inside = sum(q[..., i] * (ax[..., j] * ay[..., k] - ax[..., k] * ay[..., j]) for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1)))
+    return t[~(inside * np.sign(turn)[:, None] > 0).any(1)]
+
+
+def delaunay_prior(disparity: DataFrame, block: int = 3, good: float = 2.0, side: int = SIDE) -> DataFrame:
+    """(site, a, b, c, prior) of the pixels inside the Delaunay triangulation of a tile's supports: d = a x + b y + c through the corners.
+
+    A support is the cheapest valid pixel of a block, if it costs less than
+    ``good``.  Where points on one circle leave the triangulation open, a pixel
+    takes the triangle whose corners come first, row by row.  A tile has a support
+    a block at most, and nothing else meets in a task.
+    """
+    own = disparity.where(F.col("d").isNotNull() & (F.col("cost") < good))
+    best = own.groupBy(*TILE, F.floor(F.col("y") / block).alias("by"), F.floor(F.col("x") / block).alias("bx")).agg(F.min_by(F.struct("y", "x", "d"), F.struct(F.round("cost", 9), "y", "x")).alias("p"))
+    supports = best.groupBy(*TILE).agg(F.array_sort(F.collect_list("p")).alias("p")).where(F.size("p") >= 3)
+    py, px = (w.ravel() for w in np.mgrid[:side, :side])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tx, ty, p in zip(*(batch.column(c).to_pylist() for c in ("tile_x", "tile_y", "p")), strict=True):
+                x, y, d = np.array([e["x"] for e in p], np.int64), np.array([e["y"] for e in p], np.int64), np.array([e["d"] for e in p])
+                t = _triangles(x, y)
+                if not len(t):
+                    continue
+                (x0, x1, x2), (y0, y1, y2), (d0, d1, d2) = (v[t].T for v in (x, y, d))
+                turn = (x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0)
+                a, b = ((d1 - d0) * (y2 - y0) - (d2 - d0) * (y1 - y0)) / turn, ((d2 - d0) * (x1 - x0) - (d1 - d0) * (x2 - x0)) / turn
+                c = d0 - a * x0 - b * y0
+                hit = np.ones((len(t), len(px)), bool)
+                for (ax, ay), (bx, by) in (((x0, y0), (x1, y1)), ((x1, y1), (x2, y2)), ((x2, y2), (x0, y0))):
+                    hit &= ((bx - ax)[:, None] * (py - ay[:, None]) - (by - ay)[:, None] * (px - ax[:, None])) * np.sign(turn)[:, None] >= 0
+                at, first = np.flatnonzero(hit.any(0)), hit.argmax(0)
+                f = first[at]
+                columns = [px[at], py[at], a[f], b[f], c[f], a[f] * px[at] + b[f] * py[at] + c[f]]
+                yield pa.RecordBatch.from_arrays([pa.array([tx] * len(at), pa.int64()), pa.array([ty] * len(at), pa.int64()), *(pa.array(v) for v in columns)], ["tile_x", "tile_y", "x", "y", "a", "b", "c", "prior"])
+
+    return supports.mapInArrow(apply, "tile_x long, tile_y long, x long, y long, a double, b double, c double, prior double")
+
+
 def grown(df: DataFrame, seeds: DataFrame, gate: float = 0.3, rounds: int | None = None) -> DataFrame:
     """(site, step) of pixels reached from the seeds over neighbours that differ by at most the gate.
 

@@ -85,6 +85,42 @@ def nearest_first(edges: DataFrame) -> DataFrame:
     return edges.select(*PAIR, "baseline", (F.row_number().over(w) - 1).alias("rank"))
 
 
+# The neighbours (dx, dy) that a lens asks for, by its column (first, second, last but one, last, else inner) and row (top, bottom, else middle).
+POSITIONS = {
+    ("inner", "middle"): [(1, 0), (-1, 0), (2, 0), (0, -1), (-2, -1), (0, 1), (-2, 0), (-1, -1), (1, -1), (-1, 1), (1, 1), (2, 1)],
+    ("first", "top"): [(1, 0), (2, 0), (0, 1), (1, 1), (2, 2), (0, 2)],
+    ("inner", "top"): [(1, 0), (-1, 0), (2, 0), (0, 1), (-1, 1), (1, 1)],
+    ("first", "bottom"): [(1, 0), (2, 0), (0, -1), (1, -1), (2, -2), (0, -2)],
+    ("second", "bottom"): [(1, 0), (-1, 0), (2, 0), (0, -1), (-1, -1), (1, -1)],
+    ("last", "bottom"): [(-1, 0), (0, -1), (-2, -1), (-2, 0), (0, -2), (-1, -1)],
+    ("last but one", "bottom"): [(1, 0), (-1, 0), (0, -1), (-2, -1), (-1, -1), (1, -1)],
+    ("first", "middle"): [(1, 0), (2, 0), (0, -1), (0, 1), (1, -1), (1, 1)],
+    ("second", "middle"): [(1, 0), (-1, 0), (2, 0), (0, -1), (0, 1), (-1, -1)],
+    ("inner", "bottom"): [(1, 0), (-1, 0), (2, 0), (0, -1), (-2, -1), (1, -1)],
+    ("last", "middle"): [(-1, 0), (0, -1), (-2, -1), (0, 1), (-1, -1), (-1, 1)],
+    ("last but one", "middle"): [(1, 0), (-1, 0), (0, -1), (-2, -1), (0, 1), (1, 1)],
+}
+
+
+def fixed_positions(lens: DataFrame, kept: DataFrame, columns: int, rows: int) -> DataFrame:
+    """(tile, ntile, baseline, rank): the kept lenses at the positions that a lens's place in the grid asks for, nearest first, then by key.
+
+    The top row has one stencil but for its first lens.  A position is a computed
+    key, so the search is one equi-join.
+    """
+    x, y = F.col("tile_x"), F.col("tile_y")
+    row = F.when(y == 0, "top").when(y == rows - 1, "bottom").otherwise("middle")
+    column = F.when(x == 0, "first").when(y == 0, "inner").when(x == 1, "second").when(x == columns - 1, "last").when(x == columns - 2, "last but one").otherwise("inner")
+    stencil = F.lit(None)
+    for (c, r), steps in POSITIONS.items():
+        stencil = F.when((column == c) & (row == r), F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in steps])).otherwise(stencil)
+    asked = lens.select(*TILE, "cx", "cy", F.explode(stencil).alias("o"))
+    asked = asked.select(*TILE, "cx", "cy", (x + F.col("o.dx")).alias("ntile_x"), (y + F.col("o.dy")).alias("ntile_y"))
+    there = kept.select(F.col("tile_x").alias("ntile_x"), F.col("tile_y").alias("ntile_y"), F.col("cx").alias("ncx"), F.col("cy").alias("ncy"))
+    j = asked.join(there, ["ntile_x", "ntile_y"]).withColumn("baseline", F.hypot(F.col("cx") - F.col("ncx"), F.col("cy") - F.col("ncy")))
+    return nearest_first(j)
+
+
 def projected_steps(lens: DataFrame, edges: DataFrame, baseline: float, reach: int = 2, degrees: float = 12.0, least: int = 6) -> DataFrame:
     """Per edge the median projection, on the edge's direction, of all lens pairs as many steps apart and within the angle; k * baseline for fewer than ``least``.
 

@@ -221,3 +221,17 @@ def baseline_normal(spark, sf):
   SELECT tile_x, tile_y, row, CAST(row_number() OVER (PARTITION BY row ORDER BY cx) - 1 AS INT) AS col FROM lens JOIN w ON w.y = round(cy, 3)""".replace("WITH RECURSIVE", "WITH", 1), "lens").replace("WITH ", "WITH RECURSIVE ", 1))
 def adaptive_rows(spark, sf):
     return N.adaptive_rows(X.lens(spark, sf), B)
+
+
+_PLACES = ", ".join(f"('{c}', '{r}', {a}, {b})" for (c, r), steps in N.POSITIONS.items() for a, b in steps)
+
+
+@register("fixed_positions", sql(f"""WITH size AS (SELECT max(tile_x) + 1 AS w, max(tile_y) + 1 AS h FROM lens), place(c, r, dx, dy) AS (VALUES {_PLACES}),
+  spot AS (SELECT tile_x, tile_y, cx, cy, CASE WHEN tile_x = 0 THEN 'first' WHEN tile_y = 0 THEN 'inner' WHEN tile_x = 1 THEN 'second' WHEN tile_x = w - 1 THEN 'last' WHEN tile_x = w - 2 THEN 'last but one' ELSE 'inner' END AS c, CASE WHEN tile_y = 0 THEN 'top' WHEN tile_y = h - 1 THEN 'bottom' ELSE 'middle' END AS r FROM lens, size),
+  j AS (SELECT a.tile_x, a.tile_y, b.tile_x AS ntile_x, b.tile_y AS ntile_y, sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)) AS baseline FROM spot a JOIN place p USING (c, r) JOIN lens b ON b.tile_x = a.tile_x + dx AND b.tile_y = a.tile_y + dy WHERE b.area >= 72)
+  SELECT tile_x, tile_y, ntile_x, ntile_y, round(baseline, 6) AS baseline, CAST(row_number() OVER (PARTITION BY tile_x, tile_y ORDER BY round(baseline, 6), ntile_y, ntile_x) - 1 AS INT) AS rank FROM j""", "lens"))
+def fixed_positions(spark, sf):
+    """J05 on the whole grid; lenses of small area are left out as neighbours."""
+    lens = X.lens(spark, sf)
+    size = lens.agg(F.max("tile_x"), F.max("tile_y")).first()  # one row
+    return rounded(N.fixed_positions(lens, lens.where("area >= 72"), size[0] + 1, size[1] + 1), "baseline")

@@ -91,6 +91,20 @@ def planar_prior(spark, sf):
     return rounded(M.planar_prior(X.disparity(spark, sf)), "prior", places=5)
 
 
+@register("delaunay_prior", sql("""WITH b AS (SELECT tile_x, tile_y, arg_min({'x': x, 'y': y, 'd': d}, (round(cost, 9), y, x)) AS p FROM disparity WHERE d IS NOT NULL AND cost < 1.3 GROUP BY tile_x, tile_y, x // 3, y // 3),
+  s AS MATERIALIZED (SELECT tile_x, tile_y, p.x AS x, p.y AS y, p.d AS d, row_number() OVER (PARTITION BY tile_x, tile_y ORDER BY p.y, p.x) AS i FROM b),
+  t AS (SELECT a.tile_x, a.tile_y, a.i, b.i AS j, c.i AS k, a.x AS x0, a.y AS y0, a.d AS d0, b.x AS x1, b.y AS y1, b.d AS d1, c.x AS x2, c.y AS y2, c.d AS d2, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS turn
+    FROM s a JOIN s b ON b.tile_x = a.tile_x AND b.tile_y = a.tile_y AND b.i > a.i JOIN s c ON c.tile_x = a.tile_x AND c.tile_y = a.tile_y AND c.i > b.i),
+  q AS (SELECT t.*, s.i AS l, x0 - s.x AS ax, y0 - s.y AS ay, x1 - s.x AS bx, y1 - s.y AS b_y, x2 - s.x AS cx, y2 - s.y AS cy FROM t JOIN s USING (tile_x, tile_y) WHERE turn <> 0),
+  e AS MATERIALIZED (SELECT tile_x, tile_y, t.i, j, k, x0, y0, d0, x1, y1, d1, x2, y2, d2, turn FROM q t GROUP BY ALL HAVING NOT bool_or(((ax * ax + ay * ay) * (bx * cy - cx * b_y) + (bx * bx + b_y * b_y) * (cx * ay - ax * cy) + (cx * cx + cy * cy) * (ax * b_y - bx * ay)) * sign(turn) > 0)),
+  p AS (SELECT d.x, d.y, e.* FROM disparity d JOIN e USING (tile_x, tile_y) WHERE ((x1 - x0) * (d.y - y0) - (y1 - y0) * (d.x - x0)) * sign(turn) >= 0 AND ((x2 - x1) * (d.y - y1) - (y2 - y1) * (d.x - x1)) * sign(turn) >= 0 AND ((x0 - x2) * (d.y - y2) - (y0 - y2) * (d.x - x2)) * sign(turn) >= 0),
+  f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY tile_x, tile_y, x, y ORDER BY i, j, k) = 1)
+  SELECT tile_x, tile_y, x, y, round(d0 + ((d1 - d0) * (y2 - y0) - (d2 - d0) * (y1 - y0)) / turn * (x - x0) + ((d2 - d0) * (x1 - x0) - (d1 - d0) * (x2 - x0)) / turn * (y - y0), 5) AS prior FROM f""", "disparity"))
+def delaunay_prior(spark, sf):
+    """I05 with a triangulation of the supports; ``matching.prior_seed`` makes its planes a seed of the second matching."""
+    return rounded(M.delaunay_prior(X.disparity(spark, sf), good=1.3).select(*SITE, "prior"), "prior", places=5)
+
+
 @register("region_growing", sql("""WITH v AS (SELECT tile_x, tile_y, x, y, d, cost FROM disparity WHERE d IS NOT NULL), g AS (SELECT tile_x, tile_y, x, y, d, 0 AS step FROM v WHERE cost < 1 AND (x + 3 * y) % 13 = 0
   UNION SELECT b.tile_x, b.tile_y, b.x, b.y, b.d, g.step + 1 FROM g JOIN v b ON b.tile_x = g.tile_x AND b.tile_y = g.tile_y AND abs(b.x - g.x) + abs(b.y - g.y) = 1 AND abs(b.d - g.d) <= 0.05 WHERE g.step < 63)
   SELECT tile_x, tile_y, x, y, CAST(min(step) AS BIGINT) AS step FROM g GROUP BY ALL""", "disparity").replace("WITH ", "WITH RECURSIVE ", 1))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plenogrid.functions.scalar import lab
 from plenogrid.operators import guide as G
+from plenogrid.operators import mvs
 
 
 def test_lab_of_known_colours(spark):
@@ -139,3 +140,34 @@ def test_spaced_seeds_against_the_sequential_rule(spark, n, per_bin):
                     taken.append((free[0][2], free[0][1]))
                     want.append((b, picked, free[0][2], free[0][1]))
     assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_triangles_have_empty_circles_and_cover_the_hull(seed):
+    r = np.random.default_rng(seed)
+    n = [3, 5, 9, 20, 30, 12][seed]
+    x, y = r.integers(0, 10_000, (2, n))
+    t = mvs._triangles(x, y)
+    for i, j, k in t:
+        m = np.array([[x[j] - x[i], y[j] - y[i]], [x[k] - x[i], y[k] - y[i]]], float)
+        centre = np.linalg.solve(m, (m**2).sum(1) / 2) + [x[i], y[i]]
+        far = np.hypot(x - centre[0], y - centre[1])
+        assert (far >= far[i] * (1 - 1e-9)).all()
+    area = sum(abs((x[j] - x[i]) * (y[k] - y[i]) - (y[j] - y[i]) * (x[k] - x[i])) for i, j, k in t)
+    hull = []
+    for way in (1, -1):
+        part = []
+        for p in sorted(zip(x.tolist(), y.tolist(), strict=True))[::way]:
+            while len(part) > 1 and (part[-1][0] - part[-2][0]) * (p[1] - part[-2][1]) - (part[-1][1] - part[-2][1]) * (p[0] - part[-2][0]) <= 0:
+                part.pop()
+            part.append(p)
+        hull += part[:-1]
+    assert area == abs(sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(hull, hull[1:] + hull[:1], strict=True)))
+
+
+def test_priors_of_a_plane(spark):
+    """All pixels inside the supports' hull get the plane itself; points on one circle or one line do no harm."""
+    rows = [(0, 0, x, y, 1 + 0.25 * x - 0.125 * y, float((x % 3 != 0) + (y % 3 != 0)) / 4) for x in range(8) for y in range(8)] + [(1, 0, x, 0, 1.0, 0.0) for x in range(8)]
+    got = mvs.delaunay_prior(spark.createDataFrame(rows, "tile_x long, tile_y long, x long, y long, d double, cost double")).collect()
+    assert {(r["x"], r["y"]) for r in got} == {(x, y) for x in range(7) for y in range(7)} and {r["tile_x"] for r in got} == {0}
+    assert all(r["prior"] == pytest.approx(1 + 0.25 * r["x"] - 0.125 * r["y"]) and r["a"] == pytest.approx(0.25) for r in got)

@@ -139,3 +139,20 @@ def test_holes_are_filled_to_the_end(spark):
     df = spark.createDataFrame(rows, "tile_x long, tile_y long, x long, y long, d double")
     assert grid.fill_holes(df).where("d = 1.5").count() >= 0.98 * 64
     assert grid.fill_holes(df.where("x > 0")).where("d is not null").count() == 0
+
+
+def test_fixed_positions_of_corners_edges_and_inner_lenses(spark):
+    """A grid of 7 x 5: what each kind of place asks for, nearest first; a lens that was left out is no neighbour."""
+    lens = spark.createDataFrame([(x, y, 12.0 * x + 6 * (y % 2), 10.4 * y) for x in range(7) for y in range(5)], "tile_x long, tile_y long, cx double, cy double")
+    got = {}
+    for r in sorted(neighbors.fixed_positions(lens, lens.where("not (tile_x = 3 and tile_y = 1)"), 7, 5).collect(), key=lambda r: r["rank"]):
+        got.setdefault((r["tile_x"], r["tile_y"]), []).append((r["ntile_x"] - r["tile_x"], r["ntile_y"] - r["tile_y"]))
+    assert len(got) == 35
+    assert sorted(got[0, 0]) == [(0, 1), (0, 2), (1, 0), (1, 1), (2, 0), (2, 2)]
+    assert sorted(got[6, 0]) == [(-1, 0), (-1, 1), (0, 1)] and sorted(got[5, 0]) == [(-1, 0), (-1, 1), (0, 1), (1, 0), (1, 1)]
+    assert sorted(got[0, 4]) == [(0, -2), (0, -1), (1, -1), (1, 0), (2, -2), (2, 0)]
+    assert sorted(got[6, 4]) == [(-2, -1), (-2, 0), (-1, -1), (-1, 0), (0, -2), (0, -1)]
+    assert sorted(got[0, 2]) == [(0, -1), (0, 1), (1, -1), (1, 0), (1, 1), (2, 0)] and sorted(got[6, 2]) == [(-2, -1), (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1)]
+    assert len(got[2, 3]) == 12 and len(got[3, 2]) == 11 and (0, -1) not in got[3, 2]
+    assert all(len(got[x, 4]) == 6 for x in range(7))
+    assert set(got[2, 3][:2]) == {(1, 0), (-1, 0)}
