@@ -6,14 +6,16 @@
   T is at least ``PRUNE`` and at least the number of places over ``DICTIONARY``, so at
   most ``DICTIONARY`` grams are frequent; these alone are broadcast.
 * A padded word is decomposed: at each place the dictionary's gram, unless the one
-  before reaches as far.  An edit at place i can change grams (p, end) with
-  end - LONGEST_GRAM <= i < p + LONGEST_GRAM only; the largest number of these over all
-  i is the word's affected-gram bound, and two near words share at least as many grams
-  as either has beyond its bound.  With the padding used that is one gram at least.
+  before reaches as far.  A gram follows from its own letters, so an edit at place i
+  leaves those that end before it; beyond it, new grams can swallow those that end
+  within LONGEST_GRAM.  The largest number of grams with i < end <= i + LONGEST_GRAM
+  over all i is the word's affected-gram bound, and two near words share at least as
+  many grams as either has beyond its bound; with the padding used, one at least.
 * Of each word's grams, rarest first, only the first bound + 1 are put into inverted
-  lists, by gram and length.  Words that meet in a list merge their gram lists;
-  enough shared grams make a candidate, taken at the first shared gram alone, and the
-  edit distance verifies it.
+  lists, by gram and length.  Words that meet in a list merge their gram lists, unless
+  the letters that they hold an odd number of times differ by more than an edit
+  changes; enough shared grams make a candidate, taken at the first shared gram alone,
+  and the edit distance verifies it.
 
 No list of a rare gram is longer than T, and a word's rarest grams are what it meets
 others by.  Forms are followed by pointer doubling.
@@ -42,7 +44,7 @@ LETTERS, OCCURRENCES, TIMES = 6, 5, 5
 #: Runs whose checksum this divides lose a letter.
 DROP = 199
 SHORTEST, LONGEST_GRAM, PAD = 2, 6, 3
-PRUNE, DICTIONARY = 64, 1 << 18
+PRUNE, DICTIONARY = 24, 1 << 20
 #: Characters of a text looked at in one go, and words held by a task before they are handed over.
 STEP, HELD = 1 << 20, 1 << 18
 
@@ -129,9 +131,9 @@ def decompose(word: str, frequent: dict[str, int]) -> tuple[list[tuple[int, int]
             kept.append((p, end))
             reach = end
     change = [0] * (n + LONGEST_GRAM + 1)
-    for p, end in kept:
+    for _, end in kept:
         change[max(0, end - LONGEST_GRAM)] += 1
-        change[p + LONGEST_GRAM] -= 1
+        change[end] -= 1
     most = now = 0
     for i in range(n - PAD + 1):
         now += change[i]
@@ -140,8 +142,16 @@ def decompose(word: str, frequent: dict[str, int]) -> tuple[list[tuple[int, int]
     return kept, most
 
 
+def parity(word: str) -> int:
+    """A bit for each letter that the word holds an odd number of times (modulo 64); an edit changes two at most."""
+    bits = 0
+    for c in word:
+        bits ^= 1 << (ord(c) & 63)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def gram_lists(words: DataFrame, frequent: dict[str, int]) -> DataFrame:
-    """Per word: word, n, letters, grams (rarest first), least (grams that a near word shares) and firsts, the grams to be listed."""
+    """Per word: word, n, letters, odd (``parity``), grams (rarest first), least (grams that a near word shares) and firsts, the grams to be listed."""
     shared = words.sparkSession.sparkContext.broadcast(frequent)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,23 +174,25 @@ def gram_lists(words: DataFrame, frequent: dict[str, int]) -> DataFrame:
                     least.append(len(kept) - most)
                     firsts.append(grams[-1][: most + 1])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("word"), part.column("n"), pc.utf8_length(part.column("word")).cast(pa.int32()), pa.array(grams, pa.list_(pa.string())), pa.array(least, pa.int32()), pa.array(firsts, pa.list_(pa.string()))],
-                    ["word", "n", "letters", "grams", "least", "firsts"],
+                    [part.column("word"), part.column("n"), pc.utf8_length(part.column("word")).cast(pa.int32()), pa.array([parity(w) for w in part.column("word").to_pylist()], pa.int64()), pa.array(grams, pa.list_(pa.string())), pa.array(least, pa.int32()), pa.array(firsts, pa.list_(pa.string()))],
+                    ["word", "n", "letters", "odd", "grams", "least", "firsts"],
                 )
 
-    return words.select("word", "n").mapInArrow(apply, "word string, n long, letters int, grams array<string>, least int, firsts array<string>")
+    return words.select("word", "n").mapInArrow(apply, "word string, n long, letters int, odd long, grams array<string>, least int, firsts array<string>")
 
 
 def near_pairs(words: DataFrame, prune: int = PRUNE, dictionary: int = DICTIONARY) -> DataFrame:
     """(a, na, b, nb), once a pair: words at an edit distance of one."""
     lists = materialize(gram_lists(words, frequent_grams(words, prune, dictionary)))
-    side = lists.select("word", "n", "letters", "grams", "least", F.explode("firsts").alias("gram"))
-    a = side.select(F.col("word").alias("a"), F.col("n").alias("na"), F.col("letters").alias("la"), F.col("grams").alias("ga"), F.col("least").alias("ta"), "gram", F.explode(F.array(F.col("letters"), F.col("letters") + 1)).alias("size"))
-    b = side.select(F.col("word").alias("b"), F.col("n").alias("nb"), F.col("letters").alias("size"), F.col("grams").alias("gb"), F.col("least").alias("tb"), "gram")
-    met = a.join(b, ["gram", "size"]).where((F.col("la") < F.col("size")) | (F.col("a") < F.col("b")))
-    merged = met.select("a", "na", "b", "nb", "gram", F.greatest("ta", "tb").alias("least"), F.array_intersect("ga", "gb").alias("both"))
-    enough = merged.where((F.size("both") >= F.col("least")) & (F.try_element_at("both", F.lit(1)) == F.col("gram")))
-    return enough.where(F.levenshtein("a", "b", 1) == 1).select("a", "na", "b", "nb")
+    side = lists.select("word", "n", "letters", "odd", "grams", "least", F.explode("firsts").alias("gram"))
+    a = side.select(F.col("word").alias("a"), F.col("n").alias("na"), F.col("letters").alias("la"), F.col("odd").alias("oa"), F.col("grams").alias("ga"), F.col("least").alias("ta"), "gram", F.explode(F.array(F.col("letters"), F.col("letters") + 1)).alias("size"))
+    b = side.select(F.col("word").alias("b"), F.col("n").alias("nb"), F.col("letters").alias("size"), F.col("odd").alias("ob"), F.col("grams").alias("gb"), F.col("least").alias("tb"), "gram")
+    both = F.array_intersect("ga", "gb")
+    possible = ((F.col("la") < F.col("size")) | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("oa").bitwiseXOR(F.col("ob"))) <= 2)
+    candidate = (F.size(both) >= F.greatest("ta", "tb")) & (F.try_element_at(both, F.lit(1)) == F.col("gram"))
+    # Nested, so that the planner keeps the cheap test before the merging of lists and that before the verification.
+    near = F.when(possible, F.when(candidate, F.levenshtein("a", "b", 1) == 1).otherwise(False)).otherwise(False)
+    return a.join(b, ["gram", "size"]).where(near).select("a", "na", "b", "nb")
 
 
 def roots(forms: DataFrame, rounds: int = 64) -> DataFrame:
