@@ -27,11 +27,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytehash as H
@@ -42,7 +43,7 @@ SUPPORT, LONGEST, COVER, TOP = 30, 4, 80, 2000
 SHARD, BITS = 1 << 19, 11
 WIDTH = 1 << BITS
 #: Proposals that a task adds up before it hands them over.
-HELD = 1 << 21
+HELD = 1 << 19
 #: Parts of a language that are ranked apart before the language's best are.
 PARTS = 64
 
@@ -145,7 +146,7 @@ def _tokens(batch: pa.RecordBatch) -> Iterator[tuple]:
     langs = batch.column("lang").to_pylist()
     salt = {x: np.frombuffer(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), np.uint64)[0] for x in set(langs)}
     salts = np.array([salt[x] for x in langs], np.uint64)
-    for lo, hi, buf, off in H.chunks(batch.column("text"), 4 << 20):
+    for lo, hi, buf, off in H.chunks(batch.column("text"), 1 << 20):
         low, s, e, first = H.words(buf, off, _SEPARATOR)
         word = H.mix(H.spans(H.prefix(low), s, e) + np.repeat(salts[lo:hi], np.diff(first)))
         cuts = np.zeros(len(low) + 1, np.int32)
@@ -157,6 +158,18 @@ def _tokens(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield word, link, low, s, e, first, langs[lo:hi]
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Texts go to the tasks in batches of so few rows that a task's memory stays small; the session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, h1, n): the occurrences of every word of a language."""
 
@@ -173,21 +186,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _counting(trie, k: int, whole: bool, longest: int) -> Callable:
-    """A task: counts of the trie's phrases, and of the phrases one word longer that they allow."""
+    """A task: counts of the trie's phrases (phrase, null, n), and of those one word longer that they allow (phrase, last word, n).
 
-    def out(k: int, hashes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    Phrases are places in the trie, last words are as well where it is whole; else they are hashes.
+    """
+
+    def out(phrase: np.ndarray, last: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(n), 1 << 17):
-            part = hashes[i : i + (1 << 17)]
-            columns = [pa.array(np.ascontiguousarray(part[:, j]).view(np.int64)) if j < k else pa.array(np.zeros(len(part), np.int64)) for j in range(LONGEST)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), *columns, pa.array(n[i : i + (1 << 17)])], ["k", *_NAMES, "n"])
-
-    def added(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate(held)
-        key = np.zeros(len(rows), np.uint64)
-        for j in range(k + 1):
-            key = H.mix(key + rows[:, j])
-        _, at, n = np.unique(key, return_index=True, return_counts=True)
-        yield from out(k + 1, rows[at], n)
+            part = slice(i, i + (1 << 17))
+            words = pa.nulls(len(n[part]), pa.int64()) if last is None else pa.array(last[part])
+            yield pa.RecordBatch.from_arrays([pa.array(phrase[part].astype(np.int32)), words, pa.array(n[part])], ["phrase", "last", "n"])
+
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        phrase, last = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((last, phrase))
+        phrase, last = phrase[order], last[order]
+        new = np.flatnonzero(np.append(True, (phrase[1:] != phrase[:-1]) | (last[1:] != last[:-1]))) if len(phrase) else np.zeros(0, int)
+        yield from out(phrase[new], last[new], np.diff(np.append(new, len(phrase))))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = trie.value
@@ -203,7 +218,8 @@ def _counting(trie, k: int, whole: bool, longest: int) -> Callable:
                 if whole:
                     good &= found[1 : len(word) - k + 1] >= 0
                 at = np.flatnonzero(good)
-                held.append(np.stack([word[at + j] for j in range(k + 1)], 1))
+                last = word[at + k]
+                held.append((found[at], np.searchsorted(t.symbols, last) if whole else last.view(np.int64)))
                 size += len(at)
                 if size >= HELD:
                     yield from added(held)
@@ -211,7 +227,25 @@ def _counting(trie, k: int, whole: bool, longest: int) -> Callable:
         if held:
             yield from added(held)
         seen = np.flatnonzero(total)
-        yield from out(k, t.symbols[t.rows[seen]], total[seen])
+        yield from out(seen, None, total[seen])
+
+    return apply
+
+
+def _spelled(trie, k: int, whole: bool) -> Callable:
+    """Rows of ``_counting`` as (k, h1 .. h4, n), absent words 0."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = trie.value
+        for batch in batches:
+            phrase, n = batch.column("phrase").to_numpy(), batch.column("n")
+            longer = ~batch.column("last").is_null().to_numpy(zero_copy_only=False)
+            last = batch.column("last").fill_null(0).to_numpy()
+            hashes = np.zeros((len(phrase), LONGEST + 1), np.uint64)
+            hashes[:, :k] = t.symbols[t.rows[phrase]]
+            hashes[longer, k] = t.symbols[last[longer]] if whole else last[longer].view(np.uint64)
+            columns = [pa.array(np.ascontiguousarray(hashes[:, j]).view(np.int64)) for j in range(LONGEST)]
+            yield pa.RecordBatch.from_arrays([pa.array((k + longer).astype(np.int32)), *columns, n], ["k", *_NAMES, "n"])
 
     return apply
 
@@ -221,6 +255,11 @@ def frequencies(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST,
     if not 2 <= longest <= LONGEST:
         raise ValueError(f"phrases have 2 to {LONGEST} words")
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
+    with _small_batches(docs.sparkSession):
+        return _frequencies(docs, support, longest, shard)
+
+
+def _frequencies(docs: DataFrame, support: int, longest: int, shard: int) -> tuple[DataFrame, DataFrame]:
     words = materialize(word_counts(docs))
     level = words.where(F.col("n") >= support).select("h1")
     context, counted = docs.sparkSession.sparkContext, []
@@ -230,9 +269,9 @@ def frequencies(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST,
         for s in range(shards):
             mine = level.where(F.pmod(F.xxhash64(*level.columns), F.lit(shards)) == s).toArrow()  # about ``shard`` phrases
             trie = build(np.stack([c.to_numpy() for c in mine.columns], 1).view(np.uint64))
-            task = _counting(context.broadcast(trie), k, shards == 1, longest)
-            sums = docs.mapInArrow(task, "k int, h1 long, h2 long, h3 long, h4 long, n long").groupBy("k", *_NAMES).agg(F.sum("n").alias("n"))
-            found.append(materialize(sums.where(F.col("n") >= support)))
+            shared, whole = context.broadcast(trie), shards == 1
+            sums = docs.mapInArrow(_counting(shared, k, whole, longest), "phrase int, last long, n long").groupBy("phrase", "last").agg(F.sum("n").alias("n"))
+            found.append(materialize(sums.where(F.col("n") >= support).mapInArrow(_spelled(shared, k, whole), "k int, h1 long, h2 long, h3 long, h4 long, n long")))
         if not found:
             break
         both = found[0]
