@@ -236,7 +236,7 @@ def direction_windows(image: DataFrame) -> DataFrame:
     w = gathered(blocks, BLOCKS).groupBy("frame", "cx", "cy").agg(F.sum("e").alias("entropy"), F.count("*").alias("n")).where(F.col("n") == BLOCKS * BLOCKS)
     ends = w.groupBy("frame").agg(F.min("entropy").alias("lo"), F.max("entropy").alias("hi"))
     stretched = F.coalesce(F.try_divide((F.col("entropy") - F.col("lo")) * 255, F.col("hi") - F.col("lo")), F.lit(0.0))
-    return w.join(ends, "frame").select("frame", (F.col("cx") * CELL).alias("x"), (F.col("cy") * CELL).alias("y"), "entropy", stretched.alias("richness"))
+    return w.join(F.broadcast(ends), "frame").select("frame", (F.col("cx") * CELL).alias("x"), (F.col("cy") * CELL).alias("y"), "entropy", stretched.alias("richness"))
 
 
 def tamura(df: DataFrame, bins: int = 16) -> DataFrame:
