@@ -92,7 +92,11 @@ def between_places(r: DataFrame, by: Sequence[str], ps: dict[str, float]) -> Dat
 
 
 def with_mad(r: DataFrame, by: Sequence[str], m: DataFrame) -> DataFrame:
-    """``m``, which has the groups' median, with the median distance from it as mad; from ``ranked``, without a group in one task."""
+    """``m``, which has the groups' median, with the median distance from it as mad; from ``ranked``, without a group in one task.
+
+    ``m``, a row a group, is written, so that Spark knows its size.
+    """
+    m = written(m)
     j = r.join(m.select(*by, "median"), list(by)) if by else r.crossJoin(m.select("median"))
     far = j.groupBy(*by, F.abs(F.col("v") - F.col("median")).alias("v")).agg(F.sum("copies").alias("copies"))
     mad = between_places(placed(far, by), by, {"mad": 0.5}).drop("n")
@@ -129,8 +133,12 @@ def histogram_plan(df: DataFrame, by: Sequence[str], value: str, least: int = 64
 
 
 def histogram(df: DataFrame, by: Sequence[str], value: str, plan: DataFrame | None = None) -> DataFrame:
-    """(by, bin, count) of the bins that hold something; edge bins take what lies outside."""
-    plan = histogram_plan(df, by, value) if plan is None else plan
+    """(by, bin, count) of the bins that hold something; edge bins take what lies outside.
+
+    The plan, a row a group, is written: as part of the plan above it Spark would not
+    know it for small, and sort each group in one task to meet its row.
+    """
+    plan = written(histogram_plan(df, by, value)) if plan is None else plan
     plan = plan.select(*by, "lo", "width", "bins")
     c = clean(df, by, value)
     c = c.join(plan, list(by)) if by else c.crossJoin(plan)
@@ -222,7 +230,7 @@ def report(df: DataFrame, by: Sequence[str], value: str, share: float = 0.5) ->
 def hdi_filtered(df: DataFrame, by: Sequence[str], value: str, share: float = 0.5) -> DataFrame:
     """Moments of the values within the exact interval."""
     c = clean(df, by, value)
-    e = hdi_exact(df, by, value, share)
+    e = written(hdi_exact(df, by, value, share))  # a row a group, as in ``histogram``
     c = c.join(e, list(by)) if by else c.crossJoin(e)
     return moments(c.where("v between hdi_lo and hdi_hi"), by, "v")
 
@@ -247,6 +255,7 @@ def kde(df: DataFrame, by: Sequence[str], value: str, points: int = 64) -> DataF
     c = c.groupBy(*by, "v").agg(F.count("*").alias("copies"))  # equal values add up before they meet the grid
     h = 1.06 * F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     p = p.select(*by, "n", "lo", "hi", F.when(h > 0, h).otherwise(1e-3).alias("h"))
+    p = written(p)  # a row a group, as in ``histogram``
     j = c.join(p, list(by)) if by else c.crossJoin(p)
     j = j.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k"))
     x = F.col("lo") + F.col("k") * (F.col("hi") - F.col("lo")) / (points - 1)

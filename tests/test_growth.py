@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plenogrid import plans, steps
 from plenogrid.operators import guide as G
+from plenogrid.operators import stats
 
 
 @pytest.mark.parametrize("name", ["gradient_buckets", "edge_proxies"])
@@ -61,3 +62,17 @@ def test_distances_in_long_columns(spark):
     """A window that begins anew at each row takes the square of a column's length."""
     plan = G.distance(spark.range(4).selectExpr("'f' AS frame", "id AS x", "id AS y"), F.col("x") == 1)._jdf.queryExecution().optimizedPlan().toString()
     assert "unboundedfollowing" not in plan
+
+
+@pytest.mark.parametrize(("name", "column"), [("histogram", "bins"), ("histogram_mode", "bins"), ("hdi_filtered", "hdi_lo"), ("statistics_library", "median"), ("kde", "h")])
+def test_rows_of_groups_are_written_before_values_meet_them(spark, sf, monkeypatch, name, column):
+    """Inside a larger plan Spark doesn't know a row a group for small: it sorts a group in one task, or gathers all values on the driver."""
+    seen = []
+
+    def noted(df, write=steps.written):
+        seen.append(df.columns)
+        return write(df)
+
+    monkeypatch.setattr(stats, "written", noted)
+    plans.QUERIES[name](spark, sf)
+    assert [c for c in seen if column in c and len({"v", "copies"} & {*c}) == 0]
