@@ -241,3 +241,17 @@ def test_priors_seed_the_second_matching(spark):
     planes = pixel.where("x > 0").select("tile_x", "tile_y", "x", "y", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(1.3).alias("c"))
     right = lambda s: P.sites(s, 8).where("tile_x = 1 and tile_y = 1 and x between 2 and 5 and y between 2 and 5").agg(F.count_if(F.abs(F.col("d") - 1.3) < 0.05)).first()[0]
     assert right(P.relax(pixel, e, S, rounds=0, seed=P.prior_seed(planes))) >= 14 > 6 > right(P.relax(pixel, e, S, rounds=0))
+
+
+def test_only_patches_that_count_are_compared(monkeypatch):
+    """A step compared every plane in every view, also where the pixel leaves the view's tile or the view was not drawn."""
+    sc, pairs = scene(4, 5), []
+    compare = P.Scene._correlated
+    monkeypatch.setattr(P.Scene, "_correlated", lambda self, t, p, v, plane: pairs.append(len(t)) or compare(self, t, p, v, plane))
+    state = P.begin(sc, None)
+    assert pairs
+    pairs.clear()
+    P.update(sc, *state, np.repeat(state[0][:, None], sc.view.shape[1], 1), 0)
+    updated = 4 * 64 // 2
+    assert max(pairs) <= P.PAIRS
+    assert sum(pairs) < 0.8 * updated * sc.view.shape[1] * (8 + 1 + sc.view.shape[1] + 5 + 1)
