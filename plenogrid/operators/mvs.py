@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import project, unproject
 from ..schema import SITE, TILE
 from ..steps import written
-from .grid import SIDE, at_centre, inside, median_of, scatter, square
+from .grid import SIDE, at_centre, inside, median_of, on_tiles, scatter, square
 
 
 def fuse_views(depths: DataFrame, pairs: DataFrame, cameras: DataFrame, pixels: float = 2.0, share: float = 0.01, angle: float = 0.174533, least: int = 2) -> DataFrame:
@@ -133,15 +133,23 @@ def grown(df: DataFrame, seeds: DataFrame, gate: float = 0.3, rounds: int | None
     Grows until a round adds no pixel, or for ``rounds`` rounds where that is given.  Regions stay in their tile, whose pixels all lie within the radius
     of 18 that the method allows.
     """
-    valid = df.where("d is not null").select(*SITE, "d")
-    found = written(seeds.select(*SITE, "d", F.lit(0).alias("step")))
-    for r in count(1) if rounds is None else range(1, rounds + 1):
-        seen = scatter(found.where(F.col("step") == r - 1).select(*SITE, F.col("d").alias("from")), [(-1, 0), (1, 0), (0, -1), (0, 1)]).select(*SITE, "from")
-        j = valid.join(seen, SITE).where(F.abs(F.col("d") - F.col("from")) <= gate).select(*SITE, "d").distinct()
-        found = written(found.unionByName(j.join(found, SITE, "left_anti").withColumn("step", F.lit(r))))
-        if found.where(F.col("step") == r).isEmpty():
-            break
-    return found.select(*SITE, F.col("step").cast("long").alias("step"))
+    def work(there: np.ndarray, d: np.ndarray, start: np.ndarray) -> dict[str, np.ndarray]:
+        step = np.where(np.isnan(start), -1, 0)
+        last, r = start, 0
+        while rounds is None or r < rounds:
+            r += 1
+            near = np.pad(last, ((0, 0), (1, 1), (1, 1)), constant_values=np.nan)
+            seen = [near[:, 1:-1, :-2], near[:, 1:-1, 2:], near[:, :-2, 1:-1], near[:, 2:, 1:-1]]
+            new = np.any([np.abs(d - n) <= gate for n in seen], axis=0) & (step < 0)
+            if not new.any():
+                break
+            step[new] = r
+            last = np.where(new, d, np.nan)
+        return {"step": step, "keep": step >= 0}
+
+    none = F.lit(None).cast("double")
+    both = df.where("d is not null").select(*SITE, "d", none.alias("start")).unionByName(seeds.select(*SITE, none.alias("d"), F.col("d").alias("start")))
+    return on_tiles(both.groupBy(*SITE).agg(F.max("d").alias("d"), F.max("start").alias("start")), ["d", "start"], work, "step bigint")
 
 
 def edge_proxies(df: DataFrame, bad: DataFrame, radius: int = 2, alike: float = 20.0) -> DataFrame:

@@ -86,3 +86,9 @@ def test_windows_of_outliers_shuffle_tiles(spark, sf):
     """Each pixel was sent to the 25 sites that see it, twice."""
     plan = _plan(spark, sf, "local_outliers")
     assert not re.search(r"explode\(\[\[-2,-2\]", plan) and "MapInArrow" in plan
+
+
+def test_regions_grow_without_a_job_a_step(spark, sf, monkeypatch):
+    """Each of up to 63 steps was written and counted, and every task of each reported to the driver."""
+    monkeypatch.setattr(mvs, "written", lambda df: pytest.fail("a step was written"))
+    assert plans.QUERIES["region_growing"](spark, sf).count() > 0
