@@ -92,3 +92,9 @@ def test_regions_grow_without_a_job_a_step(spark, sf, monkeypatch):
     """Each of up to 63 steps was written and counted, and every task of each reported to the driver."""
     monkeypatch.setattr(mvs, "written", lambda df: pytest.fail("a step was written"))
     assert plans.QUERIES["region_growing"](spark, sf).count() > 0
+
+
+def test_residuals_are_looked_up_within_pairs_of_tiles(spark, sf):
+    """A row a pixel and view was joined with the moments here and there."""
+    plan = _plan(spark, sf, "photo_residual")
+    assert not [x for x in plan.split("\n") if "Join" in x and "ntile_x" in x and re.search(r"[ (]t?x#", x)]
