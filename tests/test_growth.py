@@ -98,3 +98,12 @@ def test_residuals_are_looked_up_within_pairs_of_tiles(spark, sf):
     """A row a pixel and view was joined with the moments here and there."""
     plan = _plan(spark, sf, "photo_residual")
     assert not [x for x in plan.split("\n") if "Join" in x and "ntile_x" in x and re.search(r"[ (]t?x#", x)]
+
+
+@pytest.mark.parametrize("name", ["patch_ncc", "ncc_top"])
+def test_matches_carry_no_tiles_through_a_shuffle(spark, sf, name):
+    """Each match was joined with the arrays of both its tiles and shuffled with the first."""
+    lines = _plan(spark, sf, name).split("\n")
+    work = next(i for i, x in enumerate(lines) if "MapInArrow" in x)
+    below = [x for x in lines[work + 1 :] if "Project" in x and "vs#" in x]
+    assert below and not [x for x in below if re.search(r"[ \[]px#\d+L?,", x) and "collect_list" not in x and "transform" not in x]
