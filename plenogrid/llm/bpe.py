@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import re
 import sys
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,19 +40,33 @@ PIECE_BYTES = 2 << 20
 
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _QUICK = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\w{_SPACE}]|_)+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-_ODD: set[str] = set()
+#: Numbers that are no decimal digits, and blanks of one engine only: where they stand the classes of ``re`` are not right.
+_ODD = {"\x1c", "\x1d", "\x1e", "\x1f"}
+_tables: list[re.Pattern] = []
 
 
-def _plain(text: str) -> bool:
-    """Whether the classes of ``re`` are right for a text: no number but decimal digits, no blank of one engine only."""
-    if not _ODD:
-        _ODD.update("\x1c\x1d\x1e\x1f", *(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")))
-    return _ODD.isdisjoint(text)
+def _ranges(holds) -> str:
+    """The characters below U+10000 for which a test holds, as ranges of a class."""
+    at = np.flatnonzero(np.diff([False, *(bool(holds(chr(c))) for c in range(0x10000)), False]))
+    return "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in at.reshape(-1, 2).tolist())
+
+
+def _compiled() -> list[re.Pattern]:
+    """Patterns whose classes are tables of the characters below U+10000: what needs another pattern, and the pieces."""
+    if not _tables:
+        _ODD.update(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+        letters, digits = _ranges(lambda c: re.match(r"[^\W\d_]", c)), _ranges(lambda c: re.match(r"\d", c))
+        _tables.append(re.compile(rf"[{_ranges(_ODD.__contains__)}\U00010000-\U0010ffff]"))
+        _tables.append(re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{letters}]+| ?[{digits}]+| ?[^{_SPACE}{letters}{digits}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"))
+    return _tables
 
 
 def pieces(text: str) -> list[str]:
     """The pre-tokenizer's pieces of a text."""
-    if _plain(text):
+    other, quick = _compiled()
+    if not other.search(text):
+        return quick.findall(text)
+    if _ODD.isdisjoint(text):
         return _QUICK.findall(text)
     import regex
 
@@ -168,12 +184,13 @@ class Memo:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict = {}
+        self.index: defaultdict = defaultdict(itertools.count().__next__)  # a new piece gets its number where it is first looked up
         self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self._add([(s,) for s in self.special], np.array(list(self.special.values()), np.int32), np.ones(len(self.special), np.int64))
+        for s in self.special:
+            self.index[(s,)]
+        self._add(np.array(list(self.special.values()), np.int32), np.ones(len(self.special), np.int64))
 
-    def _add(self, keys: list, ids: np.ndarray, size: np.ndarray) -> None:
-        self.index.update(zip(keys, range(len(self.size), len(self.size) + len(keys)), strict=True))
+    def _add(self, ids: np.ndarray, size: np.ndarray) -> None:
         self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
         self.size = np.append(self.size, size)
         self.flat = np.append(self.flat, ids.astype(np.int32))
@@ -197,10 +214,15 @@ class Memo:
             if t:
                 keys += self._keys(t)
             ends.append(len(keys))
-        new = list(set(keys).difference(self.index))
-        for k in range(0, len(new), 50_000):
-            self._add(new[k : k + 50_000], *self.encode(new[k : k + 50_000]))
+        known = len(self.index)
         at = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        new = list(itertools.islice(reversed(self.index), len(self.index) - known))[::-1]
+        try:
+            for k in range(0, len(new), 50_000):
+                self._add(*self.encode(new[k : k + 50_000]))
+        except BaseException:
+            self.clear()
+            raise
         size = self.size[at]
         total = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
         flat = self.flat[np.repeat(self.start[at] - total[:-1], size) + np.arange(total[-1])]

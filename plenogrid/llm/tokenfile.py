@@ -21,6 +21,7 @@ ignored; an empty table gives an empty file and an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -81,7 +82,7 @@ def _encoder(data: str) -> Memo:
         def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             found = [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
             size = np.fromiter(map(len, found), np.int64, len(found))
-            return np.fromiter((i for x in found for i in x), np.int32, int(size.sum())), size
+            return np.fromiter(itertools.chain.from_iterable(found), np.int32, int(size.sum())), size
 
         _encoders[key] = Memo(encode, vocabulary.special, vocabulary.cut)
     return _encoders[key]
