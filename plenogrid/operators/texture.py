@@ -10,12 +10,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import TILE
 from ..steps import written
-from .guide import filtered, sized
+from .guide import Area, in_blocks, sized, step
 from .reproject import tiles
 from .stats import between_places, ranked
 
@@ -211,32 +211,42 @@ def direction_windows(image: DataFrame) -> DataFrame:
     cells, blocks and windows are sums of sums: a block's histogram is scaled, cut at
     ``CLIP`` and scaled again, its entropy is that of its numbers, and a window adds
     the entropies of its blocks, each of which is computed once for all windows.
+    The image is taken in the blocks of ``guide``, with the pixels that the windows
+    which begin in one reach to.
     """
-    t = filtered(sized(image.select("frame", "x", "y", "v")), [(1, 0), (-1, 0), (0, 1), (0, -1)], {"gx": ("v", [1, -1, 0, 0]), "gy": ("v", [0, 0, 1, -1])})
-    at = F.pmod(F.atan2("gy", "gx"), F.lit(np.pi)) / np.pi * DIRECTIONS - 0.5
-    t = t.withColumns({"m": F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")), "at": at})
-    share, first = F.col("at") - F.floor("at"), F.pmod(F.floor("at"), F.lit(DIRECTIONS))
-    votes = [F.sum(F.when(first == b, F.col("m") * (1 - share)).when(F.pmod(first + 1, F.lit(DIRECTIONS)) == b, F.col("m") * share).otherwise(0.0)) for b in range(DIRECTIONS)]
-    cells = t.groupBy("frame", F.floor(F.col("x") / CELL).alias("cx"), F.floor(F.col("y") / CELL).alias("cy")).agg(F.array(*votes).alias("h"), F.count("*").alias("n")).where(F.col("n") == CELL * CELL)
-
-    def gathered(df: DataFrame, side: int) -> DataFrame:
-        """Cells as seen by the squares of ``side`` that hold them, by their first corner."""
-        back = F.sequence(F.lit(0), F.lit(side - 1))
-        return df.withColumn("cx", F.explode(F.transform(back, lambda d: F.col("cx") - d))).withColumn("cy", F.explode(F.transform(back, lambda d: F.col("cy") - d)))
-
-    b = gathered(cells, BLOCK).groupBy("frame", "cx", "cy").agg(F.flatten(F.collect_list("h")).alias("v")).where(F.size("v") == BLOCK * BLOCK * DIRECTIONS)
-
-    def size(v: Column) -> Column:
-        return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, e: a + e * e))
-
-    b = b.withColumn("s", size(F.col("v")) + BLOCK * BLOCK * DIRECTIONS * SOFT).withColumn("v", F.transform("v", lambda e: F.least(e / F.col("s"), F.lit(CLIP))))
-    b = b.withColumn("s", size(F.col("v")) + RENORM)
-    entropy = F.aggregate("v", F.lit(0.0), lambda a, e: a + F.when(e / F.col("s") > NOTHING, -(e / F.col("s")) * F.log(e / F.col("s"))).otherwise(0.0))
-    blocks = b.select("frame", "cx", "cy", entropy.alias("e"))
-    w = gathered(blocks, BLOCKS).groupBy("frame", "cx", "cy").agg(F.sum("e").alias("entropy"), F.count("*").alias("n")).where(F.col("n") == BLOCKS * BLOCKS)
+    around, reach = (1, 1), CELL * (BLOCK + BLOCKS - 2)
+    after = (reach + 1, reach + 1)
+
+    def measured(rows: pa.Table) -> pa.Table:
+        steps = ([(1, 0), (-1, 0), (0, 1), (0, -1)], {"gx": ("v", [1, -1, 0, 0]), "gy": ("v", [0, 0, 1, -1])}, dict)
+        area = Area.of(rows, ["v"], around, after).passed(steps, around, around)
+        gx, gy, n = area.values["gx"], area.values["gy"], area.there.shape[0] // CELL
+        at = np.mod(np.arctan2(gy, gx), np.pi) / np.pi * DIRECTIONS - 0.5
+        m, first = np.sqrt(gx * gx + gy * gy), np.floor(at).astype(int)
+        place = np.arange(n * CELL) // CELL
+        cell = (place[:, None] * n + place) * DIRECTIONS
+        votes = ((first, m * (1 - at + first)), (first + 1, m * (at - first)))
+        h = sum(np.bincount((cell + k % DIRECTIONS).ravel(), v.ravel(), n * n * DIRECTIONS) for k, v in votes).reshape(n, n, DIRECTIONS)
+        full = area.there.reshape(n, CELL, n, CELL).all((1, 3))
+
+        def squares(a: np.ndarray, side: int) -> np.ndarray:
+            return np.lib.stride_tricks.sliding_window_view(a, (side, side), (0, 1))
+
+        v = squares(h, BLOCK).reshape(n - BLOCK + 1, n - BLOCK + 1, -1)
+        v = np.minimum(v / (np.sqrt((v * v).sum(2, keepdims=True)) + BLOCK * BLOCK * DIRECTIONS * SOFT), CLIP)
+        v = v / (np.sqrt((v * v).sum(2, keepdims=True)) + RENORM)
+        e = np.where(v > NOTHING, -v * np.log(np.maximum(v, NOTHING)), 0.0).sum(2)
+        wy, wx = np.nonzero(squares(squares(full, BLOCK).all((2, 3)), BLOCKS).all((2, 3)))
+        entropy = squares(e, BLOCKS).sum((2, 3))[wy, wx]
+        frame = rows.column("frame").take(pa.array(np.zeros(len(wx), np.int64)))
+        return pa.Table.from_arrays([frame, pa.array(area.x0 + CELL * wx), pa.array(area.y0 + CELL * wy), pa.array(entropy)], ["frame", "x", "y", "entropy"])
+
+    t = sized(image.select("frame", "x", "y", "v"))
+    kind = image.schema["frame"].dataType.simpleString()
+    w = step(in_blocks(t, ["v"], around, after, measured, f"frame {kind}, x long, y long, entropy double"))  # the ends are taken from it too
     ends = w.groupBy("frame").agg(F.min("entropy").alias("lo"), F.max("entropy").alias("hi"))
     stretched = F.coalesce(F.try_divide((F.col("entropy") - F.col("lo")) * 255, F.col("hi") - F.col("lo")), F.lit(0.0))
-    return w.join(F.broadcast(ends), "frame").select("frame", (F.col("cx") * CELL).alias("x"), (F.col("cy") * CELL).alias("y"), "entropy", stretched.alias("richness"))
+    return w.join(F.broadcast(ends), "frame").select("frame", "x", "y", "entropy", stretched.alias("richness"))
 
 
 def tamura(df: DataFrame, bins: int = 16) -> DataFrame:

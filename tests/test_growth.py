@@ -128,3 +128,9 @@ def test_supports_meet_pixels_in_blocks(spark, sf, monkeypatch):
     assert len(plans_of) > 1
     for plan in plans_of:
         assert "collect_list" not in plan and not [x for x in plan.split("\n") if "Join" in x and re.search(r"[ (]x#", x)]
+
+
+def test_direction_windows_are_summed_in_blocks(spark, sf, monkeypatch):
+    """Each cell went with its numbers to the 16 blocks that hold it, and each block to 25 windows."""
+    plans_of = _written_plans(spark, sf, "direction_windows", monkeypatch)
+    assert len(plans_of) > 1 and not [p for p in plans_of if "collect_list" in p or "explode(transform" in p]
