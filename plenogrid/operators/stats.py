@@ -7,8 +7,12 @@ otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,41 +45,70 @@ RULES = {
 }
 
 
-#: Cells of a group in which ``ranked`` numbers values, in two levels.
-COARSE, FINE = 32, 32
-
-
 def ranked(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """(by, v, copies, i, n): distinct values with the zero-based place of their first copy in the group."""
     return placed(clean(df, by, value).groupBy(*by, "v").agg(F.count("*").alias("copies")), by)
 
 
+#: Rows of totals, one a group and part, that are broadcast to the values; more are merged with them.
+FEW = 100_000
+
+
+def _running(by: Sequence[str]):
+    """For mapInArrow: rows sorted by group and value get what comes before them in their group and part."""
+
+    def changes(a: pa.Array) -> np.ndarray:
+        """Where a key differs from the one before; nulls are equal, and so are numbers that are none."""
+        here, before = a.slice(1), a.slice(0, len(a) - 1)
+        if pa.types.is_nested(a.type):
+            fields = a.flatten() if pa.types.is_struct(a.type) else []
+            return np.logical_or.reduce([pc.not_equal(pc.is_null(here), pc.is_null(before)).to_numpy(zero_copy_only=False), *map(changes, fields)]) if fields else np.array([x != y for x, y in zip(here.to_pylist(), before.to_pylist(), strict=True)], bool)
+        differ = pc.fill_null(pc.not_equal(here, before), False).to_numpy(zero_copy_only=False)
+        differ = differ | (pc.is_null(here).to_numpy(zero_copy_only=False) != pc.is_null(before).to_numpy(zero_copy_only=False))
+        if pa.types.is_floating(a.type):
+            none = [pc.fill_null(pc.is_nan(x), False).to_numpy(zero_copy_only=False) for x in (here, before)]
+            differ &= ~(none[0] & none[1])
+        return differ
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, total = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            copies = batch.column("copies").to_numpy()
+            begins = np.zeros(batch.num_rows, bool)
+            keys = batch.select(list(by))
+            for c in by:
+                begins[1:] |= changes(keys.column(c))
+                if last is not None:
+                    begins[0] |= changes(pa.concat_arrays([last.column(c), keys.column(c).slice(0, 1)]))[0]
+            before = np.cumsum(copies) - copies
+            first = np.maximum.accumulate(np.where(begins, np.arange(len(begins)), -1))
+            inner = np.where(first >= 0, before - before[np.maximum(first, 0)], before + total)
+            last, total = keys.slice(batch.num_rows - 1), int(inner[-1] + copies[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(inner), pa.array(np.full(batch.num_rows, part, np.int64))], [*batch.schema.names, "inner", "part"])
+
+    return apply
+
+
 def placed(counted: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, v, copies, i, n) of values that are counted already (by, v, copies).
 
-    A group is never sorted in one task: its values are dealt to cells between
-    quantiles of a sketch, so that a heavy tail fills no cell more than others,
-    numbered within the cell, and the cells' running totals give each its first
-    place.  The sketches, a row a group, are written once, since two parts of the
-    plan must see the same ones.
+    A group is never sorted in one task, nor is a value compared with all marks of
+    a sketch: groups and values are dealt to parts by their range and numbered in
+    the order they are sorted in, and the running totals of the parts give each
+    its first place.  The numbered values are written once, since two parts of the
+    plan must see the same ranges.
     """
-    marks = [F.lit(k / (COARSE * FINE)) for k in range(1, COARSE * FINE)]
-    edge = counted.groupBy(*by).agg(F.sum("copies").alias("n"), F.percentile_approx("v", F.array(*marks), F.lit(10 * COARSE * FINE)).alias("edges"))
-    edge = edge.withColumn("coarse", F.transform(F.sequence(F.lit(1), F.lit(COARSE - 1)), lambda k: F.element_at("edges", (k * FINE).cast("int"))))
-    edge = F.broadcast(written(edge)) if not by else written(edge)  # one row
-    c = counted.join(edge, list(by)) if by else counted.crossJoin(edge)
-
-    def below(array: Column) -> Column:
-        return F.size(F.filter(array, lambda e: e < F.col("v")))
-
-    c = c.withColumn("top", below(F.col("coarse")))
-    c = c.select(*by, "v", "copies", "n", (F.col("top") * FINE + below(F.slice("edges", F.col("top") * FINE + 1, FINE))).alias("cell"))
-    cells = c.groupBy(*by, "cell").agg(F.sum("copies").alias("here"))
-    start = F.sum("here").over(Window.partitionBy(*by).orderBy("cell")) - F.col("here")  # at most 1,024 cells a group
-    cells = cells.select(*by, "cell", start.alias("start"))
-    inner = F.sum("copies").over(Window.partitionBy(*by, "cell").orderBy("v")) - F.col("copies")
-    c = c.withColumn("inner", inner).join(cells, [*by, "cell"])
-    return c.select(*by, "v", "copies", (F.col("start") + F.col("inner")).alias("i"), "n")
+    c = counted.select(*by, "v", F.col("copies").cast("long").alias("copies")).repartitionByRange(*by, "v").sortWithinPartitions(*by, "v")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in c.schema]
+    c = written(c.mapInArrow(_running(by), ", ".join([*kinds, "inner long", "part long"])))
+    parts = c.groupBy(*by, "part").agg(F.sum("copies").alias("here"))
+    every = Window.partitionBy(*by)
+    start = F.sum("here").over(every.orderBy("part")) - F.col("here")
+    parts = written(parts.select(*by, "part", start.alias("start"), F.sum("here").over(every).alias("n")))
+    parts = F.broadcast(parts) if parts.limit(FEW + 1).count() <= FEW else parts.hint("merge")
+    return c.join(parts, [*by, "part"]).select(*by, "v", "copies", (F.col("start") + F.col("inner")).alias("i"), "n")
 
 
 def at_places(r: DataFrame, by: Sequence[str], places: dict[str, Column]) -> DataFrame:
@@ -123,7 +156,11 @@ def histogram_plan(df: DataFrame, by: Sequence[str], value: str, least: int = 64
     r = ranked(df, by, value) if r is None else r
     q = at_places(r, by, {"q1": RULES["nearest"](F.col("n"), 0.25), "q3": RULES["nearest"](F.col("n"), 0.75)})
     m = clean(df, by, value).groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("sd"))
-    g = q.join(m, list(by)) if by else q.crossJoin(m)
+    return bins_of(q.join(m, list(by)) if by else q.crossJoin(m), by, least, most)
+
+
+def bins_of(g: DataFrame, by: Sequence[str], least: int = 64, most: int = 65536) -> DataFrame:
+    """The plan of a histogram from (by, n, q1, q3, lo, hi, sd)."""
     cube = F.pow(F.col("n").cast("double"), F.lit(-1 / 3))
     span = F.col("hi") - F.col("lo")
     h = F.when(F.col("q3") > F.col("q1"), 2 * (F.col("q3") - F.col("q1")) * cube).when(F.col("sd") > 0, 3.5 * F.col("sd") * cube).otherwise(span / 256)
@@ -139,11 +176,16 @@ def histogram(df: DataFrame, by: Sequence[str], value: str, plan: DataFrame | No
     know it for small, and sort each group in one task to meet its row.
     """
     plan = written(histogram_plan(df, by, value)) if plan is None else plan
+    return binned(clean(df, by, value).withColumn("copies", F.lit(1)), by, plan)
+
+
+def binned(counted: DataFrame, by: Sequence[str], plan: DataFrame) -> DataFrame:
+    """The histogram of values that are counted already (by, v, copies)."""
     plan = plan.select(*by, "lo", "width", "bins")
-    c = clean(df, by, value)
+    c = counted.select(*by, "v", "copies")
     c = c.join(plan, list(by)) if by else c.crossJoin(plan)
     k = F.least(F.col("bins") - 1, F.greatest(F.lit(0), F.floor((F.col("v") - F.col("lo")) / F.col("width"))))
-    return c.groupBy(*by, k.alias("bin")).agg(F.count("*").alias("count"), F.first("lo").alias("lo"), F.first("width").alias("width"), F.first("bins").alias("bins"))
+    return c.groupBy(*by, k.alias("bin")).agg(F.sum("copies").alias("count"), F.first("lo").alias("lo"), F.first("width").alias("width"), F.first("bins").alias("bins"))
 
 
 def histogram_mode(h: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -208,16 +250,20 @@ def hdi_exact(df: DataFrame, by: Sequence[str], value: str, share: float, r: Dat
 def report(df: DataFrame, by: Sequence[str], value: str, share: float = 0.5) -> DataFrame:
     """Moments, quartiles, histogram mode, density intervals and fences in one row per group.
 
-    The ranked values, the bins and the few rows that describe them are written
-    once, since several parts read them.
+    The table is read twice, for the moments and for the distinct values; the rest
+    comes from these.  The ranked values, the bins and the few rows that describe
+    them are written once, since several parts read them.
     """
+    m = written(moments(df, by, value))
     r = written(ranked(df, by, value))
     n = F.col("n")
-    q = at_places(r, by, {k: RULES["nearest"](n, p) for k, p in (("q05", 0.05), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q95", 0.95))}).drop("n")
-    plan = written(histogram_plan(df, by, value, r=r))
-    h = written(histogram(df, by, value, plan))
+    q = written(at_places(r, by, {k: RULES["nearest"](n, p) for k, p in (("q05", 0.05), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q95", 0.95))}))
+    ends = m.select(*by, F.col("min").alias("lo"), F.col("max").alias("hi"), F.coalesce("std", F.lit(0.0)).alias("sd"))
+    g = q.select(*by, "n", F.col("q25").alias("q1"), F.col("q75").alias("q3"))
+    plan = written(bins_of(g.join(ends, list(by)) if by else g.crossJoin(ends), by))
+    h = written(binned(r, by, plan))
     parts = [
-        moments(df, by, value), q, plan.select(*by, "bins", "width"), histogram_mode(h, by).select(*by, "mode"),
+        m, q.drop("n"), plan.select(*by, "bins", "width"), histogram_mode(h, by).select(*by, "mode"),
         hdi_histogram(h, by, share).select(*by, F.col("hdi_lo").alias("hdi_bin_lo"), F.col("hdi_hi").alias("hdi_bin_hi")), hdi_exact(df, by, value, share, r),
     ]
     out = parts[0]

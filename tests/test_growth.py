@@ -134,3 +134,36 @@ def test_direction_windows_are_summed_in_blocks(spark, sf, monkeypatch):
     """Each cell went with its numbers to the 16 blocks that hold it, and each block to 25 windows."""
     plans_of = _written_plans(spark, sf, "direction_windows", monkeypatch)
     assert len(plans_of) > 1 and not [p for p in plans_of if "collect_list" in p or "explode(transform" in p]
+
+
+def test_a_report_reads_its_table_twice(spark, sf, monkeypatch):
+    """The distinct values were counted three times and each held against the marks of a sketch."""
+    seen = []
+
+    def noted(df, write=steps.written):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(stats, "written", noted)
+    seen.append(_plan(spark, sf, "distribution_report"))
+    assert not [p for p in seen if "lambda" in p or "percentile_approx" in p]
+    assert len([x for p in seen for x in p.split("\n") if "Relation [" in x and "l_extendedprice" in x]) == 2
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "struct<a:int,b:string>"])
+def test_places_of_groups_that_span_parts(spark, kind):
+    """Keys of several types, with numbers that are none, groups in several parts and several batches."""
+    r = np.random.default_rng(11)
+    key = {"string": lambda k: f"g{k}", "double": lambda k: float("nan") if k == 1 else float(k), "struct<a:int,b:string>": lambda k: (k // 2, f"b{k % 2}")}[kind]
+    rows = [(int(k), float(v)) for k, v in zip(r.choice(4, 4000, p=[0.9, 0.05, 0.04, 0.01]), r.integers(0, 3000, 4000), strict=True)]
+    df = spark.createDataFrame([(key(k), v, k) for k, v in rows], f"g {kind}, v double, k int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        got = stats.ranked(df, ["g"], "v").join(df.select("g", "k").distinct(), "g").select("k", "v", "copies", "i", "n").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = set()
+    for k in range(4):
+        own = sorted(v for q, v in rows if q == k)
+        want |= {(k, v, own.count(v), own.index(v), len(own)) for v in own}
+    assert {tuple(q) for q in got} == want and len(got) == len(want)
